@@ -13,6 +13,7 @@ from .common import documents
 from .exact_dedup import exact_dedup
 from .packing import fast_encoder, packed
 from .sharding import sharded
+from .simhash import simhash_classes
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +48,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(documents(spark, sf_dir), 16)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_classes(documents(spark, sf_dir))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = roundtrip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select(
@@ -60,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_sharding": op3_sharding,
+        "op5_simhash": op5_simhash,
         "op8_byte_bpe": op8_byte_bpe,
     }
 
