@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import roundtrip
 from .common import documents
+from .embedding_dedup import cosine_classes
 from .exact_dedup import exact_dedup
 from .packing import fast_encoder, packed
 from .sharding import sharded
@@ -53,6 +54,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cosine_classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = roundtrip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select(
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_sharding": op3_sharding,
         "op5_simhash": op5_simhash,
+        "op7_embedding_dedup": op7_embedding_dedup,
         "op8_byte_bpe": op8_byte_bpe,
     }
 
