@@ -15,6 +15,7 @@ from .exact_dedup import exact_dedup
 from .packing import fast_encoder, packed
 from .sharding import sharded
 from .simhash import simhash_classes
+from .toxicity import fit, held_out, scored
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosine_classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -72,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_sharding": op3_sharding,
         "op5_simhash": op5_simhash,
+        "op6_toxicity": op6_toxicity,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_byte_bpe": op8_byte_bpe,
     }
