@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Fitting looks at a bounded sample of labelled rows (``max_examples``, by hash order); document
-frequencies come from all documents. Features are words and their heads of four to six letters; those
+frequencies come from all documents. Features are words and their heads of three to nine letters; those
 that are told apart from the label by chi-square (Bonferroni over all features seen) span the space.
 The index keeps postings of the examples in blocks with the greatest weight per term and block; a
 query visits blocks in the order of their bounds until none can enter the k best, so results are
@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 from .common import id_text, written
 
 WORD = re.compile(r"\w+")
-HEADS = (4, 5, 6)
+HEADS = (3, 4, 5, 6, 7, 8, 9)
 #: Bounds of the model: examples, features, nearest examples that vote.
-MAX_EXAMPLES, MAX_FEATURES, K = 20_000, 4096, 15
+MAX_EXAMPLES, MAX_FEATURES, K = 20_000, 4096, 7
 #: Smallest number of examples a feature occurs in, and the chance of one false feature among all.
 LEAST, ALPHA = 3, 0.05
 BLOCK, ROUND = 64, 8
+MEMO_WORDS = 300_000
 
 
 def features(text: str) -> Counter:
@@ -42,14 +43,29 @@ def features(text: str) -> Counter:
     return out
 
 
-def known(text: str, vocabulary: dict[str, int]) -> dict[int, int]:
+class Lookup(dict):
+    """word to the numbers of its features in the vocabulary, remembered for MEMO_WORDS words."""
+
+    def __init__(self, vocabulary: list[str]):
+        self.number = {w: i for i, w in enumerate(vocabulary)}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        found = (self.number.get(word), *(self.number.get(word[:s] + "*") for s in HEADS if len(word) > s))
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        out = self[word] = tuple(x for x in found if x is not None)
+        return out
+
+    def __reduce__(self):
+        return Lookup, (list(self.number),)
+
+
+def known(text: str, lookup: Lookup) -> dict[int, int]:
     """Counts of the features in the vocabulary only."""
     out: dict[int, int] = {}
-    get = vocabulary.get
     for word, n in Counter(WORD.findall(text.lower())).items():
-        for at in (get(word), *(get(word[:s] + "*") for s in HEADS if len(word) > s)):
-            if at is not None:
-                out[at] = out.get(at, 0) + n
+        for at in lookup[word]:
+            out[at] = out.get(at, 0) + n
     return out
 
 
@@ -105,7 +121,7 @@ class Model:
     """Vocabulary, idf, index, labels and calibration."""
 
     def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: list[tuple[object, int, dict[int, int]]], k: int = K):
-        self.vocabulary, self.idf, self.k = {w: i for i, w in enumerate(vocabulary)}, idf, k
+        self.vocabulary, self.idf, self.k = Lookup(vocabulary), idf, k
         vectors = [self.vector(counts) for _, _, counts in examples]
         self.index = BlockMaxIndex(vectors, len(vocabulary))
         self.ids = [examples[i][0] for i in self.index.order]
@@ -190,10 +206,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col:
         chi = off * off / (F.col("n") * share * (1 - share)) * (size / F.greatest(F.lit(1), size - F.col("n")))
         best = counted.withColumn("chi", chi).filter(F.col("chi") >= least).orderBy(F.desc("chi"), "word").limit(max_features)
         vocabulary = sorted(r["word"] for r in best.select("word").collect())
-    lookup = {w: i for i, w in enumerate(vocabulary)}
+    lookup = Lookup(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(lookup) + 1, np.int64), 0
+        df, n = np.zeros(len(vocabulary) + 1, np.int64), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 n += 1
@@ -202,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col:
         df[-1] = n
         yield pa.RecordBatch.from_pydict({"term": np.arange(len(df)), "n": df})
 
-    df = np.zeros(len(lookup) + 1)
+    df = np.zeros(len(vocabulary) + 1)
     if vocabulary:
         for r in base.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
             df[r["term"]] = r["n"]
