@@ -15,11 +15,16 @@ from .exact_dedup import exact_dedup
 from .packing import fast_encoder, packed
 from .sharding import sharded
 from .simhash import simhash_classes
+from .substring_dedup import repeated_spans
 from .toxicity import fit, held_out, scored
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packed(documents(spark, sf_dir), public_encoder)
+    return piece_digests(packed(documents(spark, sf_dir), public_encoder))
+
+
+def piece_digests(pieces: DataFrame) -> DataFrame:
+    """Pieces with a checksum in place of their ids."""
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
@@ -50,6 +55,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(documents(spark, sf_dir), 16)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(documents(spark, sf_dir))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_classes(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -78,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_sharding": op3_sharding,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_simhash": op5_simhash,
         "op6_toxicity": op6_toxicity,
         "op7_embedding_dedup": op7_embedding_dedup,

@@ -202,11 +202,11 @@ def linked(rows: DataFrame, tau: int, *, near: Callable[[dict, np.ndarray, np.nd
                     yield pa.RecordBatch.from_arrays([*out, *(batch.column(i).take(index) for i in range(len(names)))], ["part", "bucket", "home", *names])
 
     probed = rows.mapInArrow(probes, "part int, bucket long, home int, " + ", ".join(f"{x} long" for x in names))
-    hot = probed.groupBy("part", "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("any_home")).filter(f"n > {block} and any_home = 1").select("part", "bucket", "n")
+    hot = probed.groupBy("part", "bucket").agg(F.count(F.lit(1)).alias("_crowd"), F.max("home").alias("_any")).filter(f"_crowd > {block} and _any = 1").select("part", "bucket", "_crowd")
     dealt = probed.join(hot, ["part", "bucket"], "left")
     cells = max(8, math.ceil(n * sum((len(f) + 1) / 2 for f in masks) / CELL_ROWS))
-    small = dealt.filter("n is null").withColumn("cell", F.pmod(F.xxhash64("part", "bucket"), F.lit(cells))).withColumn("own", F.lit(0)).withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
-    large = block_cells(dealt.filter("n is not null").drop("n"), ["part", "bucket"], "node", block).withColumn("cell", F.xxhash64("part", "bucket"))
+    small = dealt.filter("_crowd is null").withColumn("cell", F.pmod(F.xxhash64("part", "bucket"), F.lit(cells))).withColumn("own", F.lit(0)).withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
+    large = block_cells(dealt.filter("_crowd is not null").drop("_crowd"), ["part", "bucket"], "node", block).withColumn("cell", F.xxhash64("part", "bucket"))
     columns = ["part", "cell", "i", "j", "own", "bucket", "home", *names]
     both = small.select(*columns).unionByName(large.select(*columns))
 
