@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality
 from .bpe import roundtrip
 from .common import documents
 from .embedding_dedup import cosine_classes
 from .exact_dedup import exact_dedup
 from .packing import fast_encoder, packed
+from .preferences import preference_pairs
 from .sharding import sharded
 from .simhash import simhash_classes
 from .substring_dedup import repeated_spans
@@ -66,8 +68,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    model, vectors = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored(vectors, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +84,55 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    ratings = labels.filter(~held_out(F.col("doc_id"))).select("doc_id", quality.grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    return quality.graded(docs, quality.fit(docs, ratings)).withColumn("held_out", held_out(F.col("doc_id")))
+
+
+def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k (chosen) and 2k + 1 (rejected) are a pair."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    pairs = preference_pairs(turns.select(F.expr("conv_id div 2").alias("pair_id"), (F.col("conv_id") % 2 == 0).alias("chosen"), "turn", "role", "text"))
+    spans = lambda mask: F.array_join(F.transform(mask, lambda m: F.concat_ws("-", m["start"].cast("string"), m["stop"].cast("string"))), ",")
+    return pairs.withColumn("chosen_mask", spans("chosen_mask")).withColumn("rejected_mask", spans("rejected_mask"))
+
+
+OP10_SQL = r"""
+WITH t AS (
+  SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS c, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role,
+         regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '<\\|\1|>', 'g') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY pair_id, c ORDER BY turn, role, text) AS i FROM t
+), d AS (
+  SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.i, b.i) AS i,
+         coalesce(a.role = b.role AND a.text = b.text, false) AS same
+  FROM (SELECT * FROM n WHERE c) a FULL JOIN (SELECT * FROM n WHERE NOT c) b ON a.pair_id = b.pair_id AND a.i = b.i
+), k AS (
+  SELECT pair_id, coalesce(min(i) FILTER (WHERE NOT same) - 1, max(i)) AS k FROM d GROUP BY pair_id
+), s AS (
+  SELECT n.*, k.k, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS shown FROM n JOIN k USING (pair_id)
+), m AS (
+  SELECT *, coalesce(sum(length(shown)) FILTER (WHERE i > k) OVER (PARTITION BY pair_id, c ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s
+), f AS (
+  SELECT *, CASE WHEN i > k AND role = 'assistant'
+    THEN CAST(before + 13 + length(role) AS BIGINT) || '-' || CAST(before + 13 + length(role) + length(text) + 10 AS BIGINT) END AS span
+  FROM m
+)
+SELECT pair_id,
+  coalesce(string_agg(shown, '' ORDER BY i) FILTER (WHERE c AND i <= k), '') AS prompt,
+  CAST(any_value(k) AS INTEGER) AS prompt_turns,
+  coalesce(string_agg(shown, '' ORDER BY i) FILTER (WHERE c AND i > k), '') AS chosen,
+  coalesce(string_agg(shown, '' ORDER BY i) FILTER (WHERE NOT c AND i > k), '') AS rejected,
+  coalesce(string_agg(span, ',' ORDER BY i) FILTER (WHERE c), '') AS chosen_mask,
+  coalesce(string_agg(span, ',' ORDER BY i) FILTER (WHERE NOT c), '') AS rejected_mask,
+  bool_or(c) AND bool_or(NOT c) AND count(span) > 0 AS usable
+FROM f GROUP BY pair_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -92,8 +143,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": op6_toxicity,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_byte_bpe": op8_byte_bpe,
+        "op9_quality": op9_quality,
+        "op10_preferences": op10_preferences,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op10_preferences": OP10_SQL}

@@ -48,12 +48,17 @@ class Lookup(dict):
 
     def __init__(self, vocabulary: list[str]):
         self.number = {w: i for i, w in enumerate(vocabulary)}
+        # what no feature begins with needs no further look
+        self.starts = {w.rstrip("*")[: HEADS[0]] for w in vocabulary}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        found = (self.number.get(word), *(self.number.get(word[:s] + "*") for s in HEADS if len(word) > s))
+        out: tuple[int, ...] = ()
+        if word[: HEADS[0]] in self.starts:
+            found = (self.number.get(word), *(self.number.get(word[:s] + "*") for s in HEADS if len(word) > s))
+            out = tuple(x for x in found if x is not None)
         if len(self) >= MEMO_WORDS:
             self.clear()
-        out = self[word] = tuple(x for x in found if x is not None)
+        self[word] = out
         return out
 
     def __reduce__(self):
@@ -155,9 +160,8 @@ class Model:
                 break
         self.coef[1] = max(self.coef[1], 1e-3)
 
-    def score(self, text: str) -> tuple[float, list[int], list[float]]:
+    def score(self, counts: dict[int, int]) -> tuple[float, list[int], list[float]]:
         """Probability of label 1, and the voting examples with their cosines."""
-        counts = known(text, self.vocabulary)
         found, cosines = self.index.search(*self.vector(counts), self.k) if counts else (np.empty(0, np.int64), np.empty(0))
         z = self.coef[0] + self.coef[1] * self.vote(found, cosines)
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z)))), found.tolist(), cosines.tolist()
@@ -168,8 +172,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_examples: int = MAX_EXAMPLES, max_features: int = MAX_FEATURES, k: int = K) -> Model:
-    """A model from the labelled rows that are not held out, at most ``max_examples`` of them.
+def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_examples: int = MAX_EXAMPLES, max_features: int = MAX_FEATURES, k: int = K) -> tuple[Model, DataFrame]:
+    """A model from the labelled rows that are not held out, at most ``max_examples`` of them, and the term vectors of all documents in its space.
 
     Labels that are null, and ids without a text or with a null id, teach nothing; of several labels
     of one id the mean decides. Without any example every text gets the same score.
@@ -208,51 +212,49 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col:
         vocabulary = sorted(r["word"] for r in best.select("word").collect())
     lookup = Lookup(vocabulary)
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(vocabulary) + 1, np.int64), 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                n += 1
-                for at in known(text, lookup):
-                    df[at] += 1
-        df[-1] = n
-        yield pa.RecordBatch.from_pydict({"term": np.arange(len(df)), "n": df})
-
-    df = np.zeros(len(vocabulary) + 1)
-    if vocabulary:
-        for r in base.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    vectors = written(term_vectors(base, lookup), "toxic-vectors")
+    df = np.zeros(len(vocabulary))
+    if vocabulary:  # at most max_features rows
+        for r in vectors.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect():
             df[r["term"]] = r["n"]
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+    idf = np.log((1 + vectors.count()) / (1 + df)) + 1
+
+    rows = term_vectors(sample, lookup).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["terms"], r["counts"]))
+    label_of = {r["doc_id"]: r["y"] for r in sample.select("doc_id", "y").collect()}
+    return Model(vocabulary, idf, [(r["doc_id"], label_of[r["doc_id"]], dict(zip(r["terms"], r["counts"], strict=True))) for r in rows], k), vectors
+
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def term_vectors(docs: DataFrame, lookup: Lookup, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, terms, counts) of each row: the features that the vocabulary has."""
+    kind, ints = dict(docs.dtypes)[id_col], pa.list_(pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [known(t, lookup) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(x) for x in found], pa.list_(pa.int32())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))], ["doc_id", "y", "terms", "counts"])
+            found = [known(t, lookup) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(x) for x in found], ints), pa.array([list(x.values()) for x in found], ints)], ["doc_id", "terms", "counts"])
 
-    kind = dict(sample.dtypes)["doc_id"]
-    rows = sample.mapInArrow(vectors, f"doc_id {kind}, y int, terms array<int>, counts array<int>").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["terms"], r["counts"]))
-    return Model(vocabulary, idf, [(r["doc_id"], r["y"], dict(zip(r["terms"], r["counts"], strict=True))) for r in rows], k)
+    return id_text(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, terms array<int>, counts array<int>")
 
 
-def scored(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, score, predicted, evidence (examples that voted: id, label, cosine; nearest first).
+def scored(vectors: DataFrame, model: Model) -> DataFrame:
+    """One row per term vector: doc_id, score, predicted, evidence (examples that voted: id, label, cosine; nearest first).
 
     Defined cases: a null or empty text, and one without any feature of the model, gets the score of
     having no neighbour; null and repeated ids pass through; an empty table gives an empty result;
-    other columns are ignored.
+    other columns of the documents are ignored.
     """
-    kind = dict(docs.dtypes)[id_col]
+    kind = dict(vectors.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [model.score(t) for t in batch.column(1).to_pylist()]
+            got = [model.score(dict(zip(t, n, strict=True))) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             evidence = [[{"doc_id": model.ids[i], "label": int(model.labels[i]), "cosine": c} for i, c in zip(found, cosines, strict=True)] for _, found, cosines in got]
             shape = pa.list_(pa.struct([("doc_id", batch.schema.field(0).type), ("label", pa.int32()), ("cosine", pa.float64())]))
             scores = pa.array([s for s, _, _ in got], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), scores, pa.array(evidence, shape)], ["doc_id", "score", "evidence"])
 
-    rows = id_text(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, score double, evidence array<struct<doc_id: {kind}, label: int, cosine: double>>")
+    rows = vectors.select("doc_id", "terms", "counts").mapInArrow(run, f"doc_id {kind}, score double, evidence array<struct<doc_id: {kind}, label: int, cosine: double>>")
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -261,6 +263,6 @@ def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text") -> Data
 
     @F.pandas_udf("boolean")
     def clean(texts):
-        return texts.map(lambda t: model.score(t or "")[0] < 0.5)
+        return texts.map(lambda t: model.score(known(t or "", model.vocabulary))[0] < 0.5)
 
     return docs.filter(clean(F.col(text_col).cast("string")))
