@@ -17,7 +17,8 @@ from readlake.llm.toxicity import drop_toxic, fit
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted to be toxic go."""
-    return drop_toxic(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model, _ = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return drop_toxic(docs, model)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
