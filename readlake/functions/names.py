@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .sequence import let
+
 #: Token types (fixed values).
 SYMBOL, LETTERS, DIGITS, MIXED, LENGTH_WORD, LENGTH_VALUE, MATE_TAIL, SINGLE_TAIL, PADDED = 0, 1, 2, 3, 7, 4, 5, 6, 8
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -27,8 +29,7 @@ def token_types(name: Column, seq_length: Column, paired: bool = False) -> Colum
             .when(t.rlike("^[0-9]+$"), DIGITS).when(t.rlike("^[A-Za-z]+$"), LETTERS).otherwise(MIXED)
         )
 
-    parts = tokens(name)
-    return F.transform(parts, lambda t, i: one(t, i, parts))
+    return let(tokens(name), lambda parts: F.transform(parts, lambda t, i: one(t, i, parts)))
 
 
 def name_format(name: Column) -> Column:

@@ -13,7 +13,7 @@ def _chars(s: Column) -> Column:
     return F.when(F.length(s) > 0, F.split(s, "")).otherwise(F.array().cast(_EMPTY))
 
 
-def _let(x: Column, f) -> Column:
+def let(x: Column, f) -> Column:
     """f(x) with x evaluated once, though f uses it many times."""
     return F.element_at(F.transform(F.array(x), f), 1)
 
@@ -84,9 +84,9 @@ def mix_kmer(code: Column, k: int) -> Column:
     mask = F.lit((1 << (2 * k)) - 1)
     fold = lambda n: lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, n))
     add = lambda *ns: lambda x: _sum(*[F.shiftleft(x, n) for n in ns]).bitwiseAND(mask)
-    x = _let(code, lambda c: _add(F.bitwise_not(c), F.shiftleft(c, 21)).bitwiseAND(mask))
+    x = let(code, lambda c: _add(F.bitwise_not(c), F.shiftleft(c, 21)).bitwiseAND(mask))
     for step in (fold(24), add(0, 3, 8), fold(14), add(0, 2, 4), fold(28), add(0, 31)):
-        x = _let(x, step)
+        x = let(x, step)
     return x
 
 
@@ -117,7 +117,7 @@ def degenerate_gaps(s: Column, q: Column) -> Column:
         marks = F.zip_with(_chars(s), _chars(q), lambda b, x: F.when(F.ascii(x) <= best, F.when(b.rlike("[ACGTacgt]"), "0").otherwise("1")).otherwise(""))
         return F.when(best.isNotNull(), F.transform(F.split(F.array_join(marks, ""), "1", -1), lambda x: F.length(x)))
 
-    return _let(degenerate_max_quality(s, q), gaps)
+    return let(degenerate_max_quality(s, q), gaps)
 
 
 def most_frequent_base(s: Column) -> Column:

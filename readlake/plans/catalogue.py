@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries
+from . import graph_queries, queries
 
-QUERIES = {**queries.QUERIES}
-SQL = {**queries.SQL}
+QUERIES = {**queries.QUERIES, **graph_queries.QUERIES}
+SQL = {**queries.SQL, **graph_queries.SQL}
