@@ -36,7 +36,7 @@ def base_code(base: Column) -> Column:
 
 
 def code_base(code: Column) -> Column:
-    return F.coalesce(F.element_at(F.array(*map(F.lit, "ACGT")), F.when((code >= 0) & (code < 4), code + 1).otherwise(None).cast("int")), F.lit("N"))
+    return F.when((code >= 0) & (code < 4), F.substring(F.lit("ACGT"), code + 1, F.lit(1))).otherwise("N")
 
 
 def complement_code(code: Column) -> Column:
