@@ -33,7 +33,7 @@ PLAN_SAMPLE = 4096
 #: Seconds that one probe row and one candidate pair cost, and probe rows a fingerprint may have.
 ROW_S, PAIR_S, MAX_ROWS = 1e-5, 3e-9, 160
 #: Bucket rows beyond which a bucket is cut into blocks; rows of small buckets that share a task's table.
-BLOCK, CELL_ROWS = 4096, 50_000
+BLOCK, CELL_ROWS = 16_384, 50_000
 #: Pairs compared at once.
 CHUNK = 1 << 21
 
