@@ -81,16 +81,17 @@ class BlockMaxIndex:
         # vectors with the same heaviest term side by side: tighter bounds
         self.order = sorted(range(len(vectors)), key=lambda i: (vectors[i][0][vectors[i][1].argmax()] if len(vectors[i][0]) else -1, i))
         self.n = len(vectors)
-        triples = [(t, at, w) for at, i in enumerate(self.order) for t, w in zip(*vectors[i], strict=True)]
-        triples.sort(key=lambda x: x[:2])
-        terms = np.array([t for t, _, _ in triples], np.int64)
-        self.doc = np.array([d for _, d, _ in triples], np.int64)
-        self.weight = np.array([w for _, _, w in triples])
+        sizes = np.array([len(vectors[i][0]) for i in self.order], np.int64)
+        terms = np.concatenate([np.empty(0, np.int64), *(vectors[i][0] for i in self.order)])
+        docs = np.repeat(np.arange(self.n), sizes)
+        by_term = np.lexsort((docs, terms))
+        terms, self.doc = terms[by_term], docs[by_term]
+        self.weight = np.concatenate([np.empty(0), *(vectors[i][1] for i in self.order)])[by_term]
         block = self.doc // BLOCK
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(terms) != 0) | (np.diff(block) != 0)])) if triples else np.empty(0, np.int64)
-        self.start, self.stop = new, np.concatenate([new[1:], [len(triples)]]).astype(np.int64)
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(terms) != 0) | (np.diff(block) != 0)])) if len(terms) else np.empty(0, np.int64)
+        self.start, self.stop = new, np.concatenate([new[1:], [len(terms)]]).astype(np.int64)
         self.block = block[new]
-        self.bound = np.maximum.reduceat(self.weight, new) if triples else np.empty(0)
+        self.bound = np.maximum.reduceat(self.weight, new) if len(terms) else np.empty(0)
         self.entry = np.searchsorted(terms[new], np.arange(n_terms + 1))
         self.blocks = -(-self.n // BLOCK)
 
@@ -125,9 +126,9 @@ class BlockMaxIndex:
 class Model:
     """Vocabulary, idf, index, labels and calibration."""
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: list[tuple[object, int, dict[int, int]]], k: int = K):
+    def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: list[tuple[object, int, np.ndarray, np.ndarray]], k: int = K):
         self.vocabulary, self.idf, self.k = Lookup(vocabulary), idf, k
-        vectors = [self.vector(counts) for _, _, counts in examples]
+        vectors = [self.vector(terms, counts) for _, _, terms, counts in examples]
         self.index = BlockMaxIndex(vectors, len(vocabulary))
         self.ids = [examples[i][0] for i in self.index.order]
         self.labels = np.array([examples[i][1] for i in self.index.order], float)
@@ -137,9 +138,11 @@ class Model:
         if len(votes):
             self._calibrate(votes)
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array(sorted(counts), np.int64)
-        weights = np.array([1 + math.log(counts[t]) for t in terms]) * self.idf[terms] if len(terms) else np.empty(0)
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms in order and their weights, of length one."""
+        by_term = np.argsort(terms)
+        terms = np.asarray(terms, np.int64)[by_term]
+        weights = (1 + np.log(np.asarray(counts, float)[by_term])) * self.idf[terms]
         return terms, weights / np.sqrt((weights**2).sum()) if len(terms) else weights
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
@@ -162,7 +165,7 @@ class Model:
 
     def score(self, counts: dict[int, int]) -> tuple[float, list[int], list[float]]:
         """Probability of label 1, and the voting examples with their cosines."""
-        found, cosines = self.index.search(*self.vector(counts), self.k) if counts else (np.empty(0, np.int64), np.empty(0))
+        found, cosines = self.index.search(*self.vector(np.fromiter(counts, np.int64), np.fromiter(counts.values(), float)), self.k) if counts else (np.empty(0, np.int64), np.empty(0))
         z = self.coef[0] + self.coef[1] * self.vote(found, cosines)
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z)))), found.tolist(), cosines.tolist()
 
@@ -219,10 +222,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col:
             df[r["term"]] = r["n"]
     idf = np.log((1 + vectors.count()) / (1 + df)) + 1
 
-    rows = term_vectors(sample, lookup).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["terms"], r["counts"]))
+    # at most max_examples short rows, as columns
+    rows = term_vectors(sample, lookup).toArrow().combine_chunks()
     label_of = {r["doc_id"]: r["y"] for r in sample.select("doc_id", "y").collect()}
-    return Model(vocabulary, idf, [(r["doc_id"], label_of[r["doc_id"]], dict(zip(r["terms"], r["counts"], strict=True))) for r in rows], k), vectors
+    ids, lists = rows.column("doc_id").to_pylist(), {}
+    for c in ("terms", "counts"):
+        column = rows.column(c).combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
+        lists[c] = np.split(column.flatten().to_numpy().astype(np.int32), np.cumsum(np.diff(column.offsets.to_numpy()))[:-1]) if rows.num_rows else []
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], lists["terms"][i].tolist(), lists["counts"][i].tolist()))
+    return Model(vocabulary, idf, [(ids[i], label_of[ids[i]], lists["terms"][i], lists["counts"][i]) for i in order], k), vectors
 
 
 def term_vectors(docs: DataFrame, lookup: Lookup, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
