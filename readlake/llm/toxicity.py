@@ -29,7 +29,7 @@ MAX_EXAMPLES, MAX_FEATURES, K = 20_000, 4096, 7
 #: Smallest number of examples a feature occurs in, and the chance of one false feature among all.
 LEAST, ALPHA = 3, 0.05
 BLOCK, ROUND = 64, 8
-MEMO_WORDS = 300_000
+MEMO_WORDS, ROWS_A_TASK = 300_000, 20_000
 
 
 def features(text: str) -> Counter:
@@ -262,7 +262,9 @@ def scored(vectors: DataFrame, model: Model) -> DataFrame:
             scores = pa.array([s for s, _, _ in got], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), scores, pa.array(evidence, shape)], ["doc_id", "score", "evidence"])
 
-    rows = vectors.select("doc_id", "terms", "counts").mapInArrow(run, f"doc_id {kind}, score double, evidence array<struct<doc_id: {kind}, label: int, cosine: double>>")
+    # vectors are a few bytes a row, so files hold far more rows than a task should search for
+    tasks = max(1, math.ceil(vectors.count() / ROWS_A_TASK))
+    rows = vectors.select("doc_id", "terms", "counts").repartition(tasks).mapInArrow(run, f"doc_id {kind}, score double, evidence array<struct<doc_id: {kind}, label: int, cosine: double>>")
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
