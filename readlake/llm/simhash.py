@@ -113,7 +113,7 @@ def _keys(fps: np.ndarray, group: list[int]) -> np.ndarray:
 def plan(sample: np.ndarray, n: int, tau: int) -> list[tuple[list[int], int]]:
     """[(bits, threshold)] of the probed partitions with the least estimated cost for n fingerprints."""
     if not len(sample):
-        return [(list(range(BITS)), tau)]
+        sample = np.zeros(1, np.uint64)
     bits = ((sample[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(np.float64)
     half = sample[: PLAN_SAMPLE // 2], sample[len(sample) // 2 :][: PLAN_SAMPLE // 2]
     best: tuple[float, list] = (math.inf, [])
