@@ -75,7 +75,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     once = rows.filter("not again")
     first = once.groupBy("high", "low").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id <> last_id").select("high", "low", "first_id")
     across = once.join(first, ["high", "low"]).filter("doc_id <> first_id").select("doc_id", "unit", "start", "stop", "words", "first_id")
-    within = rows.filter("again").select("doc_id", "unit", "start", "stop", "words", F.col("doc_id").alias("first_id"))
+    within = rows.filter("again").join(first, ["high", "low"], "left").select("doc_id", "unit", "start", "stop", "words", F.coalesce("first_id", "doc_id").alias("first_id"))
     marked = across.unionByName(within)
     island = F.col("unit") - F.row_number().over(Window.partitionBy("doc_id").orderBy("unit", "start"))
     spans = marked.withColumn("island", island).groupBy("doc_id", "island").agg(
