@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,14 +44,16 @@ def fast_encoder(json_path: str, ranks_path: str, pattern: str) -> Callable[[str
     import tiktoken
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(json_path)
+    with open(json_path) as f:
+        special = [t["content"] for t in json.load(f)["added_tokens"]]
+    # few texts need it, and it is large: loaded with the first of them
+    slow = functools.cache(lambda: Tokenizer.from_file(json_path))
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens={})
-    special = [t.content for t in slow.get_added_tokens_decoder().values()]
 
     def encode(text: str) -> np.ndarray:
         if PLAIN.fullmatch(text) and not any(s in text for s in special):
             return np.array(fast.encode_ordinary(text), np.uint32)
-        return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(slow().encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
 

@@ -34,8 +34,8 @@ PLAN_SAMPLE = 4096
 ROW_S, PAIR_S, MAX_ROWS = 1e-5, 3e-9, 160
 #: Bucket rows beyond which a bucket is cut into blocks; rows of small buckets that share a task's table.
 BLOCK, CELL_ROWS = 16_384, 50_000
-#: Pairs compared at once.
-CHUNK = 1 << 21
+#: Pairs compared, and shingles hashed, at once.
+CHUNK = 1 << 17
 
 
 def hashes(text: bytes, words: int) -> Iterator[np.ndarray]:

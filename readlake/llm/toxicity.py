@@ -29,7 +29,7 @@ MAX_EXAMPLES, MAX_FEATURES, K = 20_000, 4096, 7
 #: Smallest number of examples a feature occurs in, and the chance of one false feature among all.
 LEAST, ALPHA = 3, 0.05
 BLOCK, ROUND = 64, 8
-MEMO_WORDS, ROWS_A_TASK = 300_000, 20_000
+MEMO_WORDS, ROWS_A_TASK = 100_000, 20_000
 
 
 def features(text: str) -> Counter:
@@ -190,6 +190,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col:
     sample = written(base.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text"), "toxic-examples")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counts() -> pa.RecordBatch:
+            words = list(n)
+            return pa.RecordBatch.from_pydict({"word": words, "n": [n[w] for w in words], "hits": [hits[w] for w in words]})
+
         n, hits = Counter(), Counter()
         for batch in batches:
             for y, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -197,10 +201,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col:
                 n.update(found)
                 if y:
                     hits.update(found)
-        words = list(n)
-        for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
-            yield pa.RecordBatch.from_pydict({"word": part, "n": [n[w] for w in part], "hits": [hits[w] for w in part]})
+                if len(n) > 100_000:
+                    yield counts()
+                    n, hits = Counter(), Counter()
+        if n:
+            yield counts()
 
     total = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("hits")).first()
     size, share = total["n"], total["hits"] / max(1, total["n"])
