@@ -74,6 +74,13 @@ def known(text: str, lookup: Lookup) -> dict[int, int]:
     return out
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches in parts, so that few texts at once are Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class BlockMaxIndex:
     """Postings of unit vectors, by term and block of consecutive vectors, with bounds."""
 
@@ -195,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col:
             return pa.RecordBatch.from_pydict({"word": words, "n": [n[w] for w in words], "hits": [hits[w] for w in words]})
 
         n, hits = Counter(), Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for y, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 found = features(text).keys()
                 n.update(found)
@@ -243,7 +250,7 @@ def term_vectors(docs: DataFrame, lookup: Lookup, *, id_col: str = "doc_id", tex
     kind, ints = dict(docs.dtypes)[id_col], pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [known(t, lookup) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(x) for x in found], ints), pa.array([list(x.values()) for x in found], ints)], ["doc_id", "terms", "counts"])
 
