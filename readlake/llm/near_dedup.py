@@ -1,13 +1,19 @@
-"""Near-duplicate documents: SimHash candidates by the generalised pigeonhole, exact Jaccard of five-word shingles.
+"""Near-duplicate documents: candidates by SimHash and by shared rare shingles, exact Jaccard of five-word shingles.
 
-Candidates are documents whose SimHashes of distinct words lie within TAU bits, whose SimHashes of
-shingles lie within FAR bits, and whose shingle counts allow the similarity. They form components with
+SimHash candidates are documents whose SimHashes of distinct words lie within TAU bits, whose SimHashes of
+shingles lie within FAR bits, and whose shingle counts allow the similarity. They miss copies that lose or
+gain many words at once, so every pair that shares a shingle of its prefixes is a candidate too: in one
+order of all shingles, two sets of the similarity meet within their first ones, whatever the edits. A pair
+is rejected only where counts of shingles by class of hash prove it less similar. Candidates form components with
 linear output; only documents of components with two or more are looked at again: the members' shingle
 sets meet in cells (blocks of large components), where bit sets give exact Jaccard for every pair. Verified links give the final classes.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,13 +21,17 @@ from pyspark.sql import functions as F
 
 from .common import id_text, written
 from .components import block_cells, components
-from .simhash import hashes, linked, majority, mapped, star
+from .simhash import hashes, linked, majority, mapped, segment_pairs, star
 
 WORDS, SIMILARITY = 5, 0.8
 #: Bits within which copies of this similarity lie: of distinct words (about 99 in 100 of pairs just at 0.8), and of shingles.
 TAU, FAR = 9, 22
 BLOCK = 512
 CELLS = 4096
+#: Documents that common shingles are looked for in (for the order of shingles only; results do not depend on it), and how many are kept.
+ORDER_SAMPLE, COMMON = 2048, 1 << 16
+#: Prefix rows of a bucket beyond which it is cut into blocks, rows of small buckets that share a task's table, and bytes of counts compared at once.
+PREFIX_BLOCK, CELL_ROWS, COMPARED = 16_384, 20_000, 1 << 23
 
 
 def _set(text: bytes) -> np.ndarray:
@@ -31,11 +41,119 @@ def _set(text: bytes) -> np.ndarray:
 
 def signature(text: bytes) -> tuple[int, int, int]:
     """(SimHash of distinct words, SimHash of distinct shingles, number of distinct shingles)."""
+    return _signature(text, _set(text))
+
+
+def _signature(text: bytes, shingles: np.ndarray) -> tuple[int, int, int]:
     words = b" ".join(sorted(set(text.lower().split())))
-    shingles = _set(text)
     return majority(hashes(words, 1)), majority(iter([shingles])), len(shingles)
 
 
+def prefix_sizes(n: int, similarity: float) -> tuple[int, int]:
+    """How many first shingles of a set of n meet those of any set of the similarity: of one not smaller than itself (home), of any one."""
+    reach = lambda share: n - math.ceil(share * n - 1e-9) + 1
+    return reach(2 * similarity / (1 + similarity)), reach(similarity)
+
+
+def class_counts(shingles: np.ndarray) -> bytes:
+    """Counts, at most 255, of the hashes by their low bits; about eight shingles or fewer a class, 32 classes or more."""
+    classes = 32 << max(0, math.ceil(math.log2(max(1, len(shingles)) / 256)))
+    counts = np.bincount((shingles & np.uint64(classes - 1)).astype(np.int64), minlength=classes)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def _common(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
+    """Shingles of three or more documents of a bounded sample, sorted."""
+    base = id_text(docs, id_col, text_col)
+    some = base.filter(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(max(1, docs.count() // ORDER_SAMPLE))) == 0).limit(ORDER_SAMPLE)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(1).cast(pa.binary()):
+                yield pa.RecordBatch.from_arrays([pa.array(_set(text.as_py()).astype(np.int64))], ["shingle"])
+
+    often = some.mapInArrow(each, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    return np.sort(np.array([r[0] for r in often.orderBy(F.desc("n"), "shingle").limit(COMMON).collect()], np.int64).astype(np.uint64))
+
+
+def prefix_links(signs: DataFrame, similarity: float, block: int = PREFIX_BLOCK) -> DataFrame:
+    """(a, b): links of (node, n, prefix, counts) whose components hold all pairs of the similarity."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                firsts = [np.frombuffer(b.as_py(), np.int64) for b in batch.column(2)]
+                homes = [prefix_sizes(n, similarity)[0] for n in batch.column(1).to_pylist()]
+                home = np.concatenate([np.arange(len(f)) < h for f, h in zip(firsts, homes, strict=True)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), pa.array(np.repeat(batch.column(0).to_numpy(), [len(f) for f in firsts])), pa.array(home)], ["bucket", "node", "home"])
+
+    rows = signs.select("node", "n", "prefix").mapInArrow(explode, "bucket long, node long, home int")
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_crowd"), F.max("home").alias("_any")).filter("_crowd > 1 and _any = 1").select("bucket", "_crowd")
+    met = written(rows.join(shared, "bucket").join(signs.select("node", "n", "counts"), "node"), "near-prefixes")
+    cells = max(8, math.ceil(met.count() / CELL_ROWS))
+    zero = F.lit(0)
+    columns = ["cell", "i", "j", "own", "bucket", "home", "node", "n", "counts"]
+    small = met.filter(F.col("_crowd") <= block).withColumns({"cell": F.pmod(F.xxhash64("bucket"), F.lit(cells)), "own": zero, "i": zero, "j": zero})
+    large = block_cells(met.filter(F.col("_crowd") > block), ["bucket"], "node", block).withColumn("cell", F.xxhash64("bucket"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        c = {x: table.column(x).to_numpy() for x in ("bucket", "home", "own", "node", "n")}
+        order = np.lexsort((-c["home"], c["bucket"]))
+        c = {k: v[order] for k, v in c.items()}
+        counts = table.column("counts").combine_chunks().take(pa.array(order)).to_pylist()
+        tier = np.array([len(x) // 32 for x in counts], np.int64)
+        bounds = np.concatenate([[0], np.flatnonzero(np.diff(c["bucket"])) + 1, [len(order)]])
+        stop = np.repeat(bounds[1:], np.diff(bounds))
+        cross = len(order) and table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        # counts of a node are held once a tier: its own, and folded to the next smaller one
+        node, first, place = np.unique(c["node"], return_index=True, return_inverse=True)
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def at_tier(t: int) -> tuple[np.ndarray, np.ndarray]:
+            if t not in held:
+                fits = np.flatnonzero((tier[first] == t) | (tier[first] == 2 * t))
+                table_ = np.zeros((len(fits), 32 * t), np.uint8)
+                for k, r in enumerate(first[fits]):
+                    x = np.frombuffer(counts[r], np.uint8)
+                    table_[k] = x if tier[r] == t else np.minimum(x.reshape(2, -1).sum(0), 255)
+                index = np.full(len(node), -1)
+                index[fits] = np.arange(len(fits))
+                held[t] = index, table_
+            return held[t]
+
+        def may(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            allowed = (c["n"][left] + c["n"][right]) * (1 - similarity) / (1 + similarity) + 1e-6
+            low, ok = np.minimum(tier[left], tier[right]), np.ones(len(left), bool)
+            for t in np.unique(low).tolist():
+                index, table_ = at_tier(t)
+                which, step = np.flatnonzero(low == t), max(1, COMPARED // (32 * t))
+                for at in range(0, len(which), step):
+                    w = which[at : at + step]
+                    x, y = table_[index[place[left[w]]]], table_[index[place[right[w]]]]
+                    ok[w] = (np.maximum(x, y) - np.minimum(x, y)).sum(1, dtype=np.int64) <= allowed[w]
+            return ok
+
+        label = np.arange(len(node))
+        homes = np.flatnonzero(c["home"] == 1)
+        for left, right in segment_pairs(homes, stop[homes]):
+            size_l, size_r = c["n"][left], c["n"][right]
+            ok = (np.minimum(size_l, size_r) >= similarity * np.maximum(size_l, size_r) - 1e-9) & (label[place[left]] != label[place[right]])
+            if cross:
+                ok &= c["own"][left] != c["own"][right]
+            left, right = left[ok], right[ok]
+            if len(left):
+                ok = may(left, right)
+                ends = place[left[ok]], place[right[ok]]
+                every = np.arange(len(label))
+                label = star(np.concatenate([ends[0], every]), np.concatenate([ends[1], label]), len(label))
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": node[label[moved]], "b": node[moved]})
+
+    both = small.select(*columns).unionByName(large.select(*columns))
+    return both.groupBy("cell", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, tau: int = TAU, block: int = BLOCK) -> DataFrame:
     """(doc_id, component_id) of every document in a class of two or more; component_id is the smallest doc_id of the class.
 
@@ -45,14 +163,23 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Defined cases: null and empty texts have no shingles and link with nothing, nor do rows with a
     null doc_id; rows that share a doc_id are one document; an empty table gives an empty result.
     """
-    signs = mapped(docs, signature, "fp long, far long, n long", id_col, text_col)
-    signs = written(signs.filter("doc_id is not null and n > 0").select(F.col("doc_id").cast("long").alias("node"), "fp", "far", "n"), "near-signatures")
+    common = _common(docs, id_col, text_col)
+
+    def sign(text: bytes) -> tuple:
+        shingles = _set(text)
+        often = np.isin(shingles, common, assume_unique=True)
+        ranked = np.concatenate([shingles[~often], shingles[often]])
+        return *_signature(text, shingles), ranked[: prefix_sizes(len(ranked), similarity)[1]].tobytes(), class_counts(shingles)
+
+    signs = mapped(docs, sign, "fp long, far long, n long, prefix binary, counts binary", id_col, text_col)
+    signs = written(signs.filter("doc_id is not null and n > 0").select(F.col("doc_id").cast("long").alias("node"), "fp", "far", "n", "prefix", "counts"), "near-signatures")
 
     def may(c: dict, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         low, high = np.minimum(c["n"][left], c["n"][right]), np.maximum(c["n"][left], c["n"][right])
         return (low >= similarity * high) & (np.bitwise_count(c["far"][left].astype(np.uint64) ^ c["far"][right].astype(np.uint64)) <= FAR)
 
-    groups = written(components(linked(signs, tau, near=may, extra="far long, n long")), "near-candidates")
+    links = linked(signs.select("node", "fp", "far", "n"), tau, near=may, extra="far long, n long").unionByName(prefix_links(signs, similarity))
+    groups = written(components(links), "near-candidates")
     base = id_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     members = base.join(groups.withColumnRenamed("node", "doc_id"), "doc_id")
 

@@ -157,6 +157,29 @@ def test_near_dedup(spark):
     assert near_dedup.near_classes(docs(spark, [])).count() == 0
 
 
+def test_near_dedup_finds_cut_and_extended_copies(spark):
+    """Copies that lose or gain all their words at one end, just above the similarity."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    own = [[word() for _ in range(n)] for n in [rng.randint(60, 300) for _ in range(60)] + [1200, 2040, 2400]]
+    rows = []
+    for i, words in enumerate(own):
+        keep = len(words) - 4 - int((len(words) - 4) * 0.19)
+        more = [word() for _ in range(int((len(words) - 4) * 0.24))]
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(words[: keep + 4])), (1000 + i, " ".join(words + more))]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_classes(docs(spark, rows)).collect()}
+    assert got == {d: 3 * i for i in range(len(own)) for d in (3 * i, 3 * i + 1, 1000 + i)}
+
+
+def test_prefix_links_by_blocks(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(i % 3, 60 + i % 3))) for i in range(40)] + [(90 + i, f"other {i}") for i in range(5)]
+    sets = [(i, near_dedup._set(t.encode())) for i, t in rows]
+    signs = spark.createDataFrame([(i, len(s), s[: near_dedup.prefix_sizes(len(s), 0.8)[1]].tobytes(), near_dedup.class_counts(s)) for i, s in sets], "node long, n long, prefix binary, counts binary")
+    for block in (6, 10_000):
+        found = components(near_dedup.prefix_links(signs, 0.8, block=block)).collect()
+        assert {(r["node"], r["component"]) for r in found} == {(i, 0) for i in range(40)}
+
+
 def test_components_and_cells(spark):
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)] + [(500, x) for x in range(501, 560)]
