@@ -11,7 +11,7 @@ from readlake.llm.exact_dedup import drop_exact_copies
 from readlake.llm.near_dedup import drop_near_copies
 from readlake.llm.packing import packed
 from readlake.llm.queries import piece_digests, public_encoder
-from readlake.llm.substring_dedup import cut, repeated_spans
+from readlake.llm.substring_dedup import MIN_UNIT, cut, repeated_spans
 from readlake.llm.toxicity import drop_toxic, fit
 
 
@@ -32,8 +32,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document holds are cut out."""
-    return cut(docs, repeated_spans(docs))
+    """Passages and lines that an earlier document holds are cut out."""
+    return cut(docs, repeated_spans(docs, line_words=MIN_UNIT))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

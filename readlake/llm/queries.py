@@ -17,7 +17,7 @@ from .packing import fast_encoder, packed
 from .preferences import preference_pairs
 from .sharding import sharded
 from .simhash import simhash_classes
-from .substring_dedup import repeated_spans
+from .substring_dedup import MIN_UNIT, repeated_spans
 from .toxicity import fit, held_out, scored
 
 
@@ -58,7 +58,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(documents(spark, sf_dir))
+    return repeated_spans(documents(spark, sf_dir), line_words=MIN_UNIT)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

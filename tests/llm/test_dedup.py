@@ -231,3 +231,23 @@ def test_substrings(spark):
     left = {r["doc_id"]: r["text"] for r in substring_dedup.cut(d, spans).collect()}
     assert passage not in left[9] and passage in left[3] and left[100] is None and left[5] == text[5] and left[None] == passage
     assert substring_dedup.repeated_spans(docs(spark, [])).count() == 0
+
+
+def test_passages_across_unit_borders(spark):
+    """Repeated passages with no sentence end of their own, glued to other text, are removed word for word; so are repeated lines where they are asked for."""
+    rng = random.Random(16)
+    fresh = iter(f"w{i}x" for i in range(100_000))
+    own = lambda n: " ".join(next(fresh) for _ in range(n))
+    rows, want = [], set()
+    for i in range(60):
+        passage, head = own(rng.randint(50, 140)), own(rng.randint(1, 60))
+        rows += [(i, f"{own(rng.randint(1, 60))} {passage} {own(rng.randint(1, 60))}"), (100 + i, f"{head} {passage.upper()} {own(7)}")]
+        want.add((100 + i, len(head) + 1, len(head) + len(passage) + 2, len(passage.split()), i))
+    line, a, b = own(5), own(12), own(12)
+    rows += [(300, f"{own(9)}\n{line}\n{own(9)}"), (301, f"{line}\n{own(9)}"), (400, f"{a}. Yes it. {b}."), (401, f"{a}. No way. {b}."), (500, " ".join(["again"] * 300)), (501, own(60))]
+    d = docs(spark, rows)
+    plain = {tuple(r) for r in substring_dedup.repeated_spans(d).select("doc_id", "start", "stop", "words", "kept_in").collect()}
+    text = dict(rows)
+    assert plain == want | {(500, 25 * 6, len(text[500]), 275, 500)}
+    lines = {tuple(r) for r in substring_dedup.repeated_spans(d, line_words=4).select("doc_id", "start", "stop", "words", "kept_in").collect()}
+    assert lines - plain == {(301, 0, len(line) + 1, 5, 300)} and plain <= lines
