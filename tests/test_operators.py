@@ -138,6 +138,14 @@ def test_overlaps(spark):
     assert [x["read_id"] for x in O.isolated(r, edges).select("read_id").collect()] == [5]
 
 
+def test_overlaps_of_common_keys(spark):
+    """More equal reads than a key's block still find each other."""
+    r = spark.createDataFrame([(i, "ACGGTCATTGCAA") for i in range(1003)], "read_id long, seq string")
+    assert O.overlaps(r).filter("off = 0 and mis = 0").count() == 1003 * 1002 // 2
+    few = r.filter("read_id < 30")
+    assert O.overlaps(few, block=4).exceptAll(O.overlaps(few)).isEmpty() and O.overlaps(few, block=4).count() == 30 * 29 // 2
+
+
 def test_digests(spark):
     r = reads(spark)
     assert R.block_digest(r, "seq", "xxhash", "block_idx").filter("length(digest) = 32").count() == 4
