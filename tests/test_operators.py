@@ -150,3 +150,15 @@ def test_digests(spark):
     r = reads(spark)
     assert R.block_digest(r, "seq", "xxhash", "block_idx").filter("length(digest) = 32").count() == 4
     assert R.unordered_digest(r, "name", "seq").first() == R.unordered_digest(r.orderBy(F.rand()), "name", "seq").first()
+
+
+def test_split_align_query_takes_all_reads(spark, tmp_path):
+    from readlake.plans.graph_queries import QUERIES
+
+    rng = random.Random(14)
+    texts = {i: "".join(rng.choice("ACGT") for _ in range(rng.randint(60, 140))) for i in range(12)}
+    rows = [(i, t, "src1", len(t)) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(1_000_000 + i, 0, min(100, len(t)), *min((c, x.find(t[:100])) for c, x in texts.items() if t[:100] in x), 0) for i, t in texts.items()}
+    got = QUERIES["split_align"](spark, str(tmp_path)).select("read_id", "seg_start", "seg_len", "contig", "pos", "mis")
+    assert {tuple(r) for r in got.collect()} == want
