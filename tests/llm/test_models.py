@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -114,16 +117,72 @@ def test_block_max_search_is_exact():
         t = np.sort(rng.choice(60, rng.integers(0, 7), replace=False))
         w = rng.random(len(t)) + 0.01
         vectors.append((t, w / np.sqrt((w * w).sum()) if len(t) else w))
-    index = toxicity.BlockMaxIndex(vectors, 60)
+    flat = [np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors])]), np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors])]
     dense = np.zeros((700, 60))
-    for at, i in enumerate(index.order):
-        dense[at, vectors[i][0]] = vectors[i][1]
-    for q in vectors[:120]:
-        found, cos = index.search(*q, 9)
-        full = np.zeros(60)
-        full[q[0]] = q[1]
-        want = np.sort((dense @ full)[dense @ full > 0])[::-1][:9]
-        assert np.allclose(cos, want)
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    for block, common in ((16, 12), (64, 3), (5, 1000)):
+        index = toxicity.BlockMaxIndex(*flat, 60, block, common)
+        found, cosines = index.search(flat[0][:301], flat[1][: flat[0][300]], flat[2][: flat[0][300]], 9, np.arange(300))
+        for i in range(300):
+            full = dense[index.order] @ dense[i]
+            full[i] = 0  # left out
+            want = np.sort(full[full > 1e-12])[::-1][:9]
+            assert np.allclose(cosines[i][: len(want)], want) and (found[i] >= 0).sum() == len(want)
+            assert np.allclose(full[found[i][found[i] >= 0]], want)
+
+
+def brute_toxicity(rows, marks, k=7):
+    """doc_id to (score, evidence) by dense vectors, written anew: all words, all pairs."""
+    y = {i: v for i, v in marks if v is not None and i is not None and zlib.crc32(str(i).encode()) % 5}
+    words = [Counter(re.findall(r"\w+", (t or "").lower())) for _, t in rows]
+    examples = [r for r, (i, _) in enumerate(rows) if i in y]
+    terms = sorted({w for r in examples for w in words[r]})
+    at, labels = {w: j for j, w in enumerate(terms)}, np.array([y[rows[r][0]] for r in examples], float)
+    count = np.zeros((len(rows), len(terms)))
+    for r, c in enumerate(words):
+        for w, n in c.items():
+            if w in at:
+                count[r, at[w]] = n
+    share, held = labels.mean(), (count[examples] > 0).sum(0)
+    hits = (count[examples][labels == 1] > 0).sum(0)
+    z = np.abs(hits - held * share) / np.sqrt(np.maximum(held * share * (1 - share) * np.maximum(1, len(labels) - held) / len(labels), 1e-12))
+    weight = np.where(count > 0, 1 + np.log(np.maximum(count, 1)), 0) * (np.log((1 + len(rows)) / (1 + (count > 0).sum(0))) + 1) * np.maximum(1, z)
+    unit = weight / np.maximum(np.sqrt((weight**2).sum(1, keepdims=True)), 1e-300)
+    cosine = unit @ unit[examples].T
+    rate = (labels.sum() + 0.5) / (len(labels) + 1)
+
+    def nearest(row):
+        best = sorted((j for j in range(len(examples)) if row[j] > 1e-12), key=lambda j: -row[j])[:k]
+        near = [1 / (1.05 - min(1, row[j])) for j in best]
+        p = (sum(n * labels[j] for n, j in zip(near, best)) + 0.5 * rate) / (sum(near) + 0.5)
+        return math.log(p / (1 - p)), [(rows[examples[j]][0], row[j]) for j in best]
+
+    votes = []
+    for j, r in enumerate(examples):
+        row = cosine[r].copy()
+        row[j] = 0
+        votes.append(nearest(row)[0])
+    x, target, coef = np.stack([np.ones(len(votes)), votes], 1), labels * 0.999 + 5e-4, np.array([0.0, 1.0])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-x @ coef))
+        coef = coef + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2), x.T @ (target - p) - 1e-2 * (coef - [0, 1]))
+    return [(i, 1 / (1 + math.exp(-coef[0] - max(coef[1], 1e-3) * (v := nearest(cosine[r]))[0])), v[1]) for r, (i, _) in enumerate(rows)]
+
+
+def test_toxicity_equals_brute_force(spark):
+    rows, marks = labelled(420, 5)
+    rows += [(900, None), (901, ""), (902, "words nobody has"), (903, (rows[4][1] + " ") * 400), (None, rows[5][1])]
+    model, vectors = toxicity.fit(frame(spark, rows), spark.createDataFrame([*marks, (None, 1), (9999, 1)], "doc_id long, toxic int"))
+    got = {repr(r["doc_id"]): r for r in toxicity.scored(vectors, model).collect()}
+    want = brute_toxicity(rows, marks)
+    assert len(got) == len(want) == len(rows)
+    for i, score, evidence in want:
+        r = got[repr(i)]
+        assert abs(r["score"] - score) < 1e-6
+        assert np.allclose([e["cosine"] for e in r["evidence"]], [c for _, c in evidence], atol=1e-9)
+    assert all(bool(got[repr(i)]["evidence"]) == bool(e) for i, _, e in want) and not got["902"]["evidence"]
+    assert sum(bool(e) for _, _, e in want) == len(rows) - 3
 
 
 def test_quality(spark):
