@@ -33,7 +33,7 @@ WORD = re.compile(r"\w+")
 MAX_EXAMPLES, K, CALIBRATION = 6144, 7, 4096
 #: Examples in a block, queries searched at once; a word that one in so many examples holds is kept in blocks.
 BLOCK, QUERIES, COMMON = 64, 128, 24
-MEMO_WORDS, ROWS_A_TASK = 100_000, 10_000
+MEMO_WORDS = 100_000
 
 INTS = pa.list_(pa.int32())
 
@@ -342,9 +342,8 @@ def scored(vectors: DataFrame, model: Model) -> DataFrame:
             shape = pa.list_(pa.struct([("doc_id", batch.schema.field(0).type), ("label", pa.int32()), ("cosine", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(evidence, shape)], ["doc_id", "score", "evidence"])
 
-    # vectors are a few bytes a row, so files hold far more rows than a task should search for
-    tasks = max(1, math.ceil(vectors.count() / ROWS_A_TASK))
-    rows = vectors.select("doc_id", "terms", "counts").repartition(tasks).mapInArrow(run, f"doc_id {kind}, score double, evidence array<struct<doc_id: {kind}, label: int, cosine: double>>")
+    # vectors have about the size of their texts, so files need not be dealt anew
+    rows = vectors.select("doc_id", "terms", "counts").mapInArrow(run, f"doc_id {kind}, score double, evidence array<struct<doc_id: {kind}, label: int, cosine: double>>")
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
