@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: Rows of a table that may be broadcast; a larger one is joined by a shuffle.
+SMALL_TABLE = 50_000
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node in ``links``: component is the smallest node reachable.
@@ -49,3 +52,20 @@ def block_cells(rows: DataFrame, bucket: list[str], row_id: str, block: int) ->
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64(row_id, F.lit(7)), F.col("_k")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
     return dealt.withColumn("_cell", F.explode(cells)).withColumn("i", F.col("_cell.i")).withColumn("j", F.col("_cell.j")).drop("_cell", "_n", "_k")
+
+
+def in_cells(rows: DataFrame, crowded: DataFrame, bucket: list[str], cells: int, block: int, useful: str = "true", row_id: str = "node") -> DataFrame:
+    """``rows`` with cell, i, j, own: small buckets share ``cells`` cells, those listed in ``crowded`` are cut by block_cells(), or left out if not ``useful``.
+
+    Only the list of crowded buckets is joined, and not at all where there is none.
+    """
+    zero = F.lit(0)
+    shared = lambda df: df.withColumns({"cell": F.pmod(F.xxhash64(*bucket), F.lit(cells)), "own": zero, "i": zero, "j": zero})
+    crowded = written(crowded, "crowded")
+    n = crowded.count()
+    if not n:
+        return shared(rows)
+    listed = F.broadcast(crowded) if n <= SMALL_TABLE else crowded
+    small = shared(rows.join(listed.select(*bucket), bucket, "left_anti"))
+    large = block_cells(rows.join(listed.filter(useful).select(*bucket), bucket, "left_semi"), bucket, row_id, block)
+    return small.unionByName(large.withColumn("cell", F.xxhash64(*bucket)))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .components import block_cells, components
+from .components import components, in_cells
 from .simhash import star
 
 #: Vectors that an unrelated bucket would hold on average; chance that a pair at the threshold shares a bucket.
@@ -54,6 +54,18 @@ def cosine_classes(vectors: DataFrame, *, threshold: float = 0.95, id_col: str =
     n = nodes.count()
     bits, tables = shape(n, threshold, recall)
 
+    single = dict(vectors.dtypes)[vec_col] == "array<float>"
+    kind_of = np.float32 if single else np.float64
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        x = x.astype(np.float64)
+        x = x / np.abs(x).max(1, keepdims=True)  # no overflow in the norm
+        return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+    def signs(x: np.ndarray) -> np.ndarray:
+        """Keys of unit vectors, one column a table."""
+        return (((x @ _planes(x.shape[1], bits, tables, seed)) > 0).reshape(len(x), tables, bits) << np.arange(bits)).sum(2)
+
     def probes(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
@@ -64,48 +76,43 @@ def cosine_classes(vectors: DataFrame, *, threshold: float = 0.95, id_col: str =
                 starts = np.concatenate([[0], np.cumsum(lengths)])
                 for dim in np.unique(lengths):
                     rows_of = np.flatnonzero(lengths == dim)
-                    x = flat[starts[rows_of][:, None] + np.arange(dim)]
-                    x = x / np.abs(x).max(1, keepdims=True)  # no overflow in the norm
-                    x /= np.sqrt((x * x).sum(1, keepdims=True))
-                    signs = (x @ _planes(int(dim), bits, tables, seed) > 0).reshape(len(x), tables, bits)
-                    keys = (signs << np.arange(bits)).sum(2).astype(np.int32)
+                    raw = flat[starts[rows_of][:, None] + np.arange(dim)]
+                    keys = signs(unit(raw))
                     index = pa.array(rows_of)
-                    same = [batch.column(1).take(index), batch.column(2).take(index), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary())]
+                    same = [batch.column(1).take(index), batch.column(2).take(index), pa.array([r.tobytes() for r in raw.astype(kind_of)], pa.binary())]
                     for t in range(tables):
-                        bucket = keys[:, t].astype(np.int64) << 32 | int(dim)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(bucket), *same], ["part", "bucket", "node", "weight", "x", "keys"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), t, np.int32)), pa.array(keys[:, t].astype(np.int64) << 32 | int(dim)), *same], ["part", "bucket", "node", "weight", "x"])
 
     kind = dict(nodes.dtypes)["node"]
-    probed = nodes.select("v", "node", "weight").mapInArrow(probes, f"part int, bucket long, node {kind}, weight long, x binary, keys binary")
+    probed = nodes.select("v", "node", "weight").mapInArrow(probes, f"part int, bucket long, node {kind}, weight long, x binary")
     hot = probed.groupBy("part", "bucket").agg(F.count(F.lit(1)).alias("n")).filter(f"n > {block}")
-    dealt = probed.join(hot, ["part", "bucket"], "left")
-    cells = max(8, math.ceil(n * tables / CELL_ROWS))
-    small = dealt.filter("n is null").withColumn("cell", F.pmod(F.xxhash64("part", "bucket"), F.lit(cells))).withColumn("own", F.lit(0)).withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
-    large = block_cells(dealt.filter("n is not null").drop("n"), ["part", "bucket"], "node", block).withColumn("cell", F.xxhash64("part", "bucket"))
-    columns = ["part", "cell", "i", "j", "own", "bucket", "node", "weight", "x", "keys"]
+    columns = ["part", "cell", "i", "j", "own", "bucket", "node", "weight", "x"]
+    dealt = in_cells(probed, hot, ["part", "bucket"], max(8, math.ceil(n * tables / CELL_ROWS)), block).select(*columns)
 
     def compare(table: pa.Table) -> pa.Table:
         bucket, own, node, weight = (table.column(c).to_numpy() for c in ("bucket", "own", "node", "weight"))
         cross, part = table.column("i")[0].as_py() != table.column("j")[0].as_py(), table.column("part")[0].as_py()
         order = np.argsort(bucket, kind="stable")
-        x, keys = table.column("x").combine_chunks(), table.column("keys").combine_chunks()
+        x = table.column("x").combine_chunks()
         bounds = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
         nodes_out, links_out, to_out = [], [], []
         for at, stop in zip(bounds[:-1], bounds[1:], strict=True):
             if stop - at < 2:
                 continue
             rows_of = order[at:stop]
-            take = pa.array(rows_of)
-            m = np.stack([np.frombuffer(b, np.float64) for b in x.take(take).to_pylist()])
+            m = unit(np.stack([np.frombuffer(b, kind_of) for b in x.take(pa.array(rows_of)).to_pylist()]))
             left, right = np.nonzero(np.triu(m @ m.T >= threshold, 1))
             if cross:
                 ok = own[rows_of[left]] != own[rows_of[right]]
                 left, right = left[ok], right[ok]
             if part and len(left):
-                k = np.stack([np.frombuffer(b, np.int32) for b in keys.take(take).to_pylist()])[:, :part]
+                # a pair counts in the first of the tables that it shares a bucket in
+                met, place = np.unique(np.concatenate([left, right]), return_inverse=True)
+                k = signs(m[met])[:, :part]
+                left_k, right_k = place[: len(left)], place[len(left) :]
                 fresh = np.ones(len(left), bool)
                 for t in range(part):
-                    fresh &= k[left, t] != k[right, t]
+                    fresh &= k[left_k, t] != k[right_k, t]
                 left, right = left[fresh], right[fresh]
             if len(left):
                 w, ids = weight[rows_of], node[rows_of]
@@ -118,7 +125,7 @@ def cosine_classes(vectors: DataFrame, *, threshold: float = 0.95, id_col: str =
         cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
         return pa.table({"node": pa.array(cat(nodes_out), table.schema.field("node").type), "links": pa.array(cat(links_out), pa.int64()), "to": pa.array(cat(to_out), table.schema.field("node").type)})
 
-    found = small.select(*columns).unionByName(large.select(*columns)).groupBy("part", "cell", "i", "j").applyInArrow(compare, f"node {kind}, links long, to {kind}")
+    found = dealt.groupBy("part", "cell", "i", "j").applyInArrow(compare, f"node {kind}, links long, to {kind}")
     found = written(found, "vector-links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found, "node", "to")

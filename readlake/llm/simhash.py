@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, written
-from .components import block_cells, components
+from .components import components, in_cells
 
 BITS, SEED = 64, 42
 #: Fingerprints that the plan is estimated from.
@@ -110,8 +110,8 @@ def _keys(fps: np.ndarray, group: list[int]) -> np.ndarray:
     return out
 
 
-def plan(sample: np.ndarray, n: int, tau: int) -> list[tuple[list[int], int]]:
-    """[(bits, threshold)] of the probed partitions with the least estimated cost for n fingerprints."""
+def plan(sample: np.ndarray, n: int, tau: int, max_rows: int = MAX_ROWS) -> list[tuple[list[int], int]]:
+    """[(bits, threshold)] of the probed partitions with the least estimated cost for n fingerprints; where none keeps to ``max_rows`` probe rows, twice as many are allowed."""
     if not len(sample):
         sample = np.zeros(1, np.uint64)
     bits = ((sample[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(np.float64)
@@ -136,12 +136,12 @@ def plan(sample: np.ndarray, n: int, tau: int) -> list[tuple[list[int], int]]:
             for total, (c, rows, chosen) in states.items():
                 for t, (more, some) in cost.items():
                     state = (c + more, rows + some, (*chosen, t))
-                    if state[1] <= MAX_ROWS and (total + t not in new or state < new[total + t]):
+                    if state[1] <= max_rows and (total + t not in new or state < new[total + t]):
                         new[total + t] = state
             states = new
         if budget in states and states[budget][0] < best[0]:
             best = states[budget][0], [(g, t) for g, t in zip(groups, states[budget][2], strict=True) if t >= 0]
-    return best[1]
+    return best[1] or plan(sample, n, tau, 2 * max_rows)
 
 
 def star(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -202,13 +202,11 @@ def linked(rows: DataFrame, tau: int, *, near: Callable[[dict, np.ndarray, np.nd
                     yield pa.RecordBatch.from_arrays([*out, *(batch.column(i).take(index) for i in range(len(names)))], ["part", "bucket", "home", *names])
 
     probed = rows.mapInArrow(probes, "part int, bucket long, home int, " + ", ".join(f"{x} long" for x in names))
-    hot = probed.groupBy("part", "bucket").agg(F.count(F.lit(1)).alias("_crowd"), F.max("home").alias("_any")).filter(f"_crowd > {block} and _any = 1").select("part", "bucket", "_crowd")
-    dealt = probed.join(hot, ["part", "bucket"], "left")
+    hot = probed.groupBy("part", "bucket").agg(F.count(F.lit(1)).alias("_crowd"), F.max("home").alias("_any")).filter(f"_crowd > {block}")
     cells = max(8, math.ceil(n * sum((len(f) + 1) / 2 for f in masks) / CELL_ROWS))
-    small = dealt.filter("_crowd is null").withColumn("cell", F.pmod(F.xxhash64("part", "bucket"), F.lit(cells))).withColumn("own", F.lit(0)).withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
-    large = block_cells(dealt.filter("_crowd is not null").drop("_crowd"), ["part", "bucket"], "node", block).withColumn("cell", F.xxhash64("part", "bucket"))
+    both = in_cells(probed, hot, ["part", "bucket"], cells, block, "_any = 1")
     columns = ["part", "cell", "i", "j", "own", "bucket", "home", *names]
-    both = small.select(*columns).unionByName(large.select(*columns))
+    both = both.select(*columns)
 
     def compare(table: pa.Table) -> pa.Table:
         c = {x: table.column(x).to_numpy() for x in ("bucket", "home", "own", *names)}
