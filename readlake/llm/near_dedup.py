@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, written
+from .common import id_text, integral, numbered, written
 from .components import block_cells, components
 from .simhash import hashes, linked, majority, mapped, segment_pairs, star
 
@@ -161,8 +161,15 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     (lower-cased A-Z; fewer words: the whole sequence) is ``similarity`` or more.
 
     Defined cases: null and empty texts have no shingles and link with nothing, nor do rows with a
-    null doc_id; rows that share a doc_id are one document; an empty table gives an empty result.
+    null doc_id; rows that share a doc_id are one document; ids of other types than integers are
+    numbered first; an empty table gives an empty result.
     """
+    if not integral(docs, id_col):
+        ids = numbered(docs, id_col)
+        base = id_text(docs, id_col, text_col).join(ids, "doc_id").select(F.col("node").alias("doc_id"), "text")
+        classes = near_classes(base, similarity=similarity, tau=tau, block=block).join(ids.withColumnRenamed("doc_id", "own"), F.col("doc_id") == F.col("node"))
+        least = classes.groupBy("component_id").agg(F.min("own").alias("least"))
+        return classes.join(least, "component_id").select(F.col("own").alias("doc_id"), F.col("least").alias("component_id"))
     common = _common(docs, id_col, text_col)
 
     def sign(text: bytes) -> tuple:

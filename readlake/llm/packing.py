@@ -10,7 +10,8 @@ A map over the scan, no shuffle: each task packs the documents it reads, window
   exactly: the last piece is cut and its rest goes back to the tier that suits it.
 * Step groups: sequences of one tier, ``step_tokens`` tokens together, so that every group costs the
   same number of tokens.
-* What is left at the end of a task is cut into sequences of lengths that are powers of two.
+* What is left at the end of a task is cut into sequences of lengths that are powers of two; groups not
+  full by then are dealt anew over all lengths, so that all but one of a task's groups are full or nearly so.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ class Packer:
         self.pools: list[list] = [[] for _ in tiers]
         self.held = self.arrivals = 0
         self.next_sequence = self.next_group = task * IDS_PER_TASK
-        self.groups: dict[int, list[int]] = {}
+        self.open: dict[int, list[list[tuple]]] = {}  # sequences of each length that wait for their group
 
     def _route(self, doc: tuple, start: int, ids: np.ndarray) -> None:
         if len(ids):
@@ -81,17 +82,33 @@ class Packer:
         return piece
 
     def _emit(self, size: int, pieces: list[tuple]) -> Iterator[tuple]:
-        sequence = self.next_sequence
-        self.next_sequence += 1
-        group = self.groups.setdefault(size, [0, -1])
-        if group[1] < 0 or group[0] + size > self.step_tokens:
-            group[:] = [0, self.next_group]
-            self.next_group += 1
-        group[0] += size
-        offset = 0
+        rows, offset = [], 0
         for length, _, doc, start, ids in pieces:
-            yield (*doc[:1], start, length, ids.tobytes(), doc[1], sequence, offset, size, group[1])
+            rows.append((*doc[:1], start, length, ids.tobytes(), doc[1], self.next_sequence, offset, size))
             offset += length
+        self.next_sequence += 1
+        waiting = self.open.setdefault(size, [])
+        waiting.append(rows)
+        if (len(waiting) + 1) * size > self.step_tokens:
+            yield from self._group(self.open.pop(size))
+
+    def _group(self, sequences: list[list[tuple]]) -> Iterator[tuple]:
+        for rows in sequences:
+            yield from ((*row, self.next_group) for row in rows)
+        self.next_group += 1
+
+    def _last_groups(self) -> Iterator[tuple]:
+        """Sequences of groups that did not fill, longest first into the first group with room."""
+        groups: list[tuple[int, list]] = []
+        for size in sorted(self.open, reverse=True):
+            for rows in self.open[size]:
+                at = next((i for i, (held, _) in enumerate(groups) if held + size <= self.step_tokens), len(groups))
+                if at == len(groups):
+                    groups.append((0, []))
+                groups[at] = groups[at][0] + size, [*groups[at][1], rows]
+        self.open = {}
+        for _, sequences in groups:
+            yield from self._group(sequences)
 
     def add(self, doc_id: object, ids: np.ndarray) -> Iterator[tuple]:
         doc, top, start = (doc_id, len(ids)), self.tiers[-1], 0
@@ -154,6 +171,7 @@ class Packer:
                     gap -= length
                 total -= size
                 yield from self._emit(size, pieces)
+            yield from self._last_groups()
 
 
 def packed(

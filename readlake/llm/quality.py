@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import id_text
 
 BITS, MAX_EXAMPLES, STEPS, RIDGE = 16, 12_000, 300, 1e-5
-MEMO_WORDS = 300_000
+#: Words remembered, and letters of a word that is one feature; longer ones are cut into pieces.
+MEMO_WORDS, PIECE = 300_000, 64
 _SQUEEZE = re.compile(r"(.)\1+", re.S)
 
 
@@ -33,10 +34,10 @@ class Slots(dict):
     """word to the slots of its lower-case form and of its shape (letters by case, digits, other signs; runs once)."""
 
     def __missing__(self, word: str) -> tuple[int, int]:
-        shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64])
+        shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word)
         if len(self) >= MEMO_WORDS:
             self.clear()
-        out = self[word] = _slot("w" + word[:64].lower()), _slot("s" + _SQUEEZE.sub(r"\1", shape))
+        out = self[word] = _slot("w" + word.lower()), _slot("s" + _SQUEEZE.sub(r"\1", shape))
         return out
 
 
@@ -46,6 +47,8 @@ _slots = Slots()
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(slots, values): square roots of the shares of words and of shapes; one-hot tenths of repeats and distinct words; length."""
     words = text.split()
+    if len(text) > PIECE and any(len(w) > PIECE for w in words):  # long ones count piece by piece
+        words = [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
     n = max(1, len(words))
     counts = Counter(words)
     shapes: Counter = Counter()
@@ -131,8 +134,8 @@ def fit(docs: DataFrame, ratings: DataFrame, *, grade_col: str = "grade", top: i
 def graded(docs: DataFrame, model: Model, *, tail: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, expected_grade, tail_probability (of ``tail`` or better), kept (that is 0.5 or more).
 
-    Defined cases: null text counts as empty and gets the score of a text without words; null and
-    repeated ids pass through; an empty table gives an empty result; other columns are ignored.
+    Defined cases: null text counts as empty and gets the score of a text without words; a text without
+    white space counts piece by piece; null and repeated ids pass through; an empty table gives an empty result; other columns are ignored.
     """
     kind = dict(docs.dtypes)[id_col]
 

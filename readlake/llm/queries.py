@@ -58,7 +58,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(documents(spark, sf_dir), line_words=MIN_UNIT)
+    return repeated_spans(documents(spark, sf_dir), line_words=MIN_UNIT).drop("text_key")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,14 +94,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2k (chosen) and 2k + 1 (rejected) are a pair."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    pairs = preference_pairs(turns.select(F.expr("conv_id div 2").alias("pair_id"), (F.col("conv_id") % 2 == 0).alias("chosen"), "turn", "role", "text"))
+    pairs = preference_pairs(turns.select(F.shiftright("conv_id", 1).alias("pair_id"), (F.col("conv_id").bitwiseAND(F.lit(1)) == 0).alias("chosen"), "turn", "role", "text"))
     spans = lambda mask: F.array_join(F.transform(mask, lambda m: F.concat_ws("-", m["start"].cast("string"), m["stop"].cast("string"))), ",")
     return pairs.withColumn("chosen_mask", spans("chosen_mask")).withColumn("rejected_mask", spans("rejected_mask"))
 
 
 OP10_SQL = r"""
 WITH t AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS c, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role,
+  SELECT conv_id >> 1 AS pair_id, conv_id & 1 = 0 AS c, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role,
          regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '<\\|\1|>', 'g') AS text
   FROM conversations WHERE conv_id IS NOT NULL
 ), n AS (

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, written
+from .common import id_text, integral, written
 
 #: Bounds of what is sent to the driver.
 MAX_RANGES, SAMPLES_PER_RANGE = 4096, 16
@@ -51,7 +51,8 @@ def sharded(docs: DataFrame, shards: int = 16, *, law: str = "bytes", id_col: st
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard (null: neither law keeps shards when one is added).
 
     law "bytes": shards' sizes (UTF-8 bytes + 1) differ from the mean by less than one record plus
-    WHOLE_GROUP of a shard; law "rows": counts differ by at most one. Within a shard, slots run in
+    WHOLE_GROUP of a shard (a group of equal texts up to that size is not cut by a boundary, a larger
+    one is); law "rows": counts differ by at most one. Within a shard, slots run in
     key order from 0 without gaps.
 
     Defined cases: null text has size 1 and the checksum of the empty text; rows with a null doc_id
@@ -62,10 +63,12 @@ def sharded(docs: DataFrame, shards: int = 16, *, law: str = "bytes", id_col: st
         raise ValueError(f"unknown law {law!r}")
     spark = docs.sparkSession
     text = id_text(docs, id_col, text_col)
+    # ids of other types than integers order equal texts by their hash
+    order = F.col("doc_id").cast("long") if integral(docs, id_col) else F.xxhash64("doc_id")
     # the rank among rows that agree in everything else does not matter, but must be fixed: so it is written
     rows = text.select(
         "doc_id", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32("text").alias("text_crc32"), F.xxhash64("text").alias("h"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("o"), F.monotonically_increasing_id().alias("row"),
+        F.when(F.col("doc_id").isNull(), F.lit(-(1 << 63))).otherwise(order).alias("o"), F.monotonically_increasing_id().alias("row"),
     )
     rows = written(rows, "shard-records")
     weight = F.col("size") if law == "bytes" else F.lit(1).cast("long")

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_text, written
@@ -35,7 +35,18 @@ MIN_UNIT, MIN_WORDS = 4, 25
 PASSAGE, WINDOW = 50, 25
 WORD = re.compile(r"\S+")
 #: What goes through shuffles, packed: start and stop in span; first word, number of words and the mark of whole lines in place.
-FIELDS = ["unit", "span", "place", "high", "low", "again"]
+#: ``mark`` is the row's text (62 bits of a hash, so rows that share a doc_id are told apart) and how often its document had the digest before.
+FIELDS = ["unit", "span", "place", "high", "low", "mark"]
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, own) of the rows with an id; ``own`` tells texts apart."""
+    base = id_text(docs, id_col, text_col).filter("doc_id is not null")
+    return base.withColumn("own", text_key(F.col("text")))
+
+
+def text_key(text: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(text), 2)
 
 
 def _packed(unit: np.ndarray, start: np.ndarray, stop: np.ndarray, at: np.ndarray, words: np.ndarray, high: np.ndarray, low: np.ndarray, line: np.ndarray, again: np.ndarray) -> list[np.ndarray]:
@@ -47,7 +58,7 @@ def _unpacked(rows: DataFrame) -> DataFrame:
     place = F.col("place").bitwiseAND(low)
     return rows.select(
         "doc_id", "unit", F.shiftright("span", 32).alias("start"), F.col("span").bitwiseAND(low).alias("stop"), F.shiftright("place", 32).alias("at"),
-        F.shiftright(place, 1).alias("words"), place.bitwiseAND(F.lit(1)).alias("line"), "first_id",
+        F.shiftright(place, 1).alias("words"), place.bitwiseAND(F.lit(1)).alias("line"), F.shiftrightunsigned("mark", 2).alias("own"), "first_id",
     )
 
 
@@ -97,10 +108,10 @@ def _unit_rows(docs: DataFrame, id_col: str, text_col: str, lines: bool) -> Data
                 _, first = np.unique(np.column_stack([rows, table[:, 5:7]]), axis=0, return_index=True)
                 again = np.ones(len(found), np.int64)
                 again[first] = 0
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *map(pa.array, _packed(*table.T, again))], ["doc_id", *FIELDS])
+                mark = batch.column(2).to_numpy()[rows] << 2 | again
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *map(pa.array, _packed(*table.T, mark))], ["doc_id", *FIELDS])
 
-    rows = id_text(docs, id_col, text_col).filter("doc_id is not null")
-    return rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{x} long" for x in FIELDS))
+    return _texts(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{x} long" for x in FIELDS))
 
 
 BASES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -147,9 +158,10 @@ def _anchor_rows(docs: DataFrame, kind: str) -> DataFrame:
                 batch = whole.slice(at, 128)
                 found = [anchors(t.lower().split()) for t in batch.column(1).to_pylist()]
                 rows = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))], ["doc_id", "key", "first", "last"])
+                ids = [batch.column(0).take(pa.array(rows)), batch.column(2).take(pa.array(rows))]
+                yield pa.RecordBatch.from_arrays([*ids, *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))], ["doc_id", "own", "key", "first", "last"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, key long, first long, last long")
+    return docs.mapInArrow(run, f"doc_id {kind}, own long, key long, first long, last long")
 
 
 def _windows(text: str, places: list[dict]) -> np.ndarray:
@@ -174,76 +186,83 @@ def _windows(text: str, places: list[dict]) -> np.ndarray:
 
 def _window_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = dict(docs.dtypes)[id_col]
-    base = id_text(docs, id_col, text_col).filter("doc_id is not null")
+    base = _texts(docs, id_col, text_col)
     rows = written(_anchor_rows(base, kind), "anchors")
     twice = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("last") - F.col("first")).alias("far")).filter(f"n > 1 or far >= {WINDOW}").select("key")
-    order = Window.partitionBy("doc_id").orderBy("first")
+    order = Window.partitionBy("doc_id", "own").orderBy("first")
     far = lambda x: F.coalesce(x > WINDOW, F.lit(True)).cast("int")
     shared = written(rows.join(twice, "key").withColumns({"left": far(F.col("first") - F.lag("last").over(order)), "right": far(F.lead("first").over(order) - F.col("last"))}), "shared-anchors")
     ends = shared.groupBy("key").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-    places = shared.drop("left", "right").join(ends, "key").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "left", "right")).alias("places"))
+    places = shared.drop("left", "right").join(ends, "key").groupBy("doc_id", "own").agg(F.collect_set(F.struct("first", "last", "left", "right")).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
-                found = [_windows(t, p) for t, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+                found = [_windows(t, p) for t, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
                 rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
                 table = np.concatenate(found)
+                table[:, -1] |= batch.column(1).to_numpy()[rows] << 2
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *(pa.array(table[:, i]) for i in range(len(FIELDS)))], ["doc_id", *FIELDS])
 
-    return base.join(places, "doc_id").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{x} long" for x in FIELDS))
+    return base.join(places, ["doc_id", "own"]).select("doc_id", "own", "text", "places").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{x} long" for x in FIELDS))
 
 
 def _marked(rows: DataFrame) -> DataFrame:
     """The rows that are not the earliest of their digest, with first_id, the document of that."""
-    once = rows.filter("again = 0")
+    again = F.col("mark").bitwiseAND(F.lit(3))
+    once = rows.filter(again == 0)
     first = once.groupBy("high", "low").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id <> last_id").select("high", "low", "first_id")
-    columns = ["doc_id", "unit", "span", "place"]
+    columns = ["doc_id", "unit", "span", "place", "mark"]
     across = once.join(first, ["high", "low"]).filter("doc_id <> first_id").select(*columns, "first_id")
-    within = rows.filter("again > 0").join(first, ["high", "low"], "left").filter("again = 1 or doc_id <> first_id").select(*columns, F.coalesce("first_id", "doc_id").alias("first_id"))
+    within = rows.filter(again > 0).join(first, ["high", "low"], "left").filter((again == 1) | (F.col("doc_id") != F.col("first_id"))).select(*columns, F.coalesce("first_id", "doc_id").alias("first_id"))
     return _unpacked(across.unionByName(within))
 
 
 def _merged(pieces: DataFrame) -> DataFrame:
     """doc_id, start, stop, at, upto, units, first_id of the unions of pieces that touch or overlap."""
-    order = Window.partitionBy("doc_id").orderBy("at", "upto", "start")
+    order = Window.partitionBy("doc_id", "own").orderBy("at", "upto", "start")
     reach = F.max("upto").over(order.rowsBetween(Window.unboundedPreceding, -1))
     cut_ = pieces.withColumn("_new", F.coalesce(F.col("at") > reach, F.lit(True)).cast("int")).withColumn("_island", F.sum("_new").over(order))
-    return cut_.groupBy("doc_id", "_island").agg(
+    return cut_.groupBy("doc_id", "own", "_island").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("at").alias("at"), F.max("upto").alias("upto"), F.sum("units").alias("units"), F.min("first_id").alias("first_id"),
     ).drop("_island")
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, line_words: int | None = None) -> DataFrame:
-    """One row per removed span: doc_id, start, stop (code points of the original text), words, units (whole units in it), kept_in (smallest doc_id that keeps a part of it).
+    """One row per removed span: doc_id, text_key (tells rows of one doc_id apart), start, stop (code points of the original text), words, units (whole units in it), kept_in (smallest doc_id that keeps a part of it).
 
     Spans are runs of repeated units with ``min_words`` or more, runs of repeated windows with as many
     (every one of a passage of PASSAGE words or more, of a shorter one those near an anchor in it), and, with ``line_words``, repeated lines of so many words or more.
 
     Defined cases: null and empty texts have no units; rows with a null doc_id have no rank, so they
-    neither lose nor claim a unit; rows that share a doc_id rank as one document; an empty table
-    gives an empty result; other columns are ignored.
+    neither lose nor claim a unit; rows that share a doc_id rank alike, so they lose nothing to each
+    other, and have spans of their own; rows alike in id and text have the same spans, once; an empty
+    table gives an empty result; other columns are ignored.
     """
     marked = written(_marked(written(_unit_rows(docs, id_col, text_col, line_words is not None), "units")), "marked-units")
-    island = F.col("unit") - F.row_number().over(Window.partitionBy("doc_id").orderBy("unit", "start"))
+    island = F.col("unit") - F.dense_rank().over(Window.partitionBy("doc_id", "own").orderBy("unit"))
     upto = F.col("at") + F.col("words")
-    runs = marked.filter("unit >= 0").withColumn("island", island).groupBy("doc_id", "island").agg(
+    runs = marked.filter("unit >= 0").withColumn("island", island).groupBy("doc_id", "own", "island").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("at").alias("at"), F.max(upto).alias("upto"),
-        F.count(F.lit(1)).alias("units"), F.min("first_id").alias("first_id"),
+        (F.max("unit") - F.min("unit") + 1).alias("units"), F.min("first_id").alias("first_id"),
     ).drop("island").filter(f"upto - at >= {min_words}")
-    columns = ["doc_id", "start", "stop", "at", "upto", "units", "first_id"]
+    columns = ["doc_id", "own", "start", "stop", "at", "upto", "units", "first_id"]
     windows = _marked(written(_window_rows(docs, id_col, text_col), "windows")).withColumn("upto", upto).withColumn("units", F.lit(0))
     pieces = runs.select(*columns).unionByName(_merged(windows.select(*columns)).filter(f"upto - at >= {min_words}").select(*columns))
     if line_words is not None:
         lines = marked.filter(f"line = 1 and words >= {line_words}")
         pieces = pieces.unionByName(lines.withColumn("upto", upto).withColumn("units", F.lit(1)).select(*columns))
-    return _merged(pieces).select("doc_id", "start", "stop", (F.col("upto") - F.col("at")).alias("words"), "units", F.col("first_id").alias("kept_in"))
+    return _merged(pieces).select("doc_id", F.col("own").alias("text_key"), "start", "stop", (F.col("upto") - F.col("at")).alias("words"), "units", F.col("first_id").alias("kept_in"))
 
 
 def cut(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
-    """``docs`` with the spans taken out of their texts; ``count_col``, if there is one, counts what is left. Null texts stay null."""
-    cuts = spans.groupBy(F.col("doc_id").alias("_cut_id")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_cuts"))
+    """``docs`` with the spans taken out of their texts, each by doc_id and text; ``count_col``, if there is one, counts what is left.
+
+    Defined cases: null texts stay null, rows with a null id and rows without spans stay as they are;
+    columns named like those used inside stay as they are.
+    """
+    cuts = spans.groupBy(F.col("doc_id").alias("_cut_id"), F.col("text_key").alias("_cut_key")).agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("_cuts"))
 
     @F.pandas_udf("string")
     def without(texts, cuts):
@@ -258,9 +277,15 @@ def cut(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col:
 
         return texts.combine(cuts, one)
 
-    joined = docs.join(cuts, docs[id_col] == F.col("_cut_id"), "left")
-    text = F.when(F.col("_cuts").isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col("_cuts")))
-    new = joined.withColumn(text_col, text)
-    if count_col in docs.columns:
-        new = new.withColumn(count_col, F.when(F.col("_cuts").isNull(), F.col(count_col)).otherwise(F.char_length(text_col)).cast(docs.schema[count_col].dataType))
-    return new.select(*docs.columns)
+    # columns by position, so names may be whatever they are
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    at = {n: f"c{i}" for i, n in enumerate(names)}
+    own = text_key(F.coalesce(F.col(at[text_col]).cast("string"), F.lit("")))
+    joined = plain.join(cuts, (F.col(at[id_col]) == F.col("_cut_id")) & (own == F.col("_cut_key")), "left")
+    has = F.col("_cuts").isNotNull()
+    text = F.when(has, without(F.col(at[text_col]), F.col("_cuts"))).otherwise(F.col(at[text_col]))
+    new = joined.withColumn(at[text_col], text)
+    if count_col in at:
+        new = new.withColumn(at[count_col], F.when(has, F.char_length(at[text_col]).cast(docs.schema[count_col].dataType)).otherwise(F.col(at[count_col])))
+    return new.select(*(F.col(c).alias(n) for n, c in at.items()))
