@@ -42,13 +42,13 @@ def global_depth(n_entries: int, bucket_rows: int) -> int:
 def directory(entries: DataFrame, n_entries: int, bucket_rows: int) -> DataFrame:
     """(prefix, depth, bucket): the directory at its global depth, one row per prefix that occurs.
 
-    ``depth`` is the bucket's local depth, the least at which it holds ``bucket_rows`` entries or
-    fewer (the global depth where not even that is enough: equal keys cannot be told apart by bits).
+    ``depth`` is the bucket's local depth, the least from the first directory's on (where the mean bucket
+    would be overfull) at which it holds ``bucket_rows`` entries or fewer (the global depth where not even that is enough: equal keys cannot be told apart by bits).
     The table has at most 2**SLACK_BITS * n_entries / bucket_rows rows, so it is joined, not collected.
     """
     top = global_depth(n_entries, bucket_rows)
     cells = entries.groupBy(F.shiftrightunsigned("key", 64 - top).alias("prefix")).agg(F.count(F.lit(1)).alias("rows"))
-    levels = cells.select("prefix", "rows", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("depth"))
+    levels = cells.select("prefix", "rows", F.explode(F.sequence(F.lit(max(0, top - SLACK_BITS - 2)), F.lit(top))).alias("depth"))
     levels = levels.withColumn("head", F.expr(f"shiftright(prefix, {top} - depth)"))
     fill = levels.groupBy("depth", "head").agg(F.sum("rows").alias("fill"))
     fit = levels.join(fill, ["depth", "head"]).filter((F.col("fill") <= bucket_rows) | (F.col("depth") == top))

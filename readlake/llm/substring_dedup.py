@@ -212,7 +212,8 @@ def _marked(rows: DataFrame) -> DataFrame:
     """The rows that are not the earliest of their digest, with first_id, the document of that."""
     again = F.col("mark").bitwiseAND(F.lit(3))
     once = rows.filter(again == 0)
-    first = once.groupBy("high", "low").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id <> last_id").select("high", "low", "first_id")
+    # written, so that the joins with it are dealt by themselves and a digest of many rows can be split
+    first = written(once.groupBy("high", "low").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id <> last_id").select("high", "low", "first_id"), "first-units")
     columns = ["doc_id", "unit", "span", "place", "mark"]
     across = once.join(first, ["high", "low"]).filter("doc_id <> first_id").select(*columns, "first_id")
     within = rows.filter(again > 0).join(first, ["high", "low"], "left").filter((again == 1) | (F.col("doc_id") != F.col("first_id"))).select(*columns, F.coalesce("first_id", "doc_id").alias("first_id"))
