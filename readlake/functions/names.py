@@ -62,8 +62,8 @@ def split_list(s: Column, sign: str = ",") -> Column:
 
 
 def file_stem(path: Column) -> Column:
-    """Last part of a path, up to its first dot."""
-    return F.regexp_extract(path, r"([^/.]*)[^/]*$", 1)
+    """Last part of a path, up to its second dot."""
+    return F.regexp_extract(path, r"([^/.]*(?:\.[^/.]*)?)[^/]*$", 1)
 
 
 def posix_pattern(pattern: str) -> str:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
-from ..functions.sequence import degenerate_letters, hamming, mismatches, reverse_complement
+from ..functions.packed import mismatch_count
+from ..functions.sequence import degenerate_letters, mismatches, reverse_complement
 from .index import K, query_seeds, rarest_seeds, seed_counts, seeds
 
 #: Caps of the seed search (fixed values): occurrences of a seed, of a seed of a short part, candidates a read.
@@ -17,11 +18,20 @@ LIMIT_PERCENT = 8
 CHUNK = 4096
 
 
-def chunks(ref: DataFrame, overlap: int, size: int = CHUNK) -> DataFrame:
-    """contig, chunk, piece: overlapping pieces, so that a candidate meets its own neighbourhood and not a whole contig."""
+def chunks(ref: DataFrame, size: int = CHUNK) -> DataFrame:
+    """contig, chunk, piece: a candidate meets the pieces that it lies on, and not a whole contig."""
     n = F.length("seq")
     at = F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / size), F.lit(0)).cast("int"))
-    return ref.select("contig", F.posexplode(F.transform(at, lambda i: F.substring(F.col("seq"), i * size + 1, F.lit(size + overlap)))).alias("chunk", "piece"))
+    return ref.select("contig", F.posexplode(F.transform(at, lambda i: F.substring(F.col("seq"), i * size + 1, F.lit(size)))).alias("chunk", "piece"))
+
+
+def _on_chunks(places: DataFrame, ref: DataFrame, size: int = CHUNK) -> DataFrame:
+    """``places`` (contig, pos, len) once for each piece that they lie on, with chunk, at (first base of the place on it) and window, the reference there."""
+    spread = places.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("pos") / size).cast("int"), F.floor((F.col("pos") + F.greatest(F.col("len"), F.lit(1)) - 1) / size).cast("int"))))
+    met = spread.join(chunks(ref, size), ["contig", "chunk"])
+    first = F.col("chunk").cast("long") * size
+    met = met.withColumn("at", F.greatest(F.lit(0), first - F.col("pos")).cast("int"))
+    return met.withColumn("window", F.expr(f"substr(piece, cast(greatest(0, pos - chunk * {size}L) as int) + 1, len - at)")).drop("piece")
 
 
 def _part(read_len: Column, off: Column) -> Column:
@@ -29,19 +39,19 @@ def _part(read_len: Column, off: Column) -> Column:
     return F.least(F.floor(off * parts / read_len), parts - 1).cast("int")
 
 
-def candidates(reads: DataFrame, ref: DataFrame, k: int = K) -> DataFrame:
+def candidates(reads: DataFrame, ref: DataFrame, k: int = K, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """read_id, stage, rev, contig, pos (0-based): where the rarest seeds put each read.
 
     Stages, first to win: 0, 1 seeds at even, odd offsets; 2, 3 the same of the reverse complement;
     4, 5 the rarest seed of each part of the read, forward and reverse. Reads with more degenerate
-    bases than their limit have none.
+    bases than their limit have none. ``index``: seeds and counts of the reference, if there are stored ones.
     """
     n = F.length("seq")
     fit = reads.filter(F.length(degenerate_letters(F.col("seq"))) <= F.floor(n * LIMIT_PERCENT / 100))
     both = fit.select("read_id", F.lit(0).alias("rev"), "seq").unionByName(fit.select("read_id", F.lit(1).alias("rev"), reverse_complement(F.col("seq")).alias("seq")))
     both = both.withColumn("len", F.length("seq"))
-    seeds_ = seeds(ref, k)
-    counts = seed_counts(seeds_)
+    seeds_, counts = index or (seeds(ref, k), None)
+    counts = seed_counts(seeds_) if counts is None else counts
     keyed = both.select(F.struct("read_id", "rev", "len").alias("read_id"), "seq")
     queries = query_seeds(keyed, k).select("read_id.read_id", "read_id.rev", "read_id.len", "off", "phase", "kmer")
     whole = rarest_seeds(queries, counts, SEED_CAP, "read_id", "rev", "phase").withColumn("stage", F.col("rev") * 2 + F.col("phase"))
@@ -52,24 +62,27 @@ def candidates(reads: DataFrame, ref: DataFrame, k: int = K) -> DataFrame:
     return placed.select("read_id", "stage", "rev", "len", "contig", "pos").distinct()
 
 
-def align(reads: DataFrame, ref: DataFrame, k: int = K, *, max_len: int = 512) -> DataFrame:
+def align(reads: DataFrame, ref: DataFrame, k: int = K, *, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """read_id, rev, contig, pos, mis, found (mismatches): one row per read, null columns where nothing fits.
 
     Within the first stage that has a place with at most LIMIT_PERCENT mismatches, the fewest
-    mismatches win, then the first contig and position. ``reads``: read_id, seq of at most ``max_len``
-    bases; ``ref``: contig, seq.
+    mismatches win, then the first contig and position. ``reads``: read_id, seq of any length; ``ref``:
+    contig, seq; ``index``: its stored seeds and counts.
     """
-    some = candidates(reads, ref, k).withColumn("chunk", F.floor(F.col("pos") / CHUNK).cast("int"))
+    some = candidates(reads, ref, k, index)
     order = Window.partitionBy("read_id", "stage").orderBy("contig", "pos")
     some = some.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= CANDIDATES).drop("_n")
-    near = some.join(chunks(ref, max_len), ["contig", "chunk"]).join(reads.select("read_id", F.col("seq").alias("read")), "read_id")
-    oriented = F.when(F.col("rev") == 1, reverse_complement(F.col("read"))).otherwise(F.col("read"))
-    window = F.expr(f"substr(piece, pos % {CHUNK} + 1, len)")
-    scored = near.select("read_id", "stage", "rev", "contig", "pos", "len", window.alias("window"), oriented.alias("oriented")).withColumn("mis", hamming(F.col("window"), F.col("oriented")))
+    turned = F.when(F.col("rev") == 1, reverse_complement(F.col("read"))).otherwise(F.col("read"))
+    text = reads.select("read_id", F.col("seq").alias("read"))
+    near = _on_chunks(some, ref).join(text, "read_id").withColumn("part", F.substring(turned, F.col("at") + 1, F.length("window")))
+    place = ["read_id", "stage", "rev", "contig", "pos", "len"]
+    scored = near.select(*place, mismatch_count("window", "part").alias("mis")).groupBy(*place).agg(F.sum("mis").cast("int").alias("mis"))
     good = scored.filter(F.col("mis") <= F.floor(F.col("len") * LIMIT_PERCENT / 100))
     # one comparison of structs: map-side first, no window over a read's candidates
-    best = good.groupBy("read_id").agg(F.min(F.struct("stage", "mis", "contig", "pos", "rev", "window", "oriented")).alias("b"))
-    best = best.select("read_id", F.col("b.rev").alias("rev"), F.col("b.contig").alias("contig"), F.col("b.pos").alias("pos"), F.col("b.mis").alias("mis"), mismatches(F.col("b.window"), F.col("b.oriented")).alias("found"))
+    best = good.groupBy("read_id").agg(F.min(F.struct("stage", "mis", "contig", "pos", "rev", "len")).alias("b"))
+    best = best.select("read_id", *(F.col(f"b.{c}").alias(c) for c in ("rev", "contig", "pos", "mis", "len")))
+    best = fetch(best, ref).join(text, "read_id")
+    best = best.select("read_id", "rev", "contig", "pos", "mis", mismatches(F.col("bases"), turned).alias("found"))
     return reads.select("read_id").join(best, "read_id", "left")
 
 
@@ -96,6 +109,6 @@ def split_align(reads: DataFrame, ref: DataFrame, k: int = K, *, low: int = 64,
 
 def fetch(places: DataFrame, ref: DataFrame, size: int = CHUNK) -> DataFrame:
     """``places`` (contig, pos, len) with the reference bases there, by chunks."""
-    keyed = places.withColumn("chunk", F.floor(F.col("pos") / size).cast("int"))
-    longest = 65_536
-    return keyed.join(chunks(ref, longest, size), ["contig", "chunk"]).withColumn("bases", F.expr(f"substr(piece, pos % {size} + 1, len)")).drop("chunk", "piece")
+    keyed = places.withColumn("_row", F.monotonically_increasing_id())
+    pieces = _on_chunks(keyed, ref, size).groupBy("_row", *places.columns).agg(F.sort_array(F.collect_list(F.struct("chunk", "window"))).alias("_p"))
+    return pieces.select(*places.columns, F.array_join(F.transform("_p", lambda x: x["window"]), "").alias("bases"))

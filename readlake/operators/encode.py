@@ -74,3 +74,12 @@ def format_runs(names: DataFrame, fmt: Column, order: str, *block: str) -> DataF
 def restore_order(df: DataFrame, permutation: DataFrame, old: str = "ordinal", new: str = "new_ordinal") -> DataFrame:
     """Rows of ``df`` with their place in a new order (permutation: old, new)."""
     return df.join(permutation.select(old, new), old)
+
+
+def ranked(df: DataFrame, head: Column, *order: str) -> DataFrame:
+    """With ``rank``, the place of each row in the order from 0, in two levels: ``head`` grows with the order and has few values; sizes of those first, then ranks within each."""
+    headed = df.withColumn("_head", head)
+    sizes = headed.groupBy("_head").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select("_head", F.coalesce(F.sum("_size").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_head").orderBy(*order))
+    return headed.join(before, "_head").withColumn("rank", F.col("_before") + inside - 1).drop("_head", "_before")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import posix_pattern
 
-ORDER = ("file_idx", "block_idx", "ordinal")
+ORDER, PAIR_ORDER = ("file_idx", "block_idx", "ordinal"), ("file_idx", "pair_id", "mate")
 
 
 def match_names(reads: DataFrame, pattern: str, pair_mode: str = "each") -> DataFrame:
@@ -23,8 +23,8 @@ def match_names(reads: DataFrame, pattern: str, pair_mode: str = "each") -> Data
 
 
 def head(reads: DataFrame, n: int) -> DataFrame:
-    """The first n reads in block order; mates count each."""
-    order = [c for c in (*ORDER, "mate") if c in reads.columns]
+    """The first n reads in block order, pairs in order of their number; mates count each."""
+    order = [c for c in (PAIR_ORDER if "pair_id" in reads.columns else ORDER) if c in reads.columns]
     return reads.orderBy(*order).limit(max(0, n))
 
 
@@ -35,16 +35,18 @@ def head_by_blocks(reads: DataFrame, blocks: DataFrame, n: int) -> DataFrame:
     return head(reads.join(need, ["file_idx", "block_idx"], "left_semi"), n)
 
 
-def sample(reads: DataFrame, n: int, seed: int = 0, block: str = "block_idx", key: str = "ordinal") -> DataFrame:
-    """n reads, spread over blocks: min(n, blocks) blocks, the first n mod blocks of them give one more; within a block by a seeded digest, without replacement. Quotas beyond a block's size give the whole block."""
+def sample(reads: DataFrame, n: int, seed: int = 0, block: tuple[str, ...] = ("file_idx", "block_idx"), key: str = "ordinal") -> DataFrame:
+    """n reads, spread over blocks of files: min(n, blocks) blocks, the first n mod blocks of them give one more; within a block by a seeded digest, without replacement. Quotas beyond a block's size give the whole block."""
     if n <= 0:
         return reads.limit(0)
-    sizes = reads.groupBy(block).agg(F.count(F.lit(1)).alias("_size"))
-    ranked = sizes.withColumn("_i", F.row_number().over(Window.orderBy(block)) - 1).withColumn("_blocks", F.least(F.lit(n), F.count(F.lit(1)).over(Window.partitionBy())))
+    block = tuple(c for c in block if c in reads.columns)
+    order = [F.col(c) for c in dict.fromkeys((key, "mate")) if c in reads.columns]
+    sizes = reads.groupBy(*block).agg(F.count(F.lit(1)).alias("_size"))
+    ranked = sizes.withColumn("_i", F.row_number().over(Window.orderBy(*block)) - 1).withColumn("_blocks", F.least(F.lit(n), F.count(F.lit(1)).over(Window.partitionBy())))
     quota = F.when(F.col("_i") < F.col("_blocks"), F.floor(F.lit(n) / F.col("_blocks")) + F.when(F.col("_i") < F.lit(n) % F.col("_blocks"), 1).otherwise(0)).otherwise(0)
-    quotas = ranked.select(block, quota.alias("_quota")).filter("_quota > 0")
+    quotas = ranked.select(*block, quota.alias("_quota")).filter("_quota > 0")
     digest = F.md5(F.concat(F.lit(str(seed)), F.lit(":"), F.col(key).cast("string")))
-    placed = reads.join(quotas, block).withColumn("_rank", F.row_number().over(Window.partitionBy(block).orderBy(digest, key)))
+    placed = reads.join(quotas, list(block)).withColumn("_rank", F.row_number().over(Window.partitionBy(*block).orderBy(digest, *order)))
     return placed.filter(F.col("_rank") <= F.col("_quota")).drop("_rank", "_quota")
 
 

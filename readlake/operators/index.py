@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import kmers, reverse_complement
+from ..functions.packed import packed_kmers
+from ..functions.sequence import unpack_kmer
 
 K = 14
 #: A k-mer that occurs this often in the reference is no seed.
@@ -13,26 +14,23 @@ TOO_MANY = 65_536
 
 
 def kmer_counts(seqs: DataFrame, k: int = K, canonical: bool = False) -> DataFrame:
-    """kmer, n over all positions; canonical: the smaller of a k-mer and its reverse complement."""
-    kmer = F.explode(F.transform(kmers(F.col("seq"), k), lambda x: x["kmer"])).alias("kmer")
-    flat = seqs.select(kmer)
-    if canonical:
-        flat = flat.select(F.least("kmer", reverse_complement(F.col("kmer"))).alias("kmer"))
-    return flat.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    """kmer, n over all positions; canonical: the smaller of a k-mer and its reverse complement. K-mers with letters other than ACGT are left out."""
+    counts = packed_kmers(seqs.select("seq"), k, canonical=canonical).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(unpack_kmer(F.col("kmer"), k).alias("kmer"), "n")
 
 
 def seeds(ref: DataFrame, k: int = K) -> DataFrame:
-    """contig, pos (0-based, even), kmer; k-mers with letters other than ACGT are left out."""
-    return ref.select("contig", F.inline(kmers(F.col("seq"), k, 2))).filter(F.col("kmer").rlike("^[ACGT]+$"))
+    """contig, pos (0-based, even), kmer, packed; k-mers with letters other than ACGT are left out."""
+    return packed_kmers(ref.select("contig", "seq"), k, 2)
 
 
 def seed_counts(seeds_: DataFrame, too_many: int = TOO_MANY) -> DataFrame:
     return seeds_.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < too_many)
 
 
-def csr(counts: DataFrame) -> DataFrame:
+def csr(counts: DataFrame, k: int = K) -> DataFrame:
     """kmer, n, start: the exclusive running sum in k-mer order, in two levels: ranges of the first bases, then within each, so no task holds all k-mers."""
-    heads = counts.withColumn("head", F.substring("kmer", 1, 4))
+    heads = counts.withColumn("head", F.shiftright("kmer", max(0, 2 * k - 8)))
     base = heads.groupBy("head").agg(F.sum("n").alias("sum"))
     # at most 4**4 heads
     before = base.withColumn("base", F.coalesce(F.sum("sum").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -40,9 +38,14 @@ def csr(counts: DataFrame) -> DataFrame:
     return heads.join(F.broadcast(before.select("head", "base")), "head").select("kmer", "n", (F.col("base") + F.coalesce(F.sum("n").over(w), F.lit(0))).alias("start"))
 
 
-def query_seeds(reads: DataFrame, k: int = K, start: int = 0) -> DataFrame:
-    """read_id, off, phase (parity of the offset), kmer of every read."""
-    return reads.select("read_id", F.inline(kmers(F.col("seq"), k))).select("read_id", F.col("pos").alias("off"), (F.col("pos") % 2).alias("phase"), "kmer")
+def named(kmers: DataFrame, k: int = K) -> DataFrame:
+    """With the letters of the packed k-mers."""
+    return kmers.withColumn("kmer", unpack_kmer(F.col("kmer"), k))
+
+
+def query_seeds(reads: DataFrame, k: int = K) -> DataFrame:
+    """read_id, off, phase (parity of the offset), kmer, packed, of every read."""
+    return packed_kmers(reads.select("read_id", "seq"), k).select("read_id", F.col("pos").alias("off"), (F.col("pos") % 2).alias("phase"), "kmer")
 
 
 def seed_hits(reads: DataFrame, seeds_: DataFrame, k: int = K) -> DataFrame:

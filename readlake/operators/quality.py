@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
+from ..functions.packed import quality_stats
+
 
 def codes(qual: Column) -> Column:
     return F.when(F.length(qual) > 0, F.transform(F.split(qual, ""), lambda c: F.ascii(c))).otherwise(F.array().cast("array<int>"))
 
 
 def quality_sum(qual: Column) -> Column:
-    return F.aggregate(codes(qual), F.lit(0).cast("long"), lambda n, x: n + x)
+    return quality_stats(qual)["total"]
 
 
 def quality_mean(qual: Column) -> Column:
@@ -20,13 +23,20 @@ def quality_mean(qual: Column) -> Column:
 
 
 def block_minimum(reads: DataFrame, *block: str) -> DataFrame:
-    return reads.groupBy(*block).agg(F.min(F.array_min(codes(F.col("qual")))).alias("min_qual"))
+    return _stats(reads, *block).groupBy(*block).agg(F.min("low").alias("min_qual"))
+
+
+def _stats(reads: DataFrame, *keep: str) -> DataFrame:
+    """Kept columns with total, low, high and len of the qualities: one pass over them."""
+    return reads.select(*keep, quality_stats(F.col("qual")).alias("_q"), F.length("qual").alias("len")).select(*keep, "_q.total", "_q.low", "_q.high", "len")
 
 
 def mean_bins(reads: DataFrame, key: str, *block: str) -> DataFrame:
     """key, block, mean above the block's minimum, and its half-step bin (0..200)."""
-    low = block_minimum(reads, *block)
-    mean = reads.select(key, *block, quality_mean(F.col("qual")).alias("mean")).filter("mean is not null")
+    one = cut(_stats(reads, key, *block))
+    low = one.groupBy(*block).agg(F.min("low").alias("min_qual"))
+    mean = one.filter("len > 0").select(key, *block, (F.col("total") / F.col("len")).alias("mean"))
+    # without blocks one row
     joined = mean.join(low, list(block)) if block else mean.crossJoin(F.broadcast(low))
     above = F.col("mean") - F.col("min_qual")
     return joined.select(key, *block, above.alias("above"), F.least(F.floor(above * 2), F.lit(200)).cast("int").alias("bin"))

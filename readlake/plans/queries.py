@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import sequence as S
+from ..functions.packed import packed_kmers
 from ..operators import encode as E
 from ..operators import extract as X
 from ..operators import index as I
 from ..operators import pairs as P
 from ..operators import profile as R
 from ..operators import quality as Q
-from .views import READS_PE_SQL, READS_SQL, REF_SQL, SHORT_SQL, reads_pe, reads_se, reference, reference_reads, table
+from .views import READS_PE_SQL, READS_SQL, REF_SQL, reads_pe, reads_se, reference, reference_reads, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,15 +59,15 @@ def extract_head(s, d):
 
 @query(_with(READS_PE_SQL, "SELECT file_idx, pair_id, mate, name FROM mates ORDER BY file_idx, block_idx, pair_id, mate LIMIT 33"))
 def extract_head_pairs(s, d):
-    return reads_pe(s, d).orderBy("file_idx", "block_idx", "pair_id", "mate").limit(33).select("file_idx", "pair_id", "mate", "name")
+    return X.extract(reads_pe(s, d), "H:33").select("file_idx", "pair_id", "mate", "name")
 
 
-@query(_with(READS_SQL, """, b AS (SELECT block_idx, row_number() OVER (ORDER BY block_idx) - 1 AS i, least(47, count(*) OVER ()) AS blocks FROM (SELECT DISTINCT block_idx FROM reads)),
-q AS (SELECT block_idx, CASE WHEN i < blocks THEN 47 // blocks + CASE WHEN i < 47 % blocks THEN 1 ELSE 0 END ELSE 0 END AS quota FROM b),
-r AS (SELECT reads.*, quota, row_number() OVER (PARTITION BY reads.block_idx ORDER BY md5('0:' || ordinal), ordinal) AS rank FROM reads JOIN q ON reads.block_idx = q.block_idx)
-SELECT block_idx, ordinal, name FROM r WHERE rank <= quota"""))
+@query(_with(READS_SQL, """, b AS (SELECT file_idx, block_idx, row_number() OVER (ORDER BY file_idx, block_idx) - 1 AS i, least(47, count(*) OVER ()) AS blocks FROM (SELECT DISTINCT file_idx, block_idx FROM reads)),
+q AS (SELECT file_idx, block_idx, CASE WHEN i < blocks THEN 47 // blocks + CASE WHEN i < 47 % blocks THEN 1 ELSE 0 END ELSE 0 END AS quota FROM b),
+r AS (SELECT reads.*, quota, row_number() OVER (PARTITION BY reads.file_idx, reads.block_idx ORDER BY md5('0:' || ordinal), ordinal) AS rank FROM reads JOIN q ON reads.file_idx = q.file_idx AND reads.block_idx = q.block_idx)
+SELECT file_idx, block_idx, ordinal, name FROM r WHERE rank <= quota"""))
 def extract_sample(s, d):
-    return X.extract(reads_se(s, d), "S:47").select("block_idx", "ordinal", "name")
+    return X.extract(reads_se(s, d), "S:47").select("file_idx", "block_idx", "ordinal", "name")
 
 
 @query(_with(READS_SQL, "SELECT file_idx, count(*) AS reads FROM reads GROUP BY file_idx"))
@@ -109,12 +110,12 @@ def degenerate_flag(s, d):
     return reads_se(s, d).select("ordinal", S.is_degenerate(F.col("seq")).cast("int").alias("degenerate"), S.degenerate_letters(F.col("seq")).alias("letters"))
 
 
-_POSITIONS = ", p AS (SELECT ordinal, i, substr(seq, i, 1) AS b, ascii(substr(qual, i, 1)) AS q FROM (SELECT ordinal, seq, qual, unnest(range(1, least(length(seq), 300) + 1)) AS i FROM reads))"
+_POSITIONS = ", p AS (SELECT ordinal, i, substr(seq, i, 1) AS b, ascii(substr(qual, i, 1)) AS q FROM (SELECT ordinal, seq, qual, unnest(range(1, length(seq) + 1)) AS i FROM reads))"
 
 
 @query(_with(READS_SQL, _POSITIONS) + " SELECT ordinal, CAST(max(q) FILTER (WHERE b = 'N') AS INTEGER) AS max_qual FROM p GROUP BY ordinal")
 def degenerate_maxqual(s, d):
-    r = reads_se(s, d).select("ordinal", F.substring("seq", 1, 300).alias("seq"), F.substring("qual", 1, 300).alias("qual")).filter("length(seq) > 0")
+    r = reads_se(s, d).filter("length(seq) > 0")
     return r.select("ordinal", S.degenerate_max_quality(F.col("seq"), F.col("qual")).cast("int").alias("max_qual"))
 
 
@@ -122,7 +123,7 @@ def degenerate_maxqual(s, d):
 f AS (SELECT p.ordinal, string_agg(CASE WHEN b = 'N' THEN '1' ELSE '0' END, '' ORDER BY i) AS marks FROM p JOIN m ON p.ordinal = m.ordinal WHERE q <= m GROUP BY p.ordinal)
 SELECT ordinal, array_to_string([length(x) FOR x IN string_split(marks, '1')], ',') AS gaps FROM f""")
 def degenerate_gaps(s, d):
-    r = reads_se(s, d).select("ordinal", F.substring("seq", 1, 300).alias("seq"), F.substring("qual", 1, 300).alias("qual"))
+    r = reads_se(s, d)
     return r.select("ordinal", F.array_join(S.degenerate_gaps(F.col("seq"), F.col("qual")).cast("array<string>"), ",").alias("gaps")).filter("gaps is not null")
 
 
@@ -139,10 +140,13 @@ def revcomp(s, d):
 _PACK = "list_reduce([CAST(instr('ACGT', c) - 1 AS BIGINT) FOR c IN regexp_extract_all({0}, '.')], lambda a, b: a * 4 + b)"
 
 
-@query(_with(REF_SQL, f"SELECT read_id, substr(seq, 1, 14) AS kmer, {_PACK.format('substr(seq, 1, 14)')} AS code, {_PACK.format(chr(39).join(['translate(reverse(substr(seq, 1, 14)), ', 'ACGT', ', ', 'TGCA', ')']))} AS rc_code FROM queries"))
+_KMERS = "km AS (SELECT read_id, i - 1 AS pos, substr(seq, i, 14) AS kmer FROM (SELECT read_id, seq, unnest(range(1, length(seq) - 12)) AS i FROM queries))"
+
+
+@query(_with(REF_SQL, f", {_KMERS} SELECT read_id, pos, kmer, {_PACK.format('kmer')} AS code, {_PACK.format(chr(39).join(['translate(reverse(kmer), ', 'ACGT', ', ', 'TGCA', ')']))} AS rc_code FROM km"))
 def kmer_pack(s, d):
-    k = F.substring("seq", 1, 14)
-    return reference_reads(s, d).select("read_id", k.alias("kmer"), S.pack_kmer(k).alias("code"), S.packed_reverse_complement(S.pack_kmer(k), 14).alias("rc_code"))
+    k = reference_reads(s, d).select("read_id", F.inline(S.kmers(F.col("seq"), 14)))
+    return k.select("read_id", F.col("pos").cast("long").alias("pos"), "kmer", S.pack_kmer(F.col("kmer")).alias("code"), S.packed_reverse_complement(S.pack_kmer(F.col("kmer")), 14).alias("rc_code"))
 
 
 def _mixed_sql(code: str, k: int = 14) -> str:
@@ -155,9 +159,10 @@ def _mixed_sql(code: str, k: int = 14) -> str:
     )
 
 
-@query(_with(REF_SQL, f", c AS (SELECT read_id, {_PACK.format('substr(seq, 1, 14)')} AS code FROM queries) SELECT read_id, code, mixed FROM ({_mixed_sql('code').format('c')})"))
+@query(_with(REF_SQL, f", {_KMERS}, c AS (SELECT read_id, pos, {_PACK.format('kmer')} AS code FROM km) SELECT read_id, pos, code, mixed FROM ({_mixed_sql('code').format('c')})"))
 def kmer_mix(s, d):
-    return reference_reads(s, d).select("read_id", S.pack_kmer(F.substring("seq", 1, 14)).alias("code")).withColumn("mixed", S.mix_kmer(F.col("code"), 14))
+    k = packed_kmers(reference_reads(s, d), 14).select("read_id", F.col("pos").cast("long").alias("pos"), F.col("kmer").alias("code"))
+    return k.withColumn("mixed", S.mix_kmer(F.col("code"), 14))
 
 
 @query(_with(REF_SQL, "SELECT kmer, count(*) AS n FROM (SELECT substr(seq, i, 14) AS kmer FROM (SELECT seq, unnest(range(1, length(seq) - 12)) AS i FROM ref)) GROUP BY kmer"))
@@ -178,9 +183,9 @@ def most_freq_base(s, d):
 
 @query(_with(READS_SQL, """SELECT ordinal, replace(seq, 'N', CASE greatest(a, c, g, t) WHEN a THEN 'A' WHEN c THEN 'C' WHEN g THEN 'G' ELSE 'T' END) AS masked, n FROM (
 SELECT ordinal, seq, length(seq) - length(replace(seq, 'A', '')) AS a, length(seq) - length(replace(seq, 'C', '')) AS c, length(seq) - length(replace(seq, 'G', '')) AS g, length(seq) - length(replace(seq, 'T', '')) AS t, length(seq) - length(replace(seq, 'N', '')) AS n
-FROM (SELECT ordinal, substr(seq, 1, 400) AS seq FROM reads))"""))
+FROM reads)"""))
 def n_mask(s, d):
-    m = reads_se(s, d).select("ordinal", S.mask_n(F.substring("seq", 1, 400)).alias("m"))
+    m = reads_se(s, d).select("ordinal", S.mask_n(F.col("seq")).alias("m"))
     return m.select("ordinal", F.col("m.seq").alias("masked"), F.size("m.n_at").cast("long").alias("n"))
 
 
@@ -204,7 +209,7 @@ _EVEN = "SELECT contig, i - 1 AS pos, substr(seq, i, 14) AS kmer FROM (SELECT co
 
 @query(_with(REF_SQL, f", k AS ({_EVEN}), c AS (SELECT kmer, count(*) AS n FROM k GROUP BY kmer) SELECT kmer, n, CAST(coalesce(sum(n) OVER (ORDER BY kmer ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM c"))
 def seed_index_csr(s, d):
-    return I.csr(I.seed_counts(I.seeds(reference(s, d))))
+    return I.named(I.csr(I.seed_counts(I.seeds(reference(s, d)))))
 
 
 @query(_with(REF_SQL, f", k AS ({_EVEN}), q AS (SELECT read_id, substr(seq, i, 14) AS kmer FROM (SELECT read_id, seq, unnest(range(1, length(seq) - 12)) AS i FROM queries)) SELECT read_id, contig, count(*) AS hits FROM q JOIN k ON q.kmer = k.kmer GROUP BY read_id, contig"))
@@ -218,7 +223,7 @@ r AS (SELECT read_id, phase, off, q.kmer, n, row_number() OVER (PARTITION BY rea
 SELECT read_id, CAST(phase AS INTEGER) AS phase, CAST(off AS INTEGER) AS off, kmer, n FROM r WHERE rn = 1"""))
 def rarest_seed(s, d):
     seeds = I.seeds(reference(s, d))
-    return I.rarest_seeds(I.query_seeds(reference_reads(s, d)), I.seed_counts(seeds), 100_000).select("read_id", "phase", "off", "kmer", "n")
+    return I.named(I.rarest_seeds(I.query_seeds(reference_reads(s, d)), I.seed_counts(seeds), 100_000).select("read_id", "phase", "off", "kmer", "n"))
 
 
 # --- encodings ---------------------------------------------------------------------------------
@@ -279,15 +284,17 @@ def run_lengths(s, d):
     return E.run_lengths(_positions(s, d).withColumn("v", F.col("pos") % 3), "v", "ordinal", "block_idx").drop("run")
 
 
-@query(_with(READS_SQL, "SELECT ordinal, CASE WHEN length(seq) >= 12 THEN substr(seq, 2, 10) END AS context FROM reads"))
+@query(_with(READS_SQL, "SELECT context, count(*) AS n FROM (SELECT substr(seq, greatest(i - 10, 1), least(i - 1, 10)) AS context FROM (SELECT seq, unnest(range(1, length(seq) + 1)) AS i FROM reads)) GROUP BY context"))
 def base_context(s, d):
-    return reads_se(s, d).select("ordinal", F.when(F.length("seq") >= 12, E.base_context(F.col("seq"), F.lit(12))).alias("context"))
+    at = reads_se(s, d).filter("length(seq) > 0").select("seq", F.explode(F.sequence(F.lit(1), F.length("seq"))).alias("i"))
+    return at.select(E.base_context(F.col("seq"), F.col("i")).alias("context")).groupBy("context").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(_with(READS_SQL, "SELECT r.ordinal, p.new_ordinal, r.name FROM reads r JOIN (SELECT ordinal, row_number() OVER (ORDER BY md5(CAST(ordinal AS VARCHAR)), ordinal) - 1 AS new_ordinal FROM reads) p ON r.ordinal = p.ordinal"))
 def reorder(s, d):
     r = reads_se(s, d)
-    order = r.select("ordinal").withColumn("new_ordinal", F.row_number().over(Window.orderBy(F.md5(F.col("ordinal").cast("string")), "ordinal")).cast("long") - 1)
+    keyed = r.select("ordinal", F.md5(F.col("ordinal").cast("string")).alias("key"))
+    order = E.ranked(keyed, F.substring("key", 1, 2), "key", "ordinal").select("ordinal", F.col("rank").alias("new_ordinal"))
     return E.restore_order(r, order).select("ordinal", "new_ordinal", "name")
 
 
@@ -372,11 +379,11 @@ def qual_bins(s, d):
     return bins.join(Q.cuts(bins, "file_idx"), "file_idx").select("ordinal", Q.label(F.col("above"), F.col("cuts")).alias("label"))
 
 
-@query(_with(READS_SQL, """, f AS (SELECT ordinal, i - 1 AS pos, substr(seq, i, 1) AS base, ascii(substr(qual, i, 1)) AS q FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS i FROM (SELECT ordinal, substr(seq, 1, 100) AS seq, substr(qual, 1, 100) AS qual FROM reads))),
+@query(_with(READS_SQL, """, f AS (SELECT ordinal, i - 1 AS pos, substr(seq, i, 1) AS base, ascii(substr(qual, i, 1)) AS q FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS i FROM reads)),
 x AS (SELECT *, coalesce(lag(q, 1) OVER o, 0) AS q1, coalesce(lag(q, 2) OVER o, 0) AS q2, coalesce(lag(q, 3) OVER o, 0) AS q3, coalesce(lag(base) OVER o, '') || base AS pair FROM f WINDOW o AS (PARTITION BY ordinal ORDER BY pos))
 SELECT q1, greatest(q2, q3) AS q23, CAST(q2 = q3 AS INTEGER) AS equal, pair, count(*) AS n FROM x GROUP BY ALL"""))
 def qual_contexts(s, d):
-    r = reads_se(s, d).select("ordinal", F.substring("seq", 1, 100).alias("seq"), F.substring("qual", 1, 100).alias("qual")).filter("length(seq) > 0")
+    r = reads_se(s, d).filter("length(seq) > 0")
     return Q.quality_contexts(r).groupBy("q1", "q23", "equal", "pair").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -74,11 +74,9 @@ REF_SQL = """ref AS (SELECT doc_id AS contig, regexp_replace(translate(text, 'ac
 queries AS (SELECT read_id, seq FROM (SELECT item_id AS read_id, regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', '', 'g') AS seq FROM benchmark) WHERE length(seq) >= 14)"""
 
 
-def short_reads(spark: SparkSession, sf_dir: str, length: int = 100) -> DataFrame:
-    """read_id, seq: the first bases of documents, N replaced by A."""
-    return reads_se(spark, sf_dir).select(F.col("ordinal").alias("read_id"), F.translate(F.substring("seq", 1, length), "N", "A").alias("seq")).filter(F.length("seq") >= 40)
+def plain_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """read_id, seq: documents as reads, N replaced by A."""
+    return reads_se(spark, sf_dir).select(F.col("ordinal").alias("read_id"), F.translate("seq", "N", "A").alias("seq"))
 
 
-SHORT_SQL = READS_SQL + """, short AS (
-  SELECT read_id, seq FROM (SELECT ordinal AS read_id, translate(substr(seq, 1, 100), 'N', 'A') AS seq FROM reads) WHERE length(seq) >= 40
-)"""
+PLAIN_SQL = READS_SQL + ", short AS (SELECT ordinal AS read_id, translate(seq, 'N', 'A') AS seq FROM reads)"

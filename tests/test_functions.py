@@ -72,7 +72,8 @@ def test_names(spark):
     assert one(spark, x=N.token_types(name, F.lit(100))) == [3, 0, 2, 0, 2, 0, 7, 0, 4]
     assert one(spark, x=N.token_types(name, F.lit(99)))[-1] == 2
     assert one(spark, x=N.token_types(F.lit("@X:007/2"), F.lit(9), paired=True)) == [0, 1, 0, 8, 0, 5]
-    assert one(spark, x=N.file_stem(F.lit("/a/b/run.fastq.gz"))) == "run"
+    assert one(spark, x=N.file_stem(F.lit("/a/b/run.fastq.gz"))) == "run.fastq"
+    assert [one(spark, x=N.file_stem(F.lit(p))) for p in ("run", "/a.b/run.fq", "a.b.c.d", "x/")] == ["run", "run.fq", "a.b", ""]
     assert one(spark, x=N.split_list(F.lit("a,,b,"))) == ["a", "b"]
     assert one(spark, x=N.nibbles(F.lit(0x1F).cast("long"))) == [1, 15]
     assert N.posix_pattern("x[[:digit:]]") == r"x[\p{Digit}]"

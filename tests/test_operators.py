@@ -138,6 +138,70 @@ def test_overlaps(spark):
     assert [x["read_id"] for x in O.isolated(r, edges).select("read_id").collect()] == [5]
 
 
+def test_shifted_children_cost_their_overhang(spark):
+    """A child that begins later on its parent is stored by what the parent lacks, on either strand."""
+    rng = random.Random(10)
+    genome = "".join(rng.choice("ACGT") for _ in range(700))
+    rc = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    rows = [(i, genome[30 * i : 30 * i + 200]) if i % 3 else (i, rc(genome[30 * i : 30 * i + 200])) for i in range(15)]
+    r = spark.createDataFrame(rows, "read_id long, seq string")
+    diff = G.parent_differences(G.layout(*G.spanning_forest(O.overlap_top2(r))), r)
+    sizes = [len(x["diff"]) for x in diff.filter("parent is not null").select("diff").collect()]
+    assert len(sizes) > 8 and max(sizes) <= 100
+    assert G.rebuild(diff).join(r, ["read_id", "seq"], "left_anti").isEmpty() and G.rebuild(diff).count() == diff.count()
+
+
+def test_alignment_of_long_reads(spark):
+    """Reads longer than any fixed bound, at every place relative to a chunk's border."""
+    rng = random.Random(15)
+    contig = "".join(rng.choice("ACGT") for _ in range(14_000))
+    ref = spark.createDataFrame([("a", contig)], "contig string, seq string")
+    cases = {i: contig[at : at + n] for i, (at, n) in enumerate([(0, 600), (100, 600), (3500, 600), (4050, 600), (4096, 600), (8000, 5000), (1, 13_000)])}
+    spoiled = list(cases[3])
+    spoiled[5], spoiled[300] = ("C" if spoiled[5] != "C" else "G"), ("A" if spoiled[300] != "A" else "T")
+    got = {r["read_id"]: (r["pos"], r["mis"], [m["pos"] for m in r["found"]]) for r in align(spark.createDataFrame([*cases.items(), (99, "".join(spoiled))], "read_id long, seq string"), ref).collect()}
+    assert got == {0: (0, 0, []), 1: (100, 0, []), 2: (3500, 0, []), 3: (4050, 0, []), 4: (4096, 0, []), 5: (8000, 0, []), 6: (1, 0, []), 99: (4050, 2, [5, 300])}
+
+
+def test_head_and_sample_of_several_files_and_pairs(spark):
+    r = spark.createDataFrame([(f, b, i, f"r{f}{b}{i}") for f in range(3) for b in range(2) for i in range(4)], "file_idx int, block_idx int, ordinal long, name string")
+    per = X.sample(r, 7).groupBy("file_idx", "block_idx").count().collect()
+    assert len(per) == 6 and sorted(x["count"] for x in per) == [1, 1, 1, 1, 1, 2]
+    pairs = spark.createDataFrame([(0, i + m, 10 * i + m, i, m) for i in range(4) for m in (2, 1)], "file_idx int, block_idx int, ordinal long, pair_id long, mate int")
+    assert [(x["pair_id"], x["mate"]) for x in X.head(pairs, 5).collect()] == [(0, 1), (0, 2), (1, 1), (1, 2), (2, 1)]
+
+
+def brute_minimizers(seq, k=13, per_read=4):
+    def mix(x):
+        mask = (1 << 2 * k) - 1
+        x = (~x + (x << 21)) & mask
+        x ^= x >> 24
+        x = (x + (x << 3) + (x << 8)) & mask
+        x ^= x >> 14
+        x = (x + (x << 2) + (x << 4)) & mask
+        x ^= x >> 28
+        return (x + (x << 31)) & mask
+
+    code = lambda s: mix(int("".join(str("ACGT".index(c)) for c in s), 4))
+    turned = seq[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    every = [min((code(s[i : i + k]), i, t) for t, s in enumerate((seq, turned))) for i in range(len(seq) - k + 1)]
+    w = len(seq) // 2 - k
+    if w <= 0:
+        return set(every[max(0, (len(every) - per_read) // 2) :][:per_read])
+    least = [min(every[i : i + w]) for i in range(len(every) - w + 1)]
+    return set([x for i, x in enumerate(least) if not i or x != least[i - 1]][:per_read])
+
+
+def test_minimizers_are_those_of_every_window(spark):
+    rng = random.Random(11)
+    seqs = ["".join(rng.choice(letters) for _ in range(n)) for n in (0, 5, 12, 13, 14, 20, 26, 27, 28, 29, 40, 63, 100, 333) for letters in ("ACGT", "AC", "A")]
+    rows = [*enumerate(seqs), (900, "ACGTN" * 9), (901, None)]
+    got = {}
+    for r in O.minimizers(spark.createDataFrame(rows, "read_id long, seq string")).collect():
+        got.setdefault(r["read_id"], set()).add((r["key"], r["pos"], r["strand"]))
+    assert got == {i: brute_minimizers(s) for i, s in enumerate(seqs) if len(s) >= 13}
+
+
 def test_overlaps_of_common_keys(spark):
     """More equal reads than a key's block still find each other."""
     r = spark.createDataFrame([(i, "ACGGTCATTGCAA") for i in range(1003)], "read_id long, seq string")
@@ -159,6 +223,6 @@ def test_split_align_query_takes_all_reads(spark, tmp_path):
     texts = {i: "".join(rng.choice("ACGT") for _ in range(rng.randint(60, 140))) for i in range(12)}
     rows = [(i, t, "src1", len(t)) for i, t in texts.items()]
     spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    want = {(1_000_000 + i, 0, min(100, len(t)), *min((c, x.find(t[:100])) for c, x in texts.items() if t[:100] in x), 0) for i, t in texts.items()}
+    want = {(1_000_000 + i, 0, len(t), i, 0, 0) for i, t in texts.items()}
     got = QUERIES["split_align"](spark, str(tmp_path)).select("read_id", "seg_start", "seg_len", "contig", "pos", "mis")
     assert {tuple(r) for r in got.collect()} == want
