@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import extract as X
@@ -43,10 +44,32 @@ def build_ref_index(spark: SparkSession, fasta: str, out: str, *, k: int = K, mo
     ref.write.mode(mode).parquet(f"{out}/ref")
     found = seeds(ref, k)
     found.repartitionByRange("kmer").sortWithinPartitions("kmer", "contig", "pos").write.mode(mode).parquet(f"{out}/seeds")
-    csr(seed_counts(found)).write.mode(mode).parquet(f"{out}/counts")
+    csr(seed_counts(spark.read.parquet(f"{out}/seeds")), k).write.mode(mode).parquet(f"{out}/counts")
     spark.createDataFrame([(f"{k}:{digest}",)], "digest string").coalesce(1).write.mode(mode).parquet(f"{out}/meta")
 
 
+@dataclass(frozen=True)
+class RefIndex:
+    """A stored reference: k, its sequences, seeds and counts."""
+
+    k: int
+    ref: DataFrame
+    seeds: DataFrame
+    counts: DataFrame
+
+
+def load_ref_index(spark: SparkSession, path: str) -> RefIndex:
+    """What build_ref_index() has written."""
+    k = int(spark.read.parquet(f"{path}/meta").first()["digest"].partition(":")[0])
+    return RefIndex(k, *(spark.read.parquet(f"{path}/{t}") for t in ("ref", "seeds", "counts")))
+
+
+def read_key(reads: DataFrame) -> Column:
+    """One long for each read of several files and mates, in their order: the byte offset has 42 bits, the file 20."""
+    mate = F.when(F.col("mate") == 2, 1).otherwise(0) if "mate" in reads.columns else F.lit(0)
+    return F.shiftleft(F.col("file_idx").cast("long"), 43).bitwiseOR(F.shiftleft("ordinal", 1)).bitwiseOR(mate.cast("long"))
+
+
 def encode(spark: SparkSession, reads: DataFrame, out: str, *, check: int | str = 1, reorder: bool = False, k: int = 13, files: list[str] | None = None, overwrite: bool = False) -> DataFrame:
     """Write an archive; the result is its profile: bytes by stream before and after. ``reorder`` lays similar reads side by side (pairs keep their pair_id)."""
     if reorder:
@@ -56,14 +79,21 @@ def encode(spark: SparkSession, reads: DataFrame, out: str, *, check: int | str
 
 
 def reordered(reads: DataFrame, k: int = 13) -> DataFrame:
-    """``reads`` with new_ordinal: components side by side, breadth first; reads without an overlap at the end."""
-    from pyspark.sql import Window
-
-    keyed = reads.select(F.col("ordinal").alias("read_id"), F.regexp_replace("seq", "[^ACGT]", "A").alias("seq"))
-    tree = layout(*spanning_forest(overlap_top2(keyed, k))).select(F.col("node").alias("ordinal"), "component", "depth")
-    placed = reads.join(tree, "ordinal", "left")
-    order = Window.partitionBy("block_idx").orderBy(F.col("component").asc_nulls_last(), "depth", "ordinal")
-    return placed.withColumn("new_ordinal", F.row_number().over(order).cast("long") - 1).drop("component", "depth")
+    """``reads`` with new_ordinal, the place in its file and block: components side by side, breadth first; reads without an overlap at the end; mates one after the other."""
+    own = reads.withColumn("_key", read_key(reads))
+    keyed = own.select(F.col("_key").alias("read_id"), F.regexp_replace("seq", "[^ACGT]", "A").alias("seq"))
+    tree = layout(*spanning_forest(overlap_top2(keyed, k))).select(F.col("node").alias("_key"), "component", "depth")
+    placed = own.join(tree, "_key", "left")
+    if "pair_id" in reads.columns:  # mates stay together, where the first of them lies
+        pair = Window.partitionBy("file_idx", "pair_id")
+        first = F.min(F.struct(F.col("component").isNull().alias("none"), "component", "depth", "_key")).over(pair)
+        placed = placed.withColumn("_first", first).withColumn("component", F.col("_first.component")).withColumn("depth", F.col("_first.depth")).withColumn("_at", F.col("_first._key"))
+        # mates lie at other bytes of their files, so a pair belongs to the block of its first mate
+        placed = placed.withColumn("_block", F.min(F.when(F.col("mate") == 1, F.col("block_idx"))).over(pair))
+    else:
+        placed = placed.withColumn("_at", F.col("_key")).withColumn("_block", F.col("block_idx"))
+    order = Window.partitionBy("file_idx", "_block").orderBy(F.col("component").asc_nulls_last(), "depth", "_at", "_key")
+    return placed.withColumn("new_ordinal", F.row_number().over(order).cast("long") - 1).select(*reads.columns, "new_ordinal")
 
 
 def decode(spark: SparkSession, archive: str, out: str | list[str], *, overwrite: bool = False, verify: bool = True) -> None:
@@ -90,8 +120,15 @@ def extract(spark: SparkSession, archive: str, spec: str, *, seed: int = 0, pair
     return X.extract(reads, s, seed=seed, pair_mode=pair_mode)
 
 
-def align_reads(reads: DataFrame, ref: DataFrame, *, k: int = K) -> DataFrame:
-    return align(reads.select(F.col("ordinal").alias("read_id"), "seq"), ref, k)
+def align_reads(reads: DataFrame, ref: DataFrame | RefIndex, *, k: int = K) -> DataFrame:
+    """Place of each read of one or many files, single or paired: file_idx, ordinal (and mate, pair_id) and what align() says. A stored index is used as it is."""
+    keys = [c for c in ("file_idx", "ordinal", "mate", "pair_id") if c in reads.columns]
+    keyed = reads.select(read_key(reads).alias("read_id"), "seq", *keys)
+    if isinstance(ref, RefIndex):
+        found = align(keyed.select("read_id", "seq"), ref.ref, ref.k, index=(ref.seeds, ref.counts.select("kmer", "n")))
+    else:
+        found = align(keyed.select("read_id", "seq"), ref, k)
+    return keyed.drop("seq").join(found, "read_id").drop("read_id")
 
 
 def profile(spark: SparkSession, archive: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """The optional codec tier: columns of a block as compressed streams, one Arrow task per block.
 
-Names are cut into tokens and stored as columns of differences; lengths as same-as-before flags and
-values; sequences as two bits a base with exceptions; qualities position by position. Each stream is
-entropy coded by zstd, or symbol streams by an adaptive range coder. Models restart with each block.
+Names are cut into tokens and stored as columns of differences, lengths as runs, both under zstd. Bases
+and qualities go together as joint symbols where all bases are one of ACGTN: a base with one of the
+eight most frequent neighbouring qualities is one symbol, any other an escape for the base and its
+quality in a stream beside it. Else bases are two bits each with exceptions, and qualities a stream of
+their own, in the context of the three before. Symbol streams are entropy coded (entropy.py). Tables
+are those of the block, so blocks stand for themselves.
 """
 
 from __future__ import annotations
@@ -12,9 +15,12 @@ import re
 import struct
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from . import entropy
 
 TOKEN = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9]+")
 _TOP, _BOTTOM = 1 << 24, 1 << 16
@@ -229,39 +235,81 @@ def decode_bases(data: bytes) -> str:
     return "".join(digits)
 
 
-def _columnwise(quals: list[str]) -> str:
-    """Equal lengths: position by position over all reads, every other read of a position turned; else read by read."""
-    if len({len(q) for q in quals}) != 1:
-        return "".join(quals)
-    return "".join("".join(c if i % 2 == 0 else c[::-1]) for i, c in enumerate(map("".join, zip(*quals, strict=True))))
-
-
-def _rowwise(text: str, lengths: list[int]) -> list[str]:
-    if len(set(lengths)) != 1 or not lengths[0]:
-        out, at = [], 0
-        for n in lengths:
-            out.append(text[at : at + n])
-            at += n
-        return out
-    n = len(lengths)
-    columns = [text[i * n : (i + 1) * n] for i in range(lengths[0])]
-    return list(map("".join, zip(*[c if i % 2 == 0 else c[::-1] for i, c in enumerate(columns)], strict=True)))
+#: Bytes to base codes of joint symbols; 5 is a letter that they do not have.
+_BASES = np.full(256, 5, np.uint8)
+_BASES[list(b"ACGTN")] = range(5)
+_LETTERS = np.frombuffer(b"ACGTN", np.uint8)
+#: Qualities in the window of joint symbols, first escape, symbols in all.
+WINDOW, ESCAPE, JOINT = 8, 40, 45
+#: Symbols from which on contexts of two symbols pay for their tables.
+MANY = 1 << 17
+
+
+def encode_joint(bases: np.ndarray, quals: np.ndarray) -> bytes:
+    """Joint symbols of base codes 0..4 and quality bytes."""
+    if not len(bases):
+        return b""
+    low = int(quals.min())
+    counts = np.bincount(quals - low, minlength=WINDOW)
+    first = int(np.convolve(counts, np.ones(WINDOW, np.int64), "valid").argmax()) + low
+    inside = (quals >= first) & (quals < first + WINDOW)
+    symbols = np.where(inside, bases.astype(np.int64) * WINDOW + (quals.astype(np.int64) - first), ESCAPE + bases)
+    rest = quals[~inside].astype(np.int64) - low
+    order = "joint" if len(bases) >= MANY else "last"
+    main = entropy.encode(symbols, JOINT, order)
+    side = entropy.encode(rest, int(rest.max()) + 1 if len(rest) else 1, "last")
+    return struct.pack("<BBBI", order == "joint", low, first, len(main)) + main + side
+
+
+def decode_joint(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    if not data:
+        return np.empty(0, np.uint8), np.empty(0, np.uint8)
+    two, low, first, size = struct.unpack_from("<BBBI", data)
+    symbols = entropy.decode(data[7 : 7 + size], "joint" if two else "last")
+    escaped = symbols >= ESCAPE
+    bases = np.where(escaped, symbols - ESCAPE, symbols // WINDOW).astype(np.uint8)
+    quals = (symbols % WINDOW + first).astype(np.uint8)
+    quals[escaped] = entropy.decode(data[7 + size :], "last") + low
+    return bases, quals
+
+
+def encode_quals(quals: np.ndarray) -> bytes:
+    """Quality bytes by rank among those that occur, in the context of the three before."""
+    seen = np.unique(quals)
+    context = "quality" if len(quals) >= MANY and len(seen) <= 64 else "last"
+    ranks = np.searchsorted(seen, quals)
+    return struct.pack("<BH", context == "quality", len(seen)) + seen.tobytes() + (entropy.encode(ranks, len(seen), context) if len(seen) else b"")
+
+
+def decode_quals(data: bytes) -> np.ndarray:
+    three, n = struct.unpack_from("<BH", data)
+    seen = np.frombuffer(data, np.uint8, n, 3)
+    return seen[entropy.decode(data[3 + n :], "quality" if three else "last")] if n else seen
 
 
 def encode_block(names: list[str], seqs: list[str], quals: list[str], level: int = 9) -> dict[str, bytes]:
     press = zstandard.ZstdCompressor(level=level).compress
-    lengths = encode_lengths(list(map(len, seqs)))
-    return {"name": press(encode_names(names)), "length": press(lengths), "seq": press(encode_bases("".join(seqs))), "qual": press(_columnwise(quals).encode("latin-1"))}
+    out = {"name": press(encode_names(names)), "length": press(encode_lengths(list(map(len, seqs))))}
+    text, marks = "".join(seqs), np.frombuffer("".join(quals).encode("latin-1"), np.uint8)
+    bases = _BASES[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
+    if len(bases) == len(marks) and not (bases == 5).any():
+        return {**out, "seq": b"", "qual": b"J" + encode_joint(bases, marks)}
+    return {**out, "seq": press(encode_bases(text)), "qual": b"Q" + encode_quals(marks)}
 
 
 def decode_block(streams: dict[str, bytes]) -> tuple[list[str], list[str], list[str]]:
     open_ = zstandard.ZstdDecompressor().decompress
     names, lengths = decode_names(open_(streams["name"])), decode_lengths(open_(streams["length"]))
-    bases, at, seqs = decode_bases(open_(streams["seq"])), 0, []
-    for n in lengths:
-        seqs.append(bases[at : at + n])
-        at += n
-    return names, seqs, _rowwise(open_(streams["qual"]).decode("latin-1"), lengths)
+    kind, data = bytes(streams["qual"][:1]), bytes(streams["qual"][1:])
+    if kind == b"J":
+        codes, marks = decode_joint(data)
+        text = _LETTERS[codes].tobytes().decode("latin-1")
+    else:
+        text, marks = decode_bases(open_(streams["seq"])), decode_quals(data)
+    quals = marks.tobytes().decode("latin-1")
+    ends = np.cumsum(lengths).tolist()
+    starts = [0, *ends[:-1]]
+    return names, [text[a:b] for a, b in zip(starts, ends, strict=True)], [quals[a:b] for a, b in zip(starts, ends, strict=True)]
 
 
 def encode_reads(reads: DataFrame, block_reads: int = 20_000) -> DataFrame:
@@ -305,6 +353,25 @@ def decode_reads(encoded: DataFrame) -> DataFrame:
     return encoded.mapInArrow(run, "file_idx int, block_idx int, ordinal long, name string, seq string, qual string")
 
 
-#: What extends the engine: a function from reads and reference to alignments, and one from reads to coded blocks.
+#: What extends the engine: a function from reads and reference to alignments, and one from reads to coded blocks and back.
 Aligner = Callable[[DataFrame, DataFrame], DataFrame]
 Codec = tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]
+CODECS: dict[str, Codec] = {"joint": (encode_reads, decode_reads)}
+
+
+def register_codec(name: str, encode: Callable[[DataFrame], DataFrame], decode: Callable[[DataFrame], DataFrame]) -> None:
+    """A codec of one's own, for write_blocks() and read_blocks() by its name."""
+    CODECS[name] = encode, decode
+
+
+def write_blocks(reads: DataFrame, path: str, *, codec: str = "joint", mode: str = "error") -> None:
+    """Coded blocks as Parquet, the codec's name beside them."""
+    CODECS[codec][0](reads).write.mode(mode).option("compression", "none").parquet(f"{path}/blocks")
+    reads.sparkSession.createDataFrame([(codec,)], "codec string").coalesce(1).write.mode(mode).parquet(f"{path}/codec")
+
+
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    codec = spark.read.parquet(f"{path}/codec").first()["codec"]
+    if codec not in CODECS:
+        raise ValueError(f"{path}: codec {codec!r} is not registered")
+    return CODECS[codec][1](spark.read.parquet(f"{path}/blocks"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .sequence import let
@@ -74,3 +74,9 @@ def posix_pattern(pattern: str) -> str:
     if "[:" in pattern or "[." in pattern or "[=" in pattern:
         raise ValueError(f"unsupported class in pattern: {pattern}")
     return pattern
+
+
+def same_as_leader(parts: Column, w: WindowSpec) -> Column:
+    """For each token 1 where it is that of the first name of its format in the block, else 0; ``w`` is ordered and partitioned by block and format."""
+    leader = F.first(parts).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return F.zip_with(parts, leader, lambda a, b: F.when(a.eqNullSafe(b), 1).otherwise(0))

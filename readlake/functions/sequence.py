@@ -189,3 +189,26 @@ def packed_hamming(a: Column, b: Column) -> Column:
 def little_endian(x: Column, n: int) -> Column:
     """The n lowest bytes as hexadecimal digits, lowest byte first."""
     return F.concat(*[F.lpad(F.hex(F.shiftright(x, 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(n)])
+
+
+def reversed_units(x: Column, unit: int, width: int = 64) -> Column:
+    """``width`` bits of a long with its units of ``unit`` bits in the opposite order."""
+    if width % unit or unit > 32:
+        raise ValueError(f"{width} bits are not made of units of {unit}")
+    mask, out = F.lit((1 << unit) - 1).cast("long"), F.lit(0).cast("long")
+    for i in range(width // unit):
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(x, i * unit).bitwiseAND(mask), width - (i + 1) * unit))
+    return out
+
+
+def packed_words(s: Column, bases: int = 16) -> Column:
+    """Two bits a base, ``bases`` of them a word, first base highest; the last word is filled with zeros at its low end. Other letters count as A."""
+    plain = F.regexp_replace(s, "[^ACGT]", "A")
+    at = F.when(F.length(s) > 0, F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1)), F.lit(bases))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: pack_kmer(F.rpad(F.substring(plain, i, F.lit(bases)), bases, "A")))
+
+
+def absolute_position(block_start: Column, offset: Column, mate_position: Column, relation: Column) -> Column:
+    """Place on the whole reference: the block's start and the offset in it; a second mate's by its distance from the first, before it for even relations and after it for odd ones (operators.pairs.pair_relation); null for reads without a place."""
+    distance = F.when(relation % 2 == 0, mate_position - offset).otherwise(mate_position + offset)
+    return F.when(relation.isNull() | relation.isin(2, 3), block_start + offset).when(relation.isin(0, 1), distance)

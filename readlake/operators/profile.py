@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +44,27 @@ def distinct_profile(reads: DataFrame) -> DataFrame:
     return reads.rollup("file_idx").agg(F.count(F.lit(1)).alias("reads"), F.countDistinct("seq").alias("distinct_seq"), F.approx_count_distinct("seq").alias("about_seq"))
 
 
+def stream_cube(reads: DataFrame) -> DataFrame:
+    """Bytes by every combination of file and stream: each, either and all (null where not grouped by)."""
+    return streams(reads).cube("file_idx", "stream").agg(F.sum("bytes").alias("bytes"), F.sum("reads").alias("reads"))
+
+
+def observed(reads: DataFrame, name: str = "progress") -> tuple[DataFrame, Observation]:
+    """``reads`` and what an action on them counts on its way: reads, bases and blocks done."""
+    seen = Observation(name)
+    return reads.observe(seen, F.count(F.lit(1)).alias("reads"), F.coalesce(F.sum(F.length("seq").cast("long")), F.lit(0)).alias("bases"), F.approx_count_distinct(F.struct("file_idx", "block_idx")).alias("blocks")), seen
+
+
+def common_sequences(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Distinct sequences that both hold."""
+    return first.select("seq").intersect(second.select("seq"))
+
+
+def missing_sequences(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Sequences of the first, as often as it holds them more than the second."""
+    return first.select("seq").exceptAll(second.select("seq"))
+
+
 def ordered_digest(reads: DataFrame, col: str, *block: str, order: str = "ordinal") -> DataFrame:
     """MD5 of a column's values of each block, joined in order without separators. A block is one value: keep blocks small."""
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order), F.coalesce(col, F.lit("")).alias("v")))), lambda x: x["v"]), "")

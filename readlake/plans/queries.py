@@ -175,6 +175,17 @@ def canonical_kmers(s, d):
     return I.kmer_counts(reference(s, d), 14, canonical=True)
 
 
+@query(_with(REF_SQL, f"SELECT read_id, i // 16 AS word, {_PACK.format(chr(39).join(['rpad(substr(seq, i + 1, 16), 16, ', 'A', ')']))} AS bits FROM (SELECT read_id, seq, unnest(range(0, length(seq), 16)) AS i FROM queries)"))
+def packed_words(s, d):
+    words = reference_reads(s, d).select("read_id", F.posexplode(S.packed_words(F.col("seq"))).alias("word", "bits"))
+    return words.withColumn("word", F.col("word").cast("long"))
+
+
+@query("SELECT c_custkey AS id, CAST(list_sum([((c_custkey >> (8 * i)) & 255) << (24 - 8 * i) FOR i IN range(4)]) AS BIGINT) AS turned FROM customer")
+def reversed_units(s, d):
+    return table(s, d, "customer").select(F.col("c_custkey").alias("id"), S.reversed_units(F.col("c_custkey"), 8, 32).alias("turned"))
+
+
 @query(_with(READS_SQL, """, n AS (SELECT ordinal, length(seq) - length(replace(seq, 'A', '')) AS a, length(seq) - length(replace(seq, 'C', '')) AS c, length(seq) - length(replace(seq, 'G', '')) AS g, length(seq) - length(replace(seq, 'T', '')) AS t FROM reads)
 SELECT ordinal, CASE greatest(a, c, g, t) WHEN a THEN 'A' WHEN c THEN 'C' WHEN g THEN 'G' ELSE 'T' END AS base FROM n"""))
 def most_freq_base(s, d):
@@ -331,6 +342,15 @@ def name_format_runs(s, d):
     return E.format_runs(r, N.name_format(F.col("name")), "ordinal", "block_idx").select("ordinal", "format", "format_run")
 
 
+@query(_with(READS_SQL, f""", f AS (SELECT block_idx, ordinal, {_TOK.format('name')} AS parts, len({_TOK.format('name')}) AS fmt FROM reads),
+l AS (SELECT *, first_value(parts) OVER (PARTITION BY block_idx, fmt ORDER BY ordinal) AS lead FROM f)
+SELECT ordinal, array_to_string([CASE WHEN parts[i] = lead[i] THEN 1 ELSE 0 END FOR i IN range(1, fmt + 1)], ',') AS same FROM l"""))
+def name_leader(s, d):
+    r = reads_se(s, d).withColumn("parts", N.tokens(F.col("name"))).withColumn("fmt", F.size("parts"))
+    w = Window.partitionBy("block_idx", "fmt").orderBy("ordinal")
+    return r.select("ordinal", F.array_join(N.same_as_leader(F.col("parts"), w).cast("array<string>"), ",").alias("same"))
+
+
 # --- qualities ---------------------------------------------------------------------------------
 _QSUM = "list_sum([ascii(c) FOR c IN regexp_extract_all(qual, '.')])"
 
@@ -416,6 +436,23 @@ def distinct_profile(s, d):
     return R.distinct_profile(reads_se(s, d)).drop("about_seq")
 
 
+@query(_with(READS_SQL + ", " + _STREAMS, "SELECT file_idx, stream, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS reads FROM s GROUP BY CUBE (file_idx, stream)"))
+def stream_cube(s, d):
+    return R.stream_cube(reads_se(s, d))
+
+
+@query(_with(READS_SQL, "SELECT seq FROM reads WHERE file_idx < 10 INTERSECT SELECT seq FROM reads WHERE file_idx >= 10"))
+def common_sequences(s, d):
+    r = reads_se(s, d)
+    return R.common_sequences(r.filter("file_idx < 10"), r.filter("file_idx >= 10"))
+
+
+@query(_with(READS_SQL, "SELECT seq FROM reads WHERE file_idx < 10 EXCEPT ALL SELECT seq FROM reads WHERE file_idx >= 10"))
+def missing_sequences(s, d):
+    r = reads_se(s, d)
+    return R.missing_sequences(r.filter("file_idx < 10"), r.filter("file_idx >= 10"))
+
+
 # --- pairs -------------------------------------------------------------------------------------
 _PAIRS = "x AS (SELECT l_orderkey AS id, l_linenumber AS n, l_partkey AS p1, CASE WHEN l_suppkey % 5 > 0 THEN l_partkey + (l_suppkey * 37) % 700 - 200 END AS p2 FROM lineitem)"
 
@@ -430,6 +467,15 @@ def pe_relation(s, d):
     return _pair_positions(s, d).select(P.pair_relation(F.col("p1"), F.col("p2"), 256).alias("relation")).groupBy("relation").agg(F.count(F.lit(1)).alias("pairs"))
 
 
+@query(_with(_PAIRS, "SELECT id, n, CASE WHEN p2 IS NULL THEN p1 WHEN abs(p1 - p2) < 256 THEN p2 ELSE abs(p1 - p2) END AS position, count(*) AS rows FROM x GROUP BY ALL"))
+def absolute_position(s, d):
+    x = _pair_positions(s, d).withColumn("relation", P.pair_relation(F.col("p1"), F.col("p2"), 256))
+    near = F.col("relation").isin(0, 1)
+    offset = F.when(near, F.abs(F.col("p1") - F.col("p2"))).when(F.col("p2").isNull(), F.col("p1")).otherwise(F.abs(F.col("p1") - F.col("p2")))
+    place = S.absolute_position(F.lit(0).cast("long"), offset, F.col("p1"), F.when(F.col("relation") == 4, 2).otherwise(F.col("relation")))
+    return x.select("id", "n", place.alias("position")).groupBy("id", "n", "position").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query(_with(_PAIRS, """, v AS (SELECT p1 - p2 AS x FROM x WHERE abs(p1 - p2) < 20000), r AS (SELECT x, row_number() OVER (ORDER BY x) AS i, count(*) OVER () AS n FROM v),
 m AS (SELECT any_value(n) AS n, CAST(floor(avg(x)) AS BIGINT) AS median FROM r WHERE i IN ((n + 1) // 2, (n + 2) // 2)),
 h AS (SELECT p, (SELECT count(*) FROM v, m WHERE abs(x - median) < power(2, p)) AS inside FROM range(2, 32) t(p))

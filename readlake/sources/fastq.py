@@ -82,6 +82,10 @@ def _paths(options: dict) -> list[str]:
     return found
 
 
+def _opened(path: str):
+    return gzip.open(path, "rb") if path.endswith(".gz") else open(path, "rb")
+
+
 class FastqReader(DataSourceReader):
     def __init__(self, options: dict):
         self.files, self.size = _paths(options), int(options.get("rangebytes", options.get("rangeBytes", RANGE_BYTES)))
@@ -118,7 +122,7 @@ class FastqStreamReader(SimpleDataSourceStreamReader):
         file_idx, at, rows = start["file"], start["byte"], []
         files = _paths(self.options)
         while file_idx < len(files) and len(rows) < self.limit:
-            with open(files[file_idx], "rb") as f:
+            with _opened(files[file_idx]) as f:
                 f.seek(at)
                 while len(rows) < self.limit:
                     lines = [f.readline() for _ in range(4)]
@@ -136,8 +140,8 @@ class FastqStreamReader(SimpleDataSourceStreamReader):
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         files = _paths(self.options)
         for i in range(start["file"], end["file"] + 1):
-            with open(files[i], "rb") as f:
-                stop = end["byte"] if i == end["file"] else os.path.getsize(files[i])
+            with _opened(files[i]) as f:
+                stop = end["byte"] if i == end["file"] else None
                 yield from records(f, i, files[i], start["byte"] if i == start["file"] else 0, stop)
 
     def commit(self, end: dict) -> None:

@@ -77,3 +77,13 @@ def test_names(spark):
     assert one(spark, x=N.split_list(F.lit("a,,b,"))) == ["a", "b"]
     assert one(spark, x=N.nibbles(F.lit(0x1F).cast("long"))) == [1, 15]
     assert N.posix_pattern("x[[:digit:]]") == r"x[\p{Digit}]"
+
+
+def test_units_words_and_positions(spark):
+    x = 0x0123456789ABCDEF
+    assert one(spark, x=S.reversed_units(F.lit(x).cast("long"), 8)) == int.from_bytes(x.to_bytes(8, "big"), "little", signed=True)
+    assert one(spark, x=S.reversed_units(F.lit(0b1101).cast("long"), 1, 4)) == 0b1011
+    assert one(spark, x=S.packed_words(F.lit("ACGT" * 4 + "TN"))) == [int("0123" * 4, 4), int("3" + "0" * 15, 4)]
+    assert one(spark, x=S.packed_words(F.lit(""))) == []
+    at = lambda mate, relation: one(spark, x=S.absolute_position(F.lit(1000), F.lit(7), F.lit(mate), F.lit(relation)))
+    assert [at(500, r) for r in (None, 0, 1, 2, 3, 6)] == [1007, 493, 507, 1007, 1007, None]

@@ -226,3 +226,16 @@ def test_split_align_query_takes_all_reads(spark, tmp_path):
     want = {(1_000_000 + i, 0, len(t), i, 0, 0) for i, t in texts.items()}
     got = QUERIES["split_align"](spark, str(tmp_path)).select("read_id", "seg_start", "seg_len", "contig", "pos", "mis")
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_digest_query_equals_xxhash(spark):
+    import xxhash
+
+    rows = [(f, b, i, f"s{f}{b}{i}" * i) for f in range(2) for b in range(2) for i in (2, 0, 1)]
+    got = R.block_digest(spark.createDataFrame(rows, "file_idx int, block_idx int, ordinal long, seq string"), "seq", "xxhash", "file_idx", "block_idx").collect()
+    assert {(r["file_idx"], r["block_idx"]): r["digest"] for r in got} == {(f, b): xxhash.xxh3_128_hexdigest("".join(f"s{f}{b}{i}" * i for i in range(3))) for f in range(2) for b in range(2)}
+
+
+def test_observed_counts(spark):
+    r, seen = R.observed(reads(spark))
+    assert r.count() == 20 and seen.get == {"reads": 20, "bases": r.selectExpr("sum(length(seq))").first()[0], "blocks": 4}

@@ -3,9 +3,10 @@ from __future__ import annotations
 import gzip
 import random
 
+import numpy as np
 import pytest
 
-from readlake import api, codec
+from readlake import api, codec, entropy
 from readlake.sources import archive as A
 from readlake.sources import fastq as Q
 from readlake.streaming.pipes import name_deltas, pipe_out, stream_fastq
@@ -120,3 +121,70 @@ def test_codec(spark):
     rows = [(0, 0, i, a, b, c) for i, (a, b, c) in enumerate(fastq(60)[0])] + [(1, 0, i, f"n{i}", "ACGT", "IIHH") for i in range(9)]
     df = spark.createDataFrame(rows, "file_idx int, block_idx int, ordinal long, name string, seq string, qual string").coalesce(1)
     assert codec.decode_reads(codec.encode_reads(df, 16)).exceptAll(df).count() == 0 and codec.decode_reads(codec.encode_reads(df)).count() == len(rows)
+
+
+@pytest.mark.parametrize("context", ["none", "last", "quality", "joint"])
+def test_entropy_coder(context):
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 63, 64, 65, 5000, 300_000):
+        s = np.minimum(44, rng.geometric(0.25, n) - 1)
+        data = entropy.encode(s, 45, context)
+        assert (entropy.decode(data, context) == s).all()
+        if n == 300_000 and context in ("none", "last"):
+            p = np.bincount(s) / n
+            p = p[p > 0]
+            assert 8 * len(data) < 1.1 * n * -(p * np.log2(p)).sum()
+    skewed = np.zeros(10_000, np.int64)
+    skewed[::997] = np.arange(len(skewed[::997])) % 900
+    assert (entropy.decode(entropy.encode(skewed, 1000, "last"), "last") == skewed).all()
+
+
+def test_blocks_of_equal_and_ragged_reads(spark, tmp_path):
+    """Joint symbols, escapes, letters outside ACGTN, empty reads; a codec of one's own by name."""
+    rng = random.Random(8)
+    make = lambda n, letters, signs, size: [(f"r.{i}", "".join(rng.choice(letters) for _ in range(k)), "".join(rng.choice(signs) for _ in range(k))) for i in range(n) for k in [size(i)]]
+    sets = [make(900, "ACGT", "FFFFF:,#", lambda i: 150), make(200, "ACGTN", "".join(map(chr, range(33, 127))), lambda i: i), make(50, "ACGTNRYacgt", "I5", lambda i: 40), [("e", "", "")], []]
+    for rows in sets:
+        streams = codec.encode_block(*map(list, zip(*rows, strict=True))) if rows else codec.encode_block([], [], [])
+        assert list(zip(*codec.decode_block(streams), strict=True)) == rows
+    df = spark.createDataFrame([(0, 0, i, *r) for i, r in enumerate(sets[1])], "file_idx int, block_idx int, ordinal long, name string, seq string, qual string").coalesce(1)
+    codec.write_blocks(df, str(tmp_path / "b"))
+    assert codec.read_blocks(spark, str(tmp_path / "b")).exceptAll(df).isEmpty()
+    codec.register_codec("plain", lambda r: r, lambda r: r)
+    codec.write_blocks(df, str(tmp_path / "p"), codec="plain")
+    assert codec.read_blocks(spark, str(tmp_path / "p")).count() == df.count()
+
+
+def test_align_and_reorder_several_files_and_mates(spark, tmp_path):
+    rng = random.Random(17)
+    genome = "".join(rng.choice("ACGT") for _ in range(3000))
+    (tmp_path / "r.fa").write_text(f">g\n{genome}\n")
+    places = [[10, 700, 1500], [2000, 350]]
+    for f, starts in enumerate(places):
+        (tmp_path / f"{f}.fq").write_text("".join(f"@x{f}.{i}\n{genome[p : p + 80]}\n+\n{'I' * 80}\n" for i, p in enumerate(starts)))
+    reads = api.load_reads(spark, [str(tmp_path / "0.fq"), str(tmp_path / "1.fq")], layout="MULTI")
+    api.build_ref_index(spark, str(tmp_path / "r.fa"), str(tmp_path / "ix"))
+    stored = api.load_ref_index(spark, str(tmp_path / "ix"))
+    for ref in (stored, Q.read_fasta(spark, str(tmp_path / "r.fa"))):
+        got = api.align_reads(reads, ref).orderBy("file_idx", "ordinal").collect()
+        assert [(r["file_idx"], r["pos"], r["mis"]) for r in got] == [(f, p, 0) for f, s in enumerate(places) for p in s]
+    order = api.reordered(reads).groupBy("file_idx").agg({"new_ordinal": "max"}).collect()
+    assert {tuple(r) for r in order} == {(0, 2), (1, 1)}
+    for m in (1, 2):
+        (tmp_path / f"m{m}.fq").write_text("".join(f"@p{i}/{m}\n{genome[p + 100 * m : p + 100 * m + 60 + m]}\n+\n{'I' * (60 + m)}\n" for i, p in enumerate([5, 1200, 25, 1190])))
+    pairs = api.load_reads(spark, [str(tmp_path / "m1.fq"), str(tmp_path / "m2.fq")], layout="PE")
+    placed = api.align_reads(pairs, stored).collect()
+    assert len(placed) == 8 and all(r["pos"] == [5, 1200, 25, 1190][r["pair_id"]] + 100 * r["mate"] for r in placed)
+    laid = api.reordered(pairs).orderBy("new_ordinal").collect()
+    assert [r["mate"] for r in laid] == [1, 2] * 4 and all(laid[i]["pair_id"] == laid[i + 1]["pair_id"] for i in range(0, 8, 2))
+
+
+def test_stream_of_gzip_files(spark, tmp_path):
+    rows, text = fastq(25)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.fq.gz").write_bytes(gzip.compress(text.encode()))
+    (tmp_path / "in/b.fq").write_text("@last\nACG\n+\nIII\n")
+    q = stream_fastq(spark, str(tmp_path / "in"), records_per_batch=10).writeStream.format("memory").queryName("zipped").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert got(spark.table("zipped")) == [*rows, ("last", "ACG", "III")]
