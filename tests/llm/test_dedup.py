@@ -150,9 +150,9 @@ def test_near_dedup(spark):
     links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     root = roots(sets, links)
     want = {i: r for i, r in root.items() if sum(x == r for x in root.values()) > 1}
-    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_classes(docs(spark, rows), block=block, tau=14).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_classes(docs(spark, rows), block=block).collect()}
     assert got == want and len(want) > 20
-    left = near_dedup.drop_near_copies(docs(spark, rows), block=block, tau=14)
+    left = near_dedup.drop_near_copies(docs(spark, rows), block=block)
     assert left.count() == len(rows) - sum(i != r for i, r in want.items()) and left.columns == docs(spark, []).columns
     assert near_dedup.near_classes(docs(spark, [])).count() == 0
     text = " ".join(f"w{i}" for i in range(80))
@@ -283,3 +283,60 @@ def test_exact_index_has_buckets_at_its_own_parameters(spark):
     d = docs(spark, [(i, f"text {i % 1500}") for i in range(1700)])
     got = exact_dedup(d).groupBy("bucket").agg({"text_sha256": "count"}).count()
     assert got > 2
+
+
+def test_sharding_equals_brute_force(spark):
+    """Records in order of (hash of the text, id), cut where a shard's share of the bytes begins; a small group of equal texts goes whole to the later shard."""
+    rng = random.Random(31)
+    rows = [(i, "".join(rng.choice("ab é") for _ in range(rng.randint(0, 400)))) for i in range(700)] + [(2000 + i, "same text again") for i in range(40)] + [(3000, None), (3001, "z" * 90_000)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    order = sorted((signed(xxhash.xxh64_intdigest((t or "").encode(), seed=42)), i, len((t or "").encode()) + 1) for i, t in rows)
+    total, at, starts = sum(s for *_, s in order), 0, {}
+    for k, (_, _, size) in enumerate(order):
+        starts.setdefault(min(15, at * 16 // total), k)
+        at += size
+    bounds = [starts.get(s, len(order)) for s in range(16)]
+    for s, k in enumerate(bounds):
+        group = [j for j, o in enumerate(order) if k < len(order) and o[0] == order[k][0]]
+        if group and sum(order[j][2] for j in group) <= 0.01 * total / 16:
+            bounds[s] = group[0]
+    for s in range(14, -1, -1):
+        bounds[s] = min(bounds[s], bounds[s + 1])
+    bounds[0] = 0
+    want = {}
+    for k, (_, i, _) in enumerate(order):
+        shard = max(s for s in range(16) if bounds[s] <= k)
+        want[i] = (shard, k - bounds[shard])
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in sharded(docs(spark, rows), 16).collect()} == want
+
+
+def test_repeated_lines_equal_brute_force(spark):
+    """With ``line_words``, a line of so many words is marked wherever an earlier document holds it, or the same one before."""
+    rng = random.Random(33)
+    pool = [" ".join(rng.choice(["red", "blue", "green", "tall", "small", "river"]) for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    texts = {i: "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 12))) for i in range(80)}
+    seen, want = {}, {i: set() for i in texts}
+    for i in sorted(texts):
+        at = 0
+        for line in texts[i].split("\n"):
+            key = " ".join(line.lower().split())
+            if len(key.split()) >= 4 and key in seen:
+                want[i] |= set(range(at, at + len(line)))
+            seen.setdefault(key, i)
+            at += len(line) + 1
+    got = {i: set() for i in texts}
+    for r in substring_dedup.repeated_spans(docs(spark, list(texts.items())), line_words=4).collect():
+        got[r["doc_id"]] |= set(range(r["start"], r["stop"]))
+    letters = lambda i, at: {x for x in at if x < len(texts[i]) and texts[i][x] != "\n"}
+    for i in texts:
+        # windows and runs of 25 words may take more, never less; nothing that occurs for the first time
+        assert want[i] <= letters(i, got[i])
+        extra = letters(i, got[i]) - want[i]
+        assert all(len(line.split()) < 4 or not extra & set(range(at, at + len(line))) for at, line in _lines(texts[i]))
+
+
+def _lines(text):
+    at = 0
+    for line in text.split("\n"):
+        yield at, line
+        at += len(line) + 1
