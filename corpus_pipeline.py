@@ -1,4 +1,8 @@
-"""From raw documents to packed token sequences, stage by stage; each stage is written and read again."""
+"""From raw documents to packed token sequences, stage by stage; each stage is written and read again.
+
+All stages take null ids and texts, empty and very long texts, repeated rows, empty tables and columns of
+any further names, which they pass on as they are; what becomes of each case is said with the stage.
+"""
 
 from __future__ import annotations
 
@@ -16,28 +20,28 @@ from readlake.llm.toxicity import drop_toxic, fit
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are predicted to be toxic go."""
+    """Documents that are predicted to be toxic go. Null and empty texts are judged by the overall rate of the labels."""
     model, _ = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return drop_toxic(docs, model)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (white space aside) the one with the most code points stays."""
+    """Of equal texts (white space aside) the one with the most code points stays, then the smallest doc_id; null counts as empty, rows with a null id stay only where no other has their text."""
     return drop_exact_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id stays."""
+    """Of each class of near copies the document with the smallest id stays; null and empty texts and rows with a null id have no copies."""
     return drop_near_copies(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages and lines that an earlier document holds are cut out."""
+    """Passages and lines that an earlier document holds are cut out; rows with a null id neither lose nor claim any, null texts stay null."""
     return cut(docs, repeated_spans(docs, line_words=MIN_UNIT))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, as pieces of token sequences."""
+    """What is left, as pieces of token sequences; a null or empty text is its end mark alone."""
     return piece_digests(packed(docs, public_encoder))
 
 
