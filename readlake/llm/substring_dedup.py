@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, written
+from .common import discard, id_text, sweep, written
 
 BREAK = re.compile(r"[.!?]\s+|\n\s*")
 MIN_UNIT, MIN_WORDS = 4, 25
@@ -184,7 +184,8 @@ def _windows(text: str, places: list[dict]) -> np.ndarray:
     return np.column_stack(_packed(np.zeros(len(at), np.int64), starts[at], starts[at + WINDOW], at, np.full(len(at), WINDOW), high, low, np.zeros(len(at), np.int64), again))
 
 
-def _window_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _window_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The window rows, not yet written, and the table that they are read from."""
     kind = dict(docs.dtypes)[id_col]
     base = _texts(docs, id_col, text_col)
     rows = written(_anchor_rows(base, kind), "anchors")
@@ -192,6 +193,7 @@ def _window_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     order = Window.partitionBy("doc_id", "own").orderBy("first")
     far = lambda x: F.coalesce(x > WINDOW, F.lit(True)).cast("int")
     shared = written(rows.join(twice, "key").withColumns({"left": far(F.col("first") - F.lag("last").over(order)), "right": far(F.lead("first").over(order) - F.col("last"))}), "shared-anchors")
+    discard(rows)
     ends = shared.groupBy("key").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     places = shared.drop("left", "right").join(ends, "key").groupBy("doc_id", "own").agg(F.collect_set(F.struct("first", "last", "left", "right")).alias("places"))
 
@@ -205,19 +207,25 @@ def _window_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 table[:, -1] |= batch.column(1).to_numpy()[rows] << 2
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *(pa.array(table[:, i]) for i in range(len(FIELDS)))], ["doc_id", *FIELDS])
 
-    return base.join(places, ["doc_id", "own"]).select("doc_id", "own", "text", "places").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{x} long" for x in FIELDS))
+    found = base.join(places, ["doc_id", "own"]).select("doc_id", "own", "text", "places").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{x} long" for x in FIELDS))
+    return found, shared
 
 
-def _marked(rows: DataFrame) -> DataFrame:
-    """The rows that are not the earliest of their digest, with first_id, the document of that."""
+def _marked(rows: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
+    """The rows that are not the earliest of their digest, with first_id, the document of that; written. ``spent``: tables that only ``rows`` reads, deleted once those are written."""
+    rows = written(rows, name)
+    discard(*spent)
     again = F.col("mark").bitwiseAND(F.lit(3))
     once = rows.filter(again == 0)
     # written, so that the joins with it are dealt by themselves and a digest of many rows can be split
-    first = written(once.groupBy("high", "low").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id <> last_id").select("high", "low", "first_id"), "first-units")
+    first = written(once.groupBy("high", "low").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id <> last_id").select("high", "low", "first_id"), "first-" + name)
+    sweep(rows.sparkSession)
     columns = ["doc_id", "unit", "span", "place", "mark"]
     across = once.join(first, ["high", "low"]).filter("doc_id <> first_id").select(*columns, "first_id")
     within = rows.filter(again > 0).join(first, ["high", "low"], "left").filter((again == 1) | (F.col("doc_id") != F.col("first_id"))).select(*columns, F.coalesce("first_id", "doc_id").alias("first_id"))
-    return _unpacked(across.unionByName(within))
+    marked = written(across.unionByName(within), "marked-" + name)
+    discard(rows, first)
+    return _unpacked(marked)
 
 
 def _merged(pieces: DataFrame) -> DataFrame:
@@ -241,7 +249,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     other, and have spans of their own; rows alike in id and text have the same spans, once; an empty
     table gives an empty result; other columns are ignored.
     """
-    marked = written(_marked(written(_unit_rows(docs, id_col, text_col, line_words is not None), "units")), "marked-units")
+    marked = _marked(_unit_rows(docs, id_col, text_col, line_words is not None), "units")
     island = F.col("unit") - F.dense_rank().over(Window.partitionBy("doc_id", "own").orderBy("unit"))
     upto = F.col("at") + F.col("words")
     runs = marked.filter("unit >= 0").withColumn("island", island).groupBy("doc_id", "own", "island").agg(
@@ -249,7 +257,8 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         (F.max("unit") - F.min("unit") + 1).alias("units"), F.min("first_id").alias("first_id"),
     ).drop("island").filter(f"upto - at >= {min_words}")
     columns = ["doc_id", "own", "start", "stop", "at", "upto", "units", "first_id"]
-    windows = _marked(written(_window_rows(docs, id_col, text_col), "windows")).withColumn("upto", upto).withColumn("units", F.lit(0))
+    found, anchored = _window_rows(docs, id_col, text_col)
+    windows = _marked(found, "windows", anchored).withColumn("upto", upto).withColumn("units", F.lit(0))
     pieces = runs.select(*columns).unionByName(_merged(windows.select(*columns)).filter(f"upto - at >= {min_words}").select(*columns))
     if line_words is not None:
         lines = marked.filter(f"line = 1 and words >= {line_words}")
