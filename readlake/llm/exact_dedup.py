@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import without_space, written
+from .common import discard, without_space, written
 
 #: Entries that a bucket holds, and prefix bits beyond those that an even spread of keys would need.
 BUCKET_ROWS, SLACK_BITS = 512, 4
@@ -58,7 +58,7 @@ def directory(entries: DataFrame, n_entries: int, bucket_rows: int) -> DataFrame
 
 
 def build_index(docs: DataFrame, records: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """The index table: bucket, depth, slot, chain, key, sha, n, keep_id, keep_row; one row per distinct normalised text."""
+    """The index table, written: bucket, depth, slot, chain, key, sha, n, keep_id, keep_row; one row per distinct normalised text."""
     texts = _records(docs, id_col, text_col, key_bits).groupBy("key", "norm").agg(F.count(F.lit(1)).alias("n"))
     entries = texts.select("key", F.sha2("norm", 256).alias("sha"), "n")
     # bytes were compared by the grouping; two byte strings under one digest would be an error, not a merge
@@ -73,10 +73,13 @@ def build_index(docs: DataFrame, records: DataFrame, *, id_col: str = "doc_id",
     # owner tasks: each has a range of keys, whole buckets in order
     placed = placed.repartitionByRange("bucket").sortWithinPartitions("bucket", "depth", "key", "sha")
     by_bucket = Window.partitionBy("bucket", "depth")
-    return placed.select(
+    placed = placed.select(
         "bucket", "depth", F.row_number().over(by_bucket.orderBy("key", "sha")).cast("long").alias("slot"),
         F.row_number().over(Window.partitionBy("bucket", "depth", "key").orderBy("sha")).cast("long").alias("chain"), "key", "sha", "n", "keep_id", "keep_row",
     )
+    index = written(placed, "exact-index")
+    discard(entries)
+    return index
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -99,7 +102,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, key_bits: int, bucket_r
     norm = _records(source, id_col, text_col, key_bits, *(["_own"] if own is not None else []))
     records = norm.select("doc_id", "cp", "key", F.sha2("norm", 256).alias("sha"), F.monotonically_increasing_id().alias("row"), *([] if own is None else ["_own"]))
     records = written(records, "exact-records")
-    index = written(build_index(docs, records, id_col=id_col, text_col=text_col, key_bits=key_bits, bucket_rows=bucket_rows), "exact-index")
+    index = build_index(docs, records, id_col=id_col, text_col=text_col, key_bits=key_bits, bucket_rows=bucket_rows)
     return records.join(index.drop("slot", "depth"), ["key", "sha"]).withColumn("kept", F.col("row") == F.col("keep_row"))
 
 
