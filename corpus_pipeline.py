@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readlake.llm.common import documents, written
+from readlake.llm.common import discard, documents, written
 from readlake.llm.exact_dedup import drop_exact_copies
 from readlake.llm.near_dedup import drop_near_copies
 from readlake.llm.packing import packed
@@ -21,7 +21,8 @@ from readlake.llm.toxicity import drop_toxic, fit
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted to be toxic go. Null and empty texts are judged by the overall rate of the labels."""
-    model, _ = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model, vectors = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    discard(vectors)  # the model has its counts from them; rows are judged by their texts
     return drop_toxic(docs, model)
 
 
