@@ -32,7 +32,7 @@ WORD = re.compile(r"\w+")
 #: Bounds of the model: labelled examples, nearest examples that vote, leave-one-out votes that the calibration is fitted on.
 MAX_EXAMPLES, K, CALIBRATION = 6144, 7, 4096
 #: Examples in a block, queries searched at once; a word that one in so many examples holds is kept in blocks.
-BLOCK, QUERIES, COMMON = 64, 128, 24
+BLOCK, QUERIES, COMMON = 64, 64, 24
 MEMO_WORDS = 100_000
 
 INTS = pa.list_(pa.int32())
