@@ -14,11 +14,13 @@ from .common import documents
 from .embedding_dedup import cosine_classes
 from .exact_dedup import exact_dedup
 from .packing import fast_encoder, packed
+from .permutation_index import neighbours
 from .preferences import preference_pairs
 from .sharding import sharded
 from .simhash import simhash_classes
 from .substring_dedup import MIN_UNIT, repeated_spans
 from .toxicity import fit, held_out, scored
+from .vector_codes import ENTRIES, PARTS, ROUNDS, SCALE, vector_codes
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +135,45 @@ FROM f GROUP BY pair_id
 """
 
 
+def op11_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("label")
+
+
+def _op12_sql() -> str:
+    """The rounds written out: assignment by exact whole numbers, then the floors of the means."""
+    rounds = [f"""k AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda e: CAST(floor(CAST(e AS DOUBLE) * {SCALE}) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), p AS MATERIALIZED (
+  SELECT vec_id, g AS part, x[g * (len(x) // {PARTS}) + 1 : (g + 1) * (len(x) // {PARTS})] AS v FROM k, range({PARTS}) r(g)
+), b0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v AS c FROM p WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT {ENTRIES})
+)"""]
+    for r in range(ROUNDS + 1):
+        rounds.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, part, any_value(v) AS v, min(CAST(list_inner_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[])) - 2 * list_inner_product(CAST(v AS DOUBLE[]), CAST(c AS DOUBLE[])) + list_inner_product(CAST(c AS DOUBLE[]), CAST(c AS DOUBLE[])) AS BIGINT) * {ENTRIES} + entry) AS m
+  FROM p JOIN b{r} USING (part) GROUP BY vec_id, part
+)""")
+        if r < ROUNDS:
+            rounds.append(f"""n{r} AS MATERIALIZED (
+  SELECT part, entry, list(c ORDER BY i) AS c FROM (
+    SELECT part, m % {ENTRIES} AS entry, i, CAST(floor(sum(v[i]) / count(*)) AS BIGINT) AS c FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM a{r}) GROUP BY ALL
+  ) GROUP BY part, entry
+), b{r + 1} AS MATERIALIZED (
+  SELECT part, entry, coalesce(n{r}.c, b{r}.c) AS c FROM b{r} LEFT JOIN n{r} USING (part, entry)
+)""")
+    return f"""WITH {', '.join(rounds)}, f AS (
+  SELECT vec_id, string_agg(format('{{:02x}}', m % {ENTRIES}), '' ORDER BY part) AS code, CAST(sum(m // {ENTRIES}) AS BIGINT) AS error FROM a{ROUNDS} GROUP BY vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(CAST(c AS VARCHAR[]), ','), ',' ORDER BY part, entry)) FROM b{ROUNDS}) AS codebooks_sha256
+FROM f JOIN k USING (vec_id)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -145,8 +186,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_quality": op9_quality,
         "op10_preferences": op10_preferences,
+        "op11_permutation_index": op11_permutation_index,
+        "op12_vector_codes": op12_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op10_preferences": OP10_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op10_preferences": OP10_SQL, "op12_vector_codes": _op12_sql()}

@@ -23,6 +23,8 @@ COLUMNS = {
     "op8_byte_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
     "op9_quality": "doc_id bigint, expected_grade double, tail_probability double, kept boolean",
     "op10_preferences": "pair_id bigint, prompt string, prompt_turns int, chosen string, rejected string, usable boolean",
+    "op11_permutation_index": "query_id bigint, rank int, vec_id bigint, score double",
+    "op12_vector_codes": "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string",
 }
 
 
