@@ -112,8 +112,10 @@ def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Defined cases: as in exact_dedup(); rows alike in id and text leave one of them, whichever other
     columns it has; an empty table stays empty; columns named like those used inside stay as they are.
     """
-    # a row is known by its id and whole text
-    own = F.sha2(F.concat_ws("\x00", F.when(docs[id_col].isNull(), "-").otherwise(F.concat(F.lit("+"), docs[id_col].cast("string"))), F.coalesce(docs[text_col].cast("string"), F.lit(""))), 256)
+    # a row is known by its id and whole text; the id's length comes first, so no two rows look alike joined
+    name_ = docs[id_col].cast("string")
+    head = F.when(docs[id_col].isNull(), "-").otherwise(F.concat(F.length(name_).cast("string"), F.lit(":"), name_))
+    own = F.sha2(F.concat(head, F.coalesce(docs[text_col].cast("string"), F.lit(""))), 256)
     keep = _judged(docs.select(id_col, text_col), id_col, text_col, key_bits, bucket_rows, own).filter("kept").select(F.col("_own").alias("_own_kept"))
     name = "_own"
     while name in docs.columns:
