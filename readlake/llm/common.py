@@ -68,9 +68,3 @@ def without_space(text: Column) -> Column:
 
 def integral(df: DataFrame, column: str) -> bool:
     return dict(df.dtypes)[column] in ("tinyint", "smallint", "int", "bigint")
-
-
-def numbered(docs: DataFrame, id_col: str) -> DataFrame:
-    """(doc_id, node) of the distinct ids, whatever their type, written: node is a long."""
-    ids = docs.select(docs[id_col].alias("doc_id")).filter("doc_id is not null").distinct()
-    return written(ids.withColumn("node", F.monotonically_increasing_id()), "ids")

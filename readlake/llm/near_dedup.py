@@ -4,13 +4,18 @@ SimHash candidates are documents whose SimHashes of distinct words lie within TA
 shingles lie within FAR bits, and whose shingle counts allow the similarity. They miss copies that lose or
 gain many words at once, so every pair that shares a shingle of its prefixes is a candidate too: in one
 order of all shingles, two sets of the similarity meet within their first ones, whatever the edits. A pair
-is rejected only where counts of shingles by class of hash prove it less similar. Candidates form components with
-linear output; only documents of components with two or more are looked at again: the members' shingle
-sets meet in cells (blocks of large components), where bit sets give exact Jaccard for every pair. Verified links give the final classes.
+is rejected only where counts of shingles by class of hash prove it less similar.
+
+Rows of equal shingle sets are one node. Candidates form components with linear output; only documents of
+components with two or more are looked at again. Each member is compared with the component's centre
+first: those that are similar to it are one class and never meet each other. The few that are not meet all
+other members in cells (blocks of large components), where bit sets give exact Jaccard. Verified links give
+the final classes. A row is known by its id and text, so rows of one id and different texts are judged apart.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -19,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, integral, numbered, written
+from .common import id_text, written
 from .components import block_cells, components
 from .simhash import hashes, linked, majority, mapped, segment_pairs, star
 
@@ -154,93 +159,159 @@ def prefix_links(signs: DataFrame, similarity: float, block: int = PREFIX_BLOCK)
     return both.groupBy("cell", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, tau: int = TAU, block: int = BLOCK) -> DataFrame:
-    """(doc_id, component_id) of every document in a class of two or more; component_id is the smallest doc_id of the class.
-
-    Two documents are linked when the Jaccard similarity of their sets of five-word shingles
-    (lower-cased A-Z; fewer words: the whole sequence) is ``similarity`` or more.
-
-    Defined cases: null and empty texts have no shingles and link with nothing, nor do rows with a
-    null doc_id; rows that share a doc_id are one document; ids of other types than integers are
-    numbered first; an empty table gives an empty result.
-    """
-    if not integral(docs, id_col):
-        ids = numbered(docs, id_col)
-        base = id_text(docs, id_col, text_col).join(ids, "doc_id").select(F.col("node").alias("doc_id"), "text")
-        classes = near_classes(base, similarity=similarity, tau=tau, block=block).join(ids.withColumnRenamed("doc_id", "own"), F.col("doc_id") == F.col("node"))
-        least = classes.groupBy("component_id").agg(F.min("own").alias("least"))
-        return classes.join(least, "component_id").select(F.col("own").alias("doc_id"), F.col("least").alias("component_id"))
+def _signatures(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """One row per row with an id and words, written: node, doc_id, text_sha256, same (digest of the shingle set), fp, far, n, prefix, counts."""
     common = _common(docs, id_col, text_col)
 
     def sign(text: bytes) -> tuple:
         shingles = _set(text)
         often = np.isin(shingles, common, assume_unique=True)
         ranked = np.concatenate([shingles[~often], shingles[often]])
-        return *_signature(text, shingles), ranked[: prefix_sizes(len(ranked), similarity)[1]].tobytes(), class_counts(shingles)
+        prefix = ranked[: prefix_sizes(len(ranked), similarity)[1]].tobytes()
+        return hashlib.sha256(text).hexdigest(), hashlib.sha256(shingles.tobytes()).digest()[:16], *_signature(text, shingles), prefix, class_counts(shingles)
+
+    signs = mapped(docs, sign, "text_sha256 string, same binary, fp long, far long, n long, prefix binary, counts binary", id_col, text_col)
+    return written(signs.filter("doc_id is not null and n > 0").withColumn("node", F.monotonically_increasing_id()), "near-signatures")
 
-    signs = mapped(docs, sign, "fp long, far long, n long, prefix binary, counts binary", id_col, text_col)
-    signs = written(signs.filter("doc_id is not null and n > 0").select(F.col("doc_id").cast("long").alias("node"), "fp", "far", "n", "prefix", "counts"), "near-signatures")
+
+def _candidates(signs: DataFrame, similarity: float, tau: int) -> DataFrame:
+    """(node, component) of the nodes that may be similar to another, written; component is its smallest node."""
 
     def may(c: dict, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         low, high = np.minimum(c["n"][left], c["n"][right]), np.maximum(c["n"][left], c["n"][right])
         return (low >= similarity * high) & (np.bitwise_count(c["far"][left].astype(np.uint64) ^ c["far"][right].astype(np.uint64)) <= FAR)
 
     links = linked(signs.select("node", "fp", "far", "n"), tau, near=may, extra="far long, n long").unionByName(prefix_links(signs, similarity))
-    groups = written(components(links), "near-candidates")
-    base = id_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    members = base.join(groups.withColumnRenamed("node", "doc_id"), "doc_id")
+    return written(components(links), "near-candidates")
+
 
-    def shingled(batches):
+def _member_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, component, shingles) of ``wanted`` (node, component, doc_id, text_sha256), written."""
+    # digests are taken of the texts that the ids meet, not of all
+    members = id_text(docs, id_col, text_col).join(wanted, "doc_id").filter(F.sha2("text", 256) == F.col("text_sha256"))
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 sets = [_set(t.as_py()).tobytes() for t in batch.column(2).cast(pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["doc_id", "component", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["node", "component", "shingles"])
+
+    sets = members.select("node", "component", "text").mapInArrow(shingled, "node long, component long, shingles binary")
+    return written(sets.dropDuplicates(["node"]), "near-shingles")  # rows alike in id and text have met each other
+
+
+def _near_centre(sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, component, near), written: whether a member is similar to the smallest node of its component, which is near itself."""
+    centres = sets.filter("node = component").select("component", F.col("shingles").alias("centre"))
 
-    sets = written(members.select("doc_id", "component", "text").mapInArrow(shingled, "doc_id long, component long, shingles binary"), "near-shingles")
-    dealt = block_cells(sets, ["component"], "doc_id", block)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for own, centre in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = np.frombuffer(own.as_py(), np.uint64), np.frombuffer(centre.as_py(), np.uint64)
+                both = 0
+                if min(len(a), len(b)) >= similarity * max(len(a), len(b)) - 1e-9:
+                    at = np.searchsorted(b, a)
+                    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+                near.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], ["node", "component", "near"])
+
+    joined = sets.join(centres, "component").select("node", "component", "shingles", "centre")
+    return written(joined.mapInArrow(compare, "node long, component long, near boolean"), "near-centres")
+
+
+def _others(sets: DataFrame, judged: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(a, b): links of the members that are not near their centre, with each other and with those that are."""
+    sizes = judged.groupBy("component").agg(F.count_if(~F.col("near")).alias("_u"), F.count_if("near").alias("_l")).filter("_u > 0")
+    blocks = sizes.select("component", (F.col("_u") + F.col("_l") <= block).alias("_small"), F.ceil(F.col("_u") / block).cast("int").alias("_ku"), F.ceil(F.col("_l") / block).cast("int").alias("_kl"))
+    rows = sets.join(judged.join(blocks, "component").drop("component"), "node")
+    place = lambda k: F.pmod(F.xxhash64("node", F.lit(7)), F.col(k)).cast("int")
+    rows = rows.withColumn("own", F.when(F.col("_small"), F.lit(0)).when(F.col("near"), F.col("_ku") + place("_kl")).otherwise(place("_ku")))
+    cell = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    own, apart = F.col("own"), F.sequence(F.lit(0), F.col("_ku") - 1)
+    with_apart = F.transform(apart, lambda x: cell(F.least(x, own), F.greatest(x, own)))  # for those near, own is beyond all x
+    with_near = F.transform(F.sequence(F.col("_ku"), F.col("_ku") + F.col("_kl") - 1), lambda y: cell(own, y))
+    cells = F.when(F.col("_small"), F.array(cell(F.lit(0), F.lit(0)))).when(F.col("near"), with_apart).otherwise(F.concat(with_apart, with_near))
+    dealt = rows.select("node", "component", "near", "shingles", "own", "_small", F.inline(cells))
     # small components share a task's table
-    dealt = dealt.withColumn("cell", F.when(F.col("j") > 0, F.xxhash64("component", "i", "j")).otherwise(F.pmod(F.xxhash64("component"), F.lit(CELLS))))
+    dealt = dealt.withColumn("cell", F.when(F.col("_small"), F.pmod(F.xxhash64("component"), F.lit(CELLS))).otherwise(F.xxhash64("component", "i", "j"))).drop("_small")
 
     def verify(table: pa.Table) -> pa.Table:
-        ids, of, own = (table.column(c).to_numpy() for c in ("doc_id", "component", "own"))
+        ids, of, own = (table.column(c).to_numpy() for c in ("node", "component", "own"))
+        near = table.column("near").to_numpy(zero_copy_only=False)
         cross = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        sets = [np.frombuffer(b, np.uint64) for b in table.column("shingles").to_pylist()]
-        order = np.lexsort((ids, of))
+        sets_ = [np.frombuffer(b, np.uint64) for b in table.column("shingles").to_pylist()]
+        order = np.lexsort((ids, near, of))
         bounds = np.concatenate([[0], np.flatnonzero(np.diff(of[order])) + 1, [len(order)]])
         a, b = [], []
         for at, stop in zip(bounds[:-1], bounds[1:], strict=True):
             rows = order[at:stop]
-            sizes = np.array([len(sets[r]) for r in rows])
+            sizes_ = np.array([len(sets_[r]) for r in rows])
             # bit k of a row: it holds the k-th shingle that at least two rows hold
-            values, place, times = np.unique(np.concatenate([sets[r] for r in rows]), return_inverse=True, return_counts=True)
+            values, place_, times = np.unique(np.concatenate([sets_[r] for r in rows]), return_inverse=True, return_counts=True)
             shared = np.cumsum(times > 1) - 1
             bits = np.zeros((len(rows), max(1, (int(shared[-1]) + 64) // 64)), np.uint64)
-            row = np.repeat(np.arange(len(rows)), sizes)
-            keep = times[place] > 1
-            k = shared[place[keep]].astype(np.uint64)
+            row = np.repeat(np.arange(len(rows)), sizes_)
+            keep = times[place_] > 1
+            k = shared[place_[keep]].astype(np.uint64)
             np.bitwise_or.at(bits, (row[keep], k >> np.uint64(6)), np.uint64(1) << (k & np.uint64(63)))
             lefts, rights = [], []
-            for x in range(len(rows) - 1):
+            for x in range(min(len(rows) - 1, int((~near[rows]).sum()))):  # those not near come first
                 common = np.bitwise_count(bits[x] & bits[x + 1 :]).sum(1, dtype=np.int64)
-                hit = np.flatnonzero(common >= similarity * (sizes[x] + sizes[x + 1 :] - common) - 1e-9)
+                hit = np.flatnonzero(common >= similarity * (sizes_[x] + sizes_[x + 1 :] - common) - 1e-9)
                 if cross:
                     hit = hit[own[rows[x]] != own[rows[x + 1 + hit]]]
                 lefts.append(np.full(len(hit), x))
                 rights.append(x + 1 + hit)
             if lefts:
                 root = star(np.concatenate(lefts), np.concatenate(rights), len(rows))
-                moved = np.flatnonzero(ids[rows[root]] != ids[rows])
+                moved = np.flatnonzero(root != np.arange(len(rows)))
                 a.append(ids[rows[root[moved]]])
                 b.append(ids[rows[moved]])
         cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
         return pa.table({"a": cat(a), "b": cat(b)})
 
-    links = dealt.groupBy("cell", "i", "j").applyInArrow(verify, "a long, b long")
-    return components(links).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "component_id")
+    return dealt.groupBy("cell", "i", "j").applyInArrow(verify, "a long, b long")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, tau: int, block: int) -> DataFrame:
+    """(doc_id, text_sha256, keep_id, keep_text) of the rows in a class of two or more, kept ones too."""
+    signs = _signatures(docs, id_col, text_col, similarity)
+    heads = signs.groupBy("same").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("same", "a")
+    doubles = written(signs.select("same", F.col("node").alias("b")).join(heads, "same").filter("a <> b").select("a", "b"), "near-doubles")
+    single = signs.join(doubles.select(F.col("b").alias("node")), "node", "left_anti")
+    groups = _candidates(single, similarity, tau)
+    sets = _member_sets(docs, groups.join(signs.select("node", "doc_id", "text_sha256"), "node"), id_col, text_col)
+    judged = _near_centre(sets, similarity)
+    links = judged.filter("near and node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(doubles)
+    links = links.unionByName(_others(sets, judged, similarity, block))
+    named = components(links).join(signs.select("node", "doc_id", "text_sha256"), "node")
+    least = named.groupBy("component").agg(F.min(F.struct("doc_id", "text_sha256")).alias("least"))
+    return named.join(least, "component").select("doc_id", "text_sha256", F.col("least.doc_id").alias("keep_id"), F.col("least.text_sha256").alias("keep_text"))
+
 
+def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, tau: int = TAU, block: int = BLOCK) -> DataFrame:
+    """(doc_id, component_id) of every document in a class of two or more; component_id is the smallest doc_id of the class.
 
-def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each class, the one with the smallest doc_id; all other rows stay as they are."""
-    gone = near_classes(docs, id_col=id_col, text_col=text_col, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    Two documents are linked when the Jaccard similarity of their sets of five-word shingles
+    (lower-cased A-Z; fewer words: the whole sequence) is ``similarity`` or more.
+
+    Defined cases: null and empty texts have no shingles and link with nothing, nor do rows with a
+    null doc_id; rows of one doc_id and different texts are judged each by its text, and the id is listed
+    with each class that one of them is in; rows alike in id and text are one document; an empty table
+    gives an empty result; other columns are ignored.
+    """
+    return _classes(docs, id_col, text_col, similarity, tau, block).select("doc_id", F.col("keep_id").alias("component_id")).distinct()
+
+
+def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, tau: int = TAU, block: int = BLOCK) -> DataFrame:
+    """``docs`` with one document of each class: the one with the smallest doc_id, of one id the least digest of its text. All other rows stay as they are.
+
+    Defined cases: as in near_classes(); a row goes only if its own text has a copy, whatever other rows
+    of its id hold; rows alike in id and text stay or go together.
+    """
+    classes = _classes(docs, id_col, text_col, similarity, tau, block)
+    gone = classes.filter("not (doc_id = keep_id and text_sha256 = keep_text)").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_text")).distinct()
+    text = F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)
+    return docs.join(gone, (docs[id_col] == gone["_gone"]) & (text == gone["_gone_text"]), "left_anti")

@@ -161,6 +161,30 @@ def test_near_dedup(spark):
     assert sharded(named, 2).count() == 3
 
 
+def test_no_text_is_lost_with_another_of_its_id(spark):
+    """Rows of one id and different texts are judged apart; repeated rows, null ids and clashing columns stay as they are."""
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(3, text), (5, text + " more"), (5, "a text unlike any other"), (6, None), (6, ""), (None, text), (7, "twice the same row here"), (7, "twice the same row here")]
+    left = near_dedup.drop_near_copies(docs(spark, rows).withColumn("node", F.lit(1)).withColumn("_gone", F.lit("x")).withColumn("component", F.lit(2)))
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted([r for r in rows if r != (5, text + " more")], key=repr)
+    # the same rows as a hot id: nothing multiplies
+    many = docs(spark, [(1, text), (2, text + " end")] + [(9, text + " tail")] * 300)
+    assert {r["doc_id"] for r in near_dedup.drop_near_copies(many).collect()} == {1}
+    nul = [("a\x00b", "c"), ("a", "b\x00c"), ("1", "1:x"), ("1:1", "x")]
+    named = spark.createDataFrame(nul, "doc_id string, text string")
+    assert drop_exact_copies(named).count() == 4
+
+
+def test_near_dedup_members_far_from_the_centre(spark):
+    """A chain: each text is near the next, the last ones far from the first; copies of the first are many."""
+    words = [f"w{i}" for i in range(400)]
+    chain = [" ".join(words[8 * i : 8 * i + 100]) for i in range(12)]
+    rows = list(enumerate(chain)) + [(100 + i, chain[0] + f" x{i}") for i in range(40)]
+    for block in (4, 512):
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_classes(docs(spark, rows), block=block).collect()}
+        assert got == {i: 0 for i, _ in rows}
+
+
 def test_near_dedup_finds_cut_and_extended_copies(spark):
     """Copies that lose or gain all their words at one end, just above the similarity."""
     rng = random.Random(12)
