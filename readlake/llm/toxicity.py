@@ -350,14 +350,12 @@ def scored(vectors: DataFrame, model: Model) -> DataFrame:
 def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that the model predicts to be toxic; a map, no shuffle, columns as they are. Null and empty texts have no neighbour and get the score of that."""
 
-    @F.pandas_udf("boolean")
-    def clean(texts):
-        import pandas as pd
-
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
         kept: list[bool] = []
-        for at in range(0, len(texts), 200):
-            some = [t or "" for t in texts.iloc[at : at + 200]]
+        for at in range(0, len(texts), 200):  # few texts at once are Python objects
+            some = [t or "" for t in texts.slice(at, 200).to_pylist()]
             kept.extend((model.score(*model.vocabulary.vectors(some))[0] < 0.5).tolist())
-        return pd.Series(kept, dtype=bool)
+        return pa.array(kept, pa.bool_())
 
     return docs.filter(clean(F.col(text_col).cast("string")))
