@@ -175,12 +175,13 @@ class Packer:
 
 
 def packed(
-    docs: DataFrame, encode: Callable[[], Callable[[str], np.ndarray]], *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, tiers: tuple[int, ...] = TIERS, step_tokens: int = 1 << 16
+    docs: DataFrame, encode: Callable[[], Callable[[str], np.ndarray]], *, release: Callable[[], None] | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, tiers: tuple[int, ...] = TIERS, step_tokens: int = 1 << 16
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset, tier, step_group.
 
-    ``encode()`` is called once in a worker and returns text -> ids. A document's ids are those of its
-    text and then ``end_id``; each lies in exactly one piece.
+    ``encode()`` is called once in a task and returns text -> ids; ``release()`` is called at its end, so
+    that workers that Spark uses again do not hold the tables. A document's ids are those of its text and
+    then ``end_id``; each lies in exactly one piece.
 
     Defined cases: null and empty texts are the single id ``end_id``; null and repeated doc_ids are
     separate documents; documents of any length are cut into windows; an empty table gives an empty
@@ -205,6 +206,9 @@ def packed(
                 if len(rows) >= 2000:
                     yield table(rows)
                     rows = []
+        if release:
+            del to_ids
+            release()
         rows.extend(packer.pack())
         rows.extend(packer.pack(last=True))
         if rows:

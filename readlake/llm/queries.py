@@ -24,7 +24,7 @@ from .vector_codes import ENTRIES, PARTS, ROUNDS, SCALE, vector_codes
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_digests(packed(documents(spark, sf_dir), public_encoder))
+    return piece_digests(packed(documents(spark, sf_dir), public_encoder, release=fast_encoder.cache_clear))
 
 
 def piece_digests(pieces: DataFrame) -> DataFrame:
