@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one is made and set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="readlake-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in spark.checkpoint.dir; only where that is unset (tests on one machine) in a temporary folder."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="readlake-"))
+    """checkpoint() in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement
@@ -16,11 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bases(text: str, alphabet: str = "ACGT") -> Column:
+    """The letters of a text that are in the alphabet, in upper case."""
+    return F.regexp_replace(F.translate(text, alphabet.lower(), alphabet), f"[^{alphabet}]", "")
+
+
 def reads_se(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads_of(table(spark, sf_dir, "documents"))
+
+
+def reads_of(documents: DataFrame) -> DataFrame:
     """Documents as reads: file by source, block by hundreds of ids."""
-    seq = F.regexp_replace(F.translate("text", "acgtn", "ACGTN"), "[^ACGTN]", "")
     letters = F.translate(F.regexp_replace("text", "[^a-z]", ""), LETTERS, SIGNS)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", seq.alias("seq"), letters.alias("q"))
+    docs = documents.select("doc_id", "source", bases("text", "ACGTN").alias("seq"), letters.alias("q"))
     return docs.select(
         F.regexp_extract("source", "[0-9]+", 0).cast("int").alias("file_idx"), F.floor(F.col("doc_id") / BLOCK_DOCS).cast("int").alias("block_idx"), F.col("doc_id").alias("ordinal"),
         F.concat("source", F.lit("."), F.col("doc_id").cast("string"), F.lit(" length="), F.length("seq").cast("string")).alias("name"), "seq",
