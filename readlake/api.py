@@ -120,6 +120,16 @@ def extract(spark: SparkSession, archive: str, spec: str, *, seed: int = 0, pair
     return X.extract(reads, s, seed=seed, pair_mode=pair_mode)
 
 
+def extract_files(spark: SparkSession, paths: str | list[str], spec: str, *, seed: int = 0, pair_mode: str = "each") -> DataFrame:
+    """extract() of read files as they are: files that a ``G`` leaves out are not opened, and ``L`` opens none."""
+    s = X.parse_spec(spec)
+    if s.kind == "list":
+        return spark.createDataFrame(list(enumerate(Q.files_of(paths))), "file_idx int, path string")
+    if s.kind == "get":
+        return Q.read_fastq(spark, paths, files=list(s.value))
+    return X.extract(Q.read_fastq(spark, paths), s, seed=seed, pair_mode=pair_mode)
+
+
 def align_reads(reads: DataFrame, ref: DataFrame | RefIndex, *, k: int = K) -> DataFrame:
     """Place of each read of one or many files, single or paired: file_idx, ordinal (and mate, pair_id) and what align() says. A stored index is used as it is."""
     keys = [c for c in ("file_idx", "ordinal", "mate", "pair_id") if c in reads.columns]

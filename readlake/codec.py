@@ -308,7 +308,7 @@ def decode_block(streams: dict[str, bytes]) -> tuple[list[str], list[str], list[
         text, marks = decode_bases(open_(streams["seq"])), decode_quals(data)
     quals = marks.tobytes().decode("latin-1")
     ends = np.cumsum(lengths).tolist()
-    starts = [0, *ends[:-1]]
+    starts = [0, *ends][:-1]
     return names, [text[a:b] for a, b in zip(starts, ends, strict=True)], [quals[a:b] for a, b in zip(starts, ends, strict=True)]
 
 

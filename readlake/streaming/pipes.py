@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.fastq import lines, register
+from ..sources.fastq import RANGE_BYTES, lines, register
 
 
-def stream_fastq(spark: SparkSession, path: str, *, records_per_batch: int = 10_000) -> DataFrame:
-    """A stream of reads from files that may grow; a micro-batch is a block, its size the backpressure."""
+def stream_fastq(spark: SparkSession, path: str, *, bytes_per_batch: int = 1 << 30, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """A stream of reads from files that may grow; a micro-batch is read as byte ranges by executors, its bytes are the backpressure."""
     register(spark)
-    return spark.readStream.format("fastq").option("paths", path).option("recordsPerBatch", str(records_per_batch)).load()
+    return spark.readStream.format("fastq").option("paths", path).option("bytesPerBatch", str(bytes_per_batch)).option("rangeBytes", str(range_bytes)).load()
 
 
 def pipe_out(reads: DataFrame, emit: Callable[[str], None], checkpoint: str, *, mate: int | None = None) -> StreamingQuery:

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from readlake import api, codec, entropy
 from readlake.sources import archive as A
@@ -96,11 +97,11 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.fq").write_text(text)
     seen: list[str] = []
-    q = pipe_out(stream_fastq(spark, str(tmp_path / "in"), records_per_batch=10), seen.append, str(tmp_path / "ck"))
+    q = pipe_out(stream_fastq(spark, str(tmp_path / "in"), bytes_per_batch=700, range_bytes=300), seen.append, str(tmp_path / "ck"))
     q.processAllAvailable()
     q.stop()
     assert sorted(x.split("\n")[0] for x in seen) == sorted(f"@{a}" for a, _, _ in rows)
-    q = name_deltas(stream_fastq(spark, str(tmp_path / "in"), records_per_batch=10)).writeStream.format("memory").queryName("deltas").outputMode("append").option("checkpointLocation", str(tmp_path / "ck2")).start()
+    q = name_deltas(stream_fastq(spark, str(tmp_path / "in"), bytes_per_batch=700, range_bytes=300)).writeStream.format("memory").queryName("deltas").outputMode("append").option("checkpointLocation", str(tmp_path / "ck2")).start()
     q.processAllAvailable()
     q.stop()
     assert [r["delta"] for r in spark.table("deltas").orderBy("ordinal").collect()] == [0] + [1] * 24
@@ -184,7 +185,133 @@ def test_stream_of_gzip_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.fq.gz").write_bytes(gzip.compress(text.encode()))
     (tmp_path / "in/b.fq").write_text("@last\nACG\n+\nIII\n")
-    q = stream_fastq(spark, str(tmp_path / "in"), records_per_batch=10).writeStream.format("memory").queryName("zipped").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q = stream_fastq(spark, str(tmp_path / "in"), bytes_per_batch=700, range_bytes=300).writeStream.format("memory").queryName("zipped").option("checkpointLocation", str(tmp_path / "ck")).start()
     q.processAllAvailable()
     q.stop()
     assert got(spark.table("zipped")) == [*rows, ("last", "ACG", "III")]
+
+
+def slow_records(text):
+    """(ordinal, name, seq, comment, qual) line by line."""
+    out, at, lines = [], 0, text.split("\n")
+    for i in range(0, len(lines) // 4 * 4, 4):
+        a, b, c, d = lines[i : i + 4]
+        out.append((at, a[1:], b, c[1:], d))
+        at += sum(map(len, (a, b, c, d))) + 4
+    return out
+
+
+def rows_of(df, *cols):
+    return sorted(tuple(r) for r in df.select(*(cols or ("file_idx", "ordinal", "name", "seq", "comment", "qual"))).collect())
+
+
+def test_stream_over_growing_files(spark, tmp_path):
+    """Ten files that grow in the middle of records, over restarts: the rows of the batch source, each once; the driver opens no record."""
+    rng = random.Random(21)
+    texts = [fastq(30, seed)[1] for seed in range(10)]
+    (tmp_path / "in").mkdir()
+    seen, opened = [], []
+    real = Q._batches
+
+    def run():
+        q = stream_fastq(spark, str(tmp_path / "in"), bytes_per_batch=4000, range_bytes=700).writeStream.foreachBatch(lambda df, n: seen.append((n, rows_of(df)))).option("checkpointLocation", str(tmp_path / "ck")).start()
+        q.processAllAvailable()
+        q.stop()
+
+    Q._batches = lambda part: opened.append(part) or real(part)  # in this process, the driver's
+    try:
+        have = [0] * 10
+        for step in range(4):
+            for i, text in enumerate(texts):
+                if step == 0 and i % 2:  # appear later, some names between those already seen
+                    continue
+                have[i] = len(text) if step == 3 else rng.randint(have[i], len(text))
+                (tmp_path / f"in/{i}.fq").write_text(text[: have[i]])
+            run()
+    finally:
+        Q._batches = real
+    batches = [r for _, r in seen]
+    number = {name: i for r in batches for i, _, name, *_ in r}
+    got = sorted(x[1:] for r in batches for x in r)
+    assert got == sorted(x for t in texts for x in slow_records(t)) and not opened
+    assert len({n for n, _ in seen}) == len(seen) > 6 and set(number.values()) == set(range(10))
+    first = [texts[i] for i in (0, 2, 4, 6, 8)]
+    for i, text in enumerate(first):  # files keep the numbers they were first seen by
+        assert {x[0] for r in batches for x in r if x[1:] in set(slow_records(text))} >= {i}
+
+
+def test_filters_and_columns_in_the_source(spark, tmp_path):
+    """Files that are not asked for are not opened; names are tested in the source; a query leaves nothing behind for the next."""
+    for i in range(4):
+        (tmp_path / f"{i}.fq").write_text(fastq(10, i)[1] if i in (1, 3) else "this is no read file at all\n")
+    with pytest.raises(Exception, match="record"):
+        Q.read_fastq(spark, str(tmp_path)).count()
+    good = Q.read_fastq(spark, str(tmp_path), files=[3, 1])
+    rows = rows_of(good)
+    assert good.rdd.getNumPartitions() == 2 and [r[0] for r in rows] == [1] * 10 + [3] * 10
+    assert good.filter("file_idx = 3").count() == 10 and good.count() == 20
+    assert rows_of(api.extract_files(spark, str(tmp_path), "G:3,1")) == rows
+    for test, keep in ((("equals", "X.3 003 length=30"), lambda n: n == "X.3 003 length=30"), (("starts", "X.1"), lambda n: n.startswith("X.1")), (("ends", "=1"), lambda n: n.endswith("=1")), (("contains", "00"), lambda n: "00" in n)):
+        assert rows_of(Q.read_fastq(spark, str(tmp_path), files=[1, 3], name=test)) == [r for r in rows if keep(r[2])]
+    some = Q.read_fastq(spark, str(tmp_path / "1.fq"), columns=["seq", "file_idx"])
+    assert some.columns == ["seq", "file_idx"] and rows_of(some, "seq") == sorted((r[3],) for r in rows if r[0] == 1)
+
+
+@pytest.mark.parametrize("size", [1, 37, 500, 1 << 20])
+def test_blocks_of_the_parser(tmp_path, size, monkeypatch):
+    """Whatever is read at once: carriage returns, bytes beyond ASCII, no last line end, blank lines at the end, errors by place."""
+    import io
+
+    monkeypatch.setattr(Q, "BLOCK_BYTES", size)
+    text = fastq(20)[1] + "@\xe9\nAC\n+\xe9\n@@\n"
+    raw = text.encode("latin-1")
+    take = lambda data: [tuple(r.values()) for b, _ in Q.parsed(io.BytesIO(data), 0, "x") for r in b.to_pylist()]
+    want = slow_records(text)
+    assert take(raw) == take(raw[:-1]) == take(raw + b"\n\n \n") == want
+    assert [r[1:] for r in take(raw.replace(b"\n", b"\r\n"))] == [r[1:] for r in want]
+    assert take(b"") == [] and take(b"\n") == []
+    for data, words in ((raw + b"@a\nAC\n+\nI\n", "1 qualities at byte"), (raw + b"@a\nAC\n", "no record at byte"), (raw + b"\n" + raw, "empty line at byte"), (raw + b"x\nAC\n+\nII\n", "no record at byte")):
+        with pytest.raises(Q.FormatError, match=f"{words} {len(raw)}" if "qual" not in words else words):
+            take(data)
+
+
+def test_gzip_of_many_members(spark, tmp_path):
+    """64 members that cut records anywhere: 64 tasks, the rows and ordinals of one."""
+    text = "".join(f"@r{i} @x\n{'ACGT' * (i % 60)}\n+\n{'@I+F' * (i % 60)}\n" for i in range(3000))
+    raw = text.encode()
+    rng = random.Random(9)
+    cuts = sorted(rng.sample(range(1, len(raw)), 63))
+    members = [gzip.compress(raw[a:b], 1) for a, b in zip([0, *cuts], [*cuts, len(raw)])]
+    (tmp_path / "m.fq.gz").write_bytes(b"".join(members))
+    whole = Q.read_fastq(spark, str(tmp_path / "m.fq.gz"))
+    assert whole.rdd.getNumPartitions() == 1 and [r[1:] for r in rows_of(whole)] == slow_records(text)
+    least = min(map(len, members))
+    split = Q.read_fastq(spark, str(tmp_path / "m.fq.gz"), range_bytes=max(1, least // 2), split_gzip=True)
+    assert split.rdd.getNumPartitions() == 64 and rows_of(split) == rows_of(whole)
+    some = Q.read_fastq(spark, str(tmp_path / "m.fq.gz"), range_bytes=5 * least, split_gzip=True)
+    assert 1 < some.rdd.getNumPartitions() < 64 and rows_of(some) == rows_of(whole)
+    assert Q.gzip_members(spark, []) == {}
+
+
+def test_mates_are_written_together_or_not_at_all(spark, tmp_path):
+    rows = [(i, m, f"p{i}/{m}", "ACGT"[: 1 + i % 4], "IIII"[: 1 + i % 4]) for i in range(200) for m in (1, 2)]
+    frame = lambda r: spark.createDataFrame(r, "pair_id long, mate int, name string, seq string, qual string").repartition(4)
+    one, two = tmp_path / "one", tmp_path / "two"
+    files = lambda: sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file() and "part" in p.name)
+    with pytest.raises(Exception, match="200 reads of the first mate and 199"):
+        Q.write_mates(frame(rows[:-1]), str(one), str(two))
+    assert files() == []
+    broken = frame(rows).withColumn("seq", F.when(F.col("pair_id") == 150, F.raise_error(F.lit("task fails")).cast("string")).otherwise(F.col("seq")))
+    with pytest.raises(Exception, match="task fails"):
+        Q.write_mates(broken, str(one), str(two), mode="overwrite")
+    assert files() == []
+    Q.write_mates(frame(rows), str(one), str(two), mode="overwrite")
+    for m, folder in ((1, one), (2, two)):
+        text = "".join(p.read_text() for p in sorted(folder.glob("part*")))
+        assert text == "".join(f"@{n}\n{s}\n+\n{q}\n" for _, mate, n, s, q in rows if mate == m)
+    with pytest.raises(FileExistsError):
+        Q.write_mates(frame(rows), str(one), str(two))
+    before = files()
+    with pytest.raises(Exception, match="first mate"):
+        Q.write_mates(frame(rows[1:]), str(one), str(two), mode="overwrite")
+    assert files() == before and not list(tmp_path.rglob("_temporary"))
