@@ -126,3 +126,47 @@ def _quality(qual: pa.Array) -> pa.Array:
 def quality_stats(qual: Column) -> Column:
     """(total, low, high) of the quality bytes, in one pass; 0 and nulls for the empty string."""
     return _quality(F.coalesce(qual, F.lit("")))
+
+
+#: Sign of a place whose base is not known yet.
+HOLE = "\x01"
+
+
+@F.arrow_udf(T.StringType())
+def over_holes(size: pa.Array, found: pa.Array) -> pa.Array:
+    """``size`` holes with the bases of mismatches (pos, code, base) in their places."""
+    out = []
+    for n, marks in zip(size.to_pylist(), found.to_pylist(), strict=True):
+        text = [HOLE] * (n or 0)
+        for m in marks or ():
+            text[m["pos"]] = m["base"]
+        out.append("".join(text))
+    return pa.array(out, pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def fill_holes(text: pa.Array, above: pa.Array, begins: pa.Array) -> pa.Array:
+    """Holes of ``text`` filled from ``above``, on which it begins at ``begins``; holes of that stay holes."""
+    out = []
+    for own, other, start in zip(text.to_pylist(), above.to_pylist(), begins.to_pylist(), strict=True):
+        a, b = (np.frombuffer(x.encode("latin-1", "replace"), np.uint8) for x in (own, other))
+        a, holes = a.copy(), np.flatnonzero(a == ord(HOLE))
+        a[holes] = b[holes + start]
+        out.append(a.tobytes().decode("latin-1"))
+    return pa.array(out, pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def patched(text: pa.Array, found: pa.Array) -> pa.Array:
+    """``text`` with the bases of mismatches (pos, code, base) in their places; one without a base drops the place."""
+    out = []
+    for own, marks in zip(text.to_pylist(), found.to_pylist(), strict=True):
+        if own is None or marks is None:
+            out.append(None)
+            continue
+        signs = list(own)
+        for m in marks:
+            signs.extend([None] * (m["pos"] + 1 - len(signs)))
+            signs[m["pos"]] = m["base"]
+        out.append("".join(x for x in signs if x is not None))
+    return pa.array(out, pa.string())

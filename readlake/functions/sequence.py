@@ -157,13 +157,10 @@ def mismatches(ref: Column, read: Column) -> Column:
 
 
 def apply_mismatches(ref: Column, found: Column) -> Column:
-    """The read that mismatches() compared with ``ref``."""
-    def one(base: Column, i: Column) -> Column:
-        hit = F.element_at(F.filter(found, lambda m: m["pos"] == i), 1)
-        others = F.replace(F.lit("ACGT"), base, F.lit(""))
-        return F.when(F.exists(found, lambda m: m["pos"] == i), F.when(hit["code"] < 3, F.substring(others, hit["code"] + 1, F.lit(1))).otherwise(hit["base"])).otherwise(base)
+    """The read that mismatches() compared with ``ref``, in one pass over it."""
+    from .packed import patched
 
-    return F.array_join(F.transform(_chars(ref), one), "")
+    return patched(ref, found)
 
 
 def bit_length(x: Column) -> Column:

@@ -239,3 +239,47 @@ def test_digest_query_equals_xxhash(spark):
 def test_observed_counts(spark):
     r, seen = R.observed(reads(spark))
     assert r.count() == 20 and seen.get == {"reads": 20, "bases": r.selectExpr("sum(length(seq))").first()[0], "blocks": 4}
+
+
+def walked(edges, root):
+    """node -> (parent, depth, strand, off, as_is) from ``root``, level by level."""
+    arcs = {}
+    for a, b, off, _, s, e in edges:
+        arcs.setdefault(a, []).append((b, off, s, s ^ e))
+        arcs.setdefault(b, []).append((a, -off, e, s ^ e))
+    out, level = {root: (None, 0, 0, None, None)}, [root]
+    while level:
+        following = []
+        for u in level:
+            for v, off, own, flip in arcs[u]:
+                if v not in out:
+                    out[v] = (u, out[u][1] + 1, out[u][2] ^ flip, off, own == out[u][2])
+                    following.append(v)
+        level = following
+    return out
+
+
+@pytest.mark.parametrize("shape", ["chain", "hub", "random"])
+def test_layout_in_few_rounds(spark, monkeypatch, shape):
+    """A chain of 4,096 nodes, a hub, a random tree: the walk level by level, in at most 30 rounds."""
+    rng = random.Random(14)
+    n = {"chain": 4096, "hub": 600, "random": 300}[shape]
+    names = rng.sample(range(10 * n), n)
+    above = {"chain": lambda i: i - 1, "hub": lambda i: 0, "random": lambda i: rng.randrange(i)}[shape]
+    pairs = [(names[i], names[above(i)]) for i in range(1, n)]
+    edges = [(*(p if rng.random() < 0.5 else p[::-1]), rng.randint(-9, 9), 0, rng.randint(0, 1), rng.randint(0, 1)) for p in pairs]
+    forest = spark.createDataFrame(edges, "src long, dst long, off int, mis int, s_strand int, e_strand int")
+    comp = spark.createDataFrame([(x, min(names)) for x in names], "node long, component long")
+    cuts, real = [], G._cut
+    monkeypatch.setattr(G, "_cut", lambda df: cuts.append(1) or real(df))
+    got = {r["node"]: (r["parent"], r["depth"], r["strand"], r["off"], r["as_is"]) for r in G.layout(forest, comp).collect()}
+    assert got == walked(edges, min(names))
+    # a table a round, and four before and after
+    assert len(cuts) <= 14 + 5
+    if shape == "random":
+        cuts.clear()
+        tree = spark.createDataFrame([(k, min(names), *v) for k, v in got.items()], "node long, component long, parent long, depth int, strand int, off int, as_is boolean")
+        seqs = spark.createDataFrame([(x, "".join(rng.choice("ACGTN.") for _ in range(rng.randint(0, 30)))) for x in names], "read_id long, seq string")
+        back = G.rebuild(G.parent_differences(tree, seqs))
+        assert {tuple(r) for r in back.collect()} == {tuple(r) for r in seqs.collect()}
+        assert len(cuts) <= 6
