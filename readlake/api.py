@@ -34,15 +34,15 @@ def load_reads(spark: SparkSession, paths: str | list[str], *, layout: str = "SE
 
 def build_ref_index(spark: SparkSession, fasta: str, out: str, *, k: int = K, mode: str = "error") -> None:
     """Seeds, counts and sequences of a reference as tables. An index that is there already is used again if its digest fits."""
-    ref = Q.read_fasta(spark, fasta)
-    digest = ref.agg(F.sum(F.xxhash64("contig", "seq").cast("decimal(38,0)")).cast("string")).first()[0] or ""
+    ref = Q.read_fasta_chunks(spark, fasta)
+    digest = ref.agg(F.sum(F.xxhash64("contig", "chunk", "piece").cast("decimal(38,0)")).cast("string")).first()[0] or ""
     try:
         if spark.read.parquet(f"{out}/meta").first()["digest"] == f"{k}:{digest}":
             return
     except Exception:  # noqa: BLE001 no index yet
         pass
     ref.write.mode(mode).parquet(f"{out}/ref")
-    found = seeds(ref, k)
+    found = seeds(spark.read.parquet(f"{out}/ref"), k)
     found.repartitionByRange("kmer").sortWithinPartitions("kmer", "contig", "pos").write.mode(mode).parquet(f"{out}/seeds")
     csr(seed_counts(spark.read.parquet(f"{out}/seeds")), k).write.mode(mode).parquet(f"{out}/counts")
     spark.createDataFrame([(f"{k}:{digest}",)], "digest string").coalesce(1).write.mode(mode).parquet(f"{out}/meta")

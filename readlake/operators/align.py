@@ -8,23 +8,30 @@ from pyspark.sql import functions as F
 from ..checkpoints import cut
 from ..functions.packed import mismatch_count
 from ..functions.sequence import degenerate_letters, mismatches, reverse_complement
-from .index import K, query_seeds, rarest_seeds, seed_counts, seeds
+from .index import CHUNK, K, query_seeds, rarest_seeds, seed_counts, seeds
 
 #: Caps of the seed search (fixed values): occurrences of a seed, of a seed of a short part, candidates a read.
 SEED_CAP, PART_CAP, CANDIDATES = 100_000, 620, 3000
 #: Mismatches allowed in a hundred bases.
 LIMIT_PERCENT = 8
-#: Bases of a reference chunk.
-CHUNK = 4096
 
 
 def chunks(ref: DataFrame, size: int = CHUNK) -> DataFrame:
-    """contig, chunk, piece: a candidate meets the pieces that it lies on, and not a whole contig."""
+    """contig, chunk, piece: a candidate meets the pieces that it lies on, and not a whole contig. A reference that comes in chunks stays as it is."""
+    if "piece" in ref.columns:
+        return ref.select("contig", "chunk", "piece")
     n = F.length("seq")
     at = F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / size), F.lit(0)).cast("int"))
     return ref.select("contig", F.posexplode(F.transform(at, lambda i: F.substring(F.col("seq"), i * size + 1, F.lit(size)))).alias("chunk", "piece"))
 
 
+def lengths(ref: DataFrame) -> DataFrame:
+    """contig, ref_len."""
+    if "piece" in ref.columns:
+        return ref.groupBy("contig").agg(F.max(F.col("chunk").cast("long") * CHUNK + F.length("piece")).alias("ref_len"))
+    return ref.select("contig", F.length("seq").alias("ref_len"))
+
+
 def _on_chunks(places: DataFrame, ref: DataFrame, size: int = CHUNK) -> DataFrame:
     """``places`` (contig, pos, len) once for each piece that they lie on, with chunk, at (first base of the place on it) and window, the reference there."""
     spread = places.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("pos") / size).cast("int"), F.floor((F.col("pos") + F.greatest(F.col("len"), F.lit(1)) - 1) / size).cast("int"))))
@@ -57,8 +64,7 @@ def candidates(reads: DataFrame, ref: DataFrame, k: int = K, index: tuple[DataFr
     whole = rarest_seeds(queries, counts, SEED_CAP, "read_id", "rev", "phase").withColumn("stage", F.col("rev") * 2 + F.col("phase"))
     parts = rarest_seeds(queries.withColumn("part", _part(F.col("len"), F.col("off"))), counts, PART_CAP, "read_id", "rev", "part").withColumn("stage", F.col("rev") + 4)
     chosen = whole.select("read_id", "rev", "len", "stage", "off", "kmer").unionByName(parts.select("read_id", "rev", "len", "stage", "off", "kmer"))
-    sizes = ref.select("contig", F.length("seq").alias("ref_len"))
-    placed = chosen.join(seeds_, "kmer").withColumn("pos", F.col("pos") - F.col("off")).filter("pos >= 0").join(sizes, "contig").filter("pos + len <= ref_len")
+    placed = chosen.join(seeds_, "kmer").withColumn("pos", F.col("pos") - F.col("off")).filter("pos >= 0").join(lengths(ref), "contig").filter("pos + len <= ref_len")
     return placed.select("read_id", "stage", "rev", "len", "contig", "pos").distinct()
 
 

@@ -9,6 +9,8 @@ from ..functions.packed import packed_kmers
 from ..functions.sequence import unpack_kmer
 
 K = 14
+#: Bases of a reference chunk.
+CHUNK = 4096
 #: A k-mer that occurs this often in the reference is no seed.
 TOO_MANY = 65_536
 
@@ -20,7 +22,13 @@ def kmer_counts(seqs: DataFrame, k: int = K, canonical: bool = False) -> DataFra
 
 
 def seeds(ref: DataFrame, k: int = K) -> DataFrame:
-    """contig, pos (0-based, even), kmer, packed; k-mers with letters other than ACGT are left out."""
+    """contig, pos (0-based, even), kmer, packed; k-mers with letters other than ACGT are left out. ``ref``: contig, seq, or chunks of contigs that carry along the bases that follow."""
+    if "piece" in ref.columns:
+        begin = (F.col("chunk").cast("long") * CHUNK).alias("begin")
+        # the k-mers that begin in a chunk: those across its end need k - 1 bases more
+        text = F.concat("piece", F.substring("ahead", 1, k - 1)).alias("seq")
+        found = packed_kmers(ref.select("contig", begin, text), k)
+        return found.select("contig", (F.col("begin") + F.col("pos")).cast("int").alias("pos"), "kmer").filter("pos % 2 = 0")
     return packed_kmers(ref.select("contig", "seq"), k, 2)
 
 

@@ -507,6 +507,154 @@ def _record(reads: DataFrame, commented: bool = False) -> Column:
     return F.concat_ws("\n", F.concat(F.lit("@"), F.col("name")), F.col("seq"), third, F.col("qual"))
 
 
+#: Bases of a reference chunk, and bases that follow it that it carries along, for k-mers across its end; bytes that a header line has at most.
+CHUNK, AHEAD, HEADER = 4096, 31, 64 << 10
+
+
+def _fasta_parts(path: str, a: int, b: int | None) -> Iterator[tuple[bool, bytes]]:
+    """(is a header, name or bases) of bytes ``a`` to ``b`` (None: the end) of a FASTA file; a header belongs to the range where its line begins, bases to the one where they lie."""
+    store, name = located(path)
+    with store.open_input_file(name) as f:
+        back = max(0, a - HEADER)
+        f.seek(back)
+        before = f.read(a - back)
+        line = before.rfind(b"\n") + 1
+        # in the middle of a header line: its rest is another range's
+        inside = a > 0 and before[line : line + 1] == b">"
+        at_start, at, waiting = a == 0 or before.endswith(b"\n"), a, b""
+        while b is None or at < b or waiting:
+            data = f.read(BLOCK_BYTES if b is None or waiting else min(BLOCK_BYTES, b - at))
+            if not data:
+                break
+            at += len(data)
+            data, waiting, done = waiting + data, b"", 0
+            # a header that runs beyond the range is read to its end, and nothing after it
+            while done < len(data) and (b is None or at - len(data) + done < b):
+                end = data.find(b"\n", done)
+                if inside:
+                    done, inside, at_start = (len(data), True, False) if end < 0 else (end + 1, False, True)
+                elif at_start and data[done : done + 1] == b">":
+                    if end < 0:
+                        waiting = data[done:]
+                        break
+                    yield True, data[done + 1 : end]
+                    done = end + 1
+                else:
+                    # bases up to the next line that is a header; line ends and blanks are no bases
+                    head = data.find(b"\n>", done)
+                    stop = len(data) if head < 0 else head + 1
+                    if bases := data[done:stop].translate(None, b"\r\n\t "):
+                        yield False, bases
+                    at_start, done = data[stop - 1 : stop] == b"\n", stop
+        if waiting:
+            yield True, waiting[1:]
+
+
+def read_fasta_chunks(spark: SparkSession, path: str, *, range_bytes: int = RANGE_BYTES, chunk: int = CHUNK, ahead: int = AHEAD) -> DataFrame:
+    """contig, contig_start (over all contigs of the file), chunk (its number), piece (``chunk`` bases, fewer at the end of a contig), ahead (bases of the contig that follow, at most ``ahead``).
+
+    Byte ranges are read twice. The first pass leaves one row a range: bases before its first header, its
+    last header, bases after that. A scan over these, which are as many as the plan has tasks anyway,
+    carries the last header and the bases since then into every range. The second pass writes the
+    chunks that begin in a range, reading on to their ends. No contig is ever in one task.
+    """
+    files = _fasta_files(path)
+    cells = [(i, p, a, min(size, a + range_bytes)) for i, p in enumerate(files) for size in [size_of(p)] for a in range(0, size, range_bytes)]
+    schema = "contig string, contig_start long, chunk int, piece string, ahead string"
+    if not cells:
+        return spark.createDataFrame([], schema)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, p, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                first, last, total, since = None, None, 0, 0
+                for header, data in _fasta_parts(p, a, b):
+                    if header:
+                        first, last, since = total if last is None else first, _contig(data), 0
+                    else:
+                        total, since = total + len(data), since + len(data)
+                rows.append((i, a, last, total, since))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["file", "a", "last", "total", "since"])
+
+    ranges = spark.createDataFrame(cells, "file int, path string, a long, b long").repartition(min(len(cells), 10_000))
+    carried, now = [], None
+    places = {(i, a): (p, b) for i, p, a, b in cells}
+    for r in sorted(ranges.mapInArrow(summed, "file int, a long, last string, total long, since long").collect()):
+        if now is None or now[0] != r["file"]:
+            now = (r["file"], None, 0, 0)  # file, contig, bases of it so far, bases of the file so far
+        carried.append((*places[r["file"], r["a"]], r["a"], now[1], now[2], now[3]))
+        now = (r["file"], now[1] if r["last"] is None else r["last"], r["total"] + now[2] if r["last"] is None else r["since"], now[3] + r["total"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, b, a, contig, have, bases in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from _fasta_chunks(p, a, b, contig, have, bases, chunk, ahead)
+
+    again = spark.createDataFrame(carried, "path string, b long, a long, contig string, have long, bases long").repartition(min(len(carried), 10_000))
+    return again.mapInArrow(cut, schema)
+
+
+def _contig(header: bytes) -> str:
+    return (header.decode("latin-1").split() or [""])[0]
+
+
+def _fasta_files(path: str) -> list[str]:
+    store, name = located(path)
+    if store.get_file_info(name).type != fs.FileType.Directory:
+        return [path]
+    return sorted(path.rstrip("/") + "/" + x.base_name for x in store.get_file_info(fs.FileSelector(name)) if x.type == fs.FileType.File and x.base_name.endswith(FASTA_SUFFIXES))
+
+
+def _fasta_chunks(path: str, a: int, b: int, contig: str | None, have: int, bases: int, chunk: int, ahead: int) -> Iterator[pa.RecordBatch]:
+    """Chunks that begin in the range; ``contig``, ``have``, ``bases``: what the scan has carried into it."""
+    rows: list[tuple] = []
+    # ``text`` holds bases of the contig from ``at`` on, ``at`` being where the next chunk begins
+    at, text, origin = -(-have // chunk) * chunk, b"", bases - have
+    skip = at - have
+
+    def flushed(last: bool) -> None:
+        nonlocal text, at
+        done = 0
+        while len(text) - done >= chunk + ahead or last and len(text) > done:
+            piece = text[done : done + chunk]
+            rows.append((contig, origin, at // chunk, piece.decode("latin-1"), text[done + chunk : done + chunk + ahead].decode("latin-1")))
+            done, at = done + len(piece), at + len(piece)
+        text = text[done:]
+
+    def table() -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["contig", "contig_start", "chunk", "piece", "ahead"])
+
+    for header, data in _fasta_parts(path, a, b):
+        if header:
+            flushed(True)
+            contig, origin, at, text, skip = _contig(data), bases, 0, b"", 0
+        else:
+            bases += len(data)
+            if contig is not None:
+                gone = min(skip, len(data))
+                skip, text = skip - gone, text + data[gone:]
+                flushed(False)
+        if len(rows) >= 1000:
+            yield table()
+            rows = []
+    # chunks that began here end beyond the range: their bases, and those that they carry along
+    begun = -(-len(text) // chunk) * chunk
+    if text:
+        for header, data in _fasta_parts(path, b, None):
+            if header or len(text) >= begun + ahead:
+                break
+            text += data
+        more, text = text[begun : begun + ahead], text[:begun]
+        while text:
+            piece, rest = text[:chunk], text[chunk:] + more
+            rows.append((contig, origin, at // chunk, piece.decode("latin-1"), rest[:ahead].decode("latin-1")))
+            text, at = text[chunk:], at + len(piece)
+    if rows:
+        yield table()
+
+
 def write_fastq(reads: DataFrame, path: str, *, by_file: bool = False, commented: bool = False, mode: str = "error") -> None:
     """Text files of four-line records in order; ``by_file`` gives one folder per file_idx."""
     order = [c for c in ("file_idx", "block_idx", "pair_id", "ordinal", "mate") if c in reads.columns]

@@ -138,6 +138,37 @@ def test_overlaps(spark):
     assert [x["read_id"] for x in O.isolated(r, edges).select("read_id").collect()] == [5]
 
 
+def brute_top2(spark, rows):
+    """The two best by all pairs that share a minimizer."""
+    df = spark.createDataFrame(rows, "read_id long, seq string")
+    scored = O.compared(df, percent=12).cache()
+    strict = O.top_neighbours(O.edges(scored, 8))
+    full = strict.groupBy("src").count().filter("count >= 2").select("src")
+    return {tuple(r) for r in strict.join(full, "src", "left_semi").unionByName(O.top_neighbours(O.edges(scored, 12).join(full, "src", "left_anti"))).collect()}
+
+
+def test_two_nearest_of_crowded_keys(spark):
+    """Equal, nearly equal and shifted reads, repeats inside a read, in one cell and in blocks: as by all pairs."""
+    rng = random.Random(31)
+    genome = "".join(rng.choice("ACGT") for _ in range(260))
+    spoil = lambda s, n: "".join(rng.choice("ACGT") if rng.random() < n / 100 else c for c in s)
+    seqs = [genome[:100]] * 30 + [spoil(genome[:100], rng.choice([2, 9, 12])) for _ in range(40)] + [spoil(genome[o : o + rng.choice([80, 100])], 4) for o in range(0, 150, 5)] + ["ACGTTGCA" * 12, "ACGTTGCA" * 11 + "ACG", "A" * 60, "A" * 70]
+    seqs += [s[::-1].translate(str.maketrans("ACGT", "TGCA")) for s in seqs[25:60:4]]
+    rng.shuffle(seqs)
+    rows = list(enumerate(seqs))
+    want = brute_top2(spark, rows)
+    df = spark.createDataFrame(rows, "read_id long, seq string")
+    for block in (1000, 9):
+        assert {tuple(r) for r in O.overlap_top2(df, block=block).collect()} == want
+    assert len({w[0] for w in want}) > 90
+
+
+def test_equal_reads_cost_linear_rows(spark):
+    seq = "".join(random.Random(3).choice("ACGT") for _ in range(120))
+    few, many = (O.nearest(spark.range(n).select(F.col("id").alias("read_id"), F.lit(seq).alias("seq"))).count() for n in (900, 9000))
+    assert many <= 100 * few  # two a read, key and pair of blocks; all pairs would be 40,500 a key
+
+
 def test_shifted_children_cost_their_overhang(spark):
     """A child that begins later on its parent is stored by what the parent lacks, on either strand."""
     rng = random.Random(10)

@@ -315,3 +315,40 @@ def test_mates_are_written_together_or_not_at_all(spark, tmp_path):
     with pytest.raises(Exception, match="first mate"):
         Q.write_mates(frame(rows[1:]), str(one), str(two), mode="overwrite")
     assert files() == before and not list(tmp_path.rglob("_temporary"))
+
+
+@pytest.mark.parametrize("size", [1, 61, 700, 1 << 20])
+def test_fasta_in_chunks(spark, tmp_path, size):
+    """Contigs of one line and of many, blank lines, carriage returns, contigs without bases, ranges that cut headers: chunks and seeds of the whole sequences."""
+    from readlake.operators.align import align, fetch, lengths
+    from readlake.operators.index import seeds
+
+    rng = random.Random(6)
+    letters = lambda n: "".join(rng.choice("ACGTN" if rng.random() < 0.02 else "ACGT") for _ in range(n))
+    if size == 1:  # every byte a range
+        contigs, chunk = [("a", "ACGTACGTAC"), ("b", ""), ("c", "TTGCA")], 4
+    else:
+        contigs, chunk = [("one", letters(9000)), ("two", letters(30)), ("none", ""), ("line", letters(5000)), ("last", letters(4096 * 2))], 4096
+    text = ""
+    for name, seq in contigs:
+        wide = 60 if name != "line" else 10**6
+        end = "\r\n" if name == "two" else "\n"
+        text += f">{name} about > it{end}" + "".join(seq[i : i + wide] + end for i in range(0, len(seq), wide)) + ("\n" if name == "one" else "")
+    (tmp_path / "r.fa").write_bytes(text.rstrip("\n").encode())
+    found = Q.read_fasta_chunks(spark, str(tmp_path / "r.fa"), range_bytes=size, chunk=chunk)
+    start, want = 0, []
+    for name, seq in contigs:
+        want += [(name, start, i // chunk, seq[i : i + chunk], seq[i + chunk : i + chunk + Q.AHEAD]) for i in range(0, len(seq), chunk)]
+        start += len(seq)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
+    if chunk == 4096:
+        whole = spark.createDataFrame(contigs, "contig string, seq string")
+        for k in (14, 20):
+            assert rows_of(seeds(found, k), "contig", "pos", "kmer") == rows_of(seeds(whole, k), "contig", "pos", "kmer")
+        assert {tuple(r) for r in lengths(found).collect()} == {(c, len(q)) for c, q in contigs if q}
+    if size == 700:
+        reads = spark.createDataFrame([(1, contigs[0][1][4060:4160].replace("N", "A")), (2, contigs[3][1][100:180].replace("N", "A"))], "read_id long, seq string")
+        assert align(reads, found).exceptAll(align(reads, whole)).isEmpty() and align(reads, found).filter("mis is null").isEmpty()
+        assert fetch(spark.createDataFrame([("one", 4090, 50)], "contig string, pos int, len int"), found).first()["bases"] == contigs[0][1][4090:4140]
