@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import sequence as S
+from ..functions import tables as T
 from ..functions.packed import packed_kmers
+from ..operators import digest as D
 from ..operators import encode as E
 from ..operators import extract as X
 from ..operators import index as I
@@ -418,6 +421,35 @@ def digest_per_file(s, d):
     return R.ordered_digest(reads_se(s, d), "seq", "file_idx")
 
 
+_CHUNKS = """w AS (SELECT file_idx, string_agg(seq, '' ORDER BY ordinal) AS v FROM reads GROUP BY file_idx),
+c AS (SELECT file_idx, i AS chunk, length(p) AS bytes, md5(p) AS digest FROM (SELECT file_idx, i, substr(v, i * 4096 + 1, 4096) AS p FROM (SELECT file_idx, v, unnest(range(0, (length(v) + 4095) // 4096)) AS i FROM w)))"""
+
+
+@query(_with(READS_SQL + ", " + _CHUNKS, "SELECT * FROM c"))
+def digest_chunks(s, d):
+    return D.chunk_digests(reads_se(s, d), "seq", "file_idx", size=4096)
+
+
+# levels of 16 children each; a tree that has its root keeps it
+_LEVELS = ", ".join(
+    f"l{i + 1} AS (SELECT file_idx, i // 16 AS i, CASE WHEN any_value(n) > 1 THEN md5(string_agg(digest, '' ORDER BY i)) ELSE any_value(digest) END AS digest, (any_value(n) + 15) // 16 AS n FROM l{i} GROUP BY file_idx, i // 16)" for i in range(6)
+)
+
+
+@query(_with(READS_SQL + ", " + _CHUNKS, f", l0 AS (SELECT file_idx, chunk AS i, digest, count(*) OVER (PARTITION BY file_idx) AS n FROM c), {_LEVELS} SELECT file_idx, l6.digest, chunks, t.bytes FROM l6 JOIN (SELECT file_idx, count(*) AS chunks, CAST(sum(bytes) AS BIGINT) AS bytes FROM c GROUP BY file_idx) t USING (file_idx)"))
+def digest_tree(s, d):
+    return D.tree_digest(D.chunk_digests(reads_se(s, d), "seq", "file_idx", size=4096), "file_idx")
+
+
+@query(_with(REF_SQL, "SELECT contig AS read_id, CAST(i - 1 AS INTEGER) AS pos, _K AS kmer FROM (SELECT contig, seq, unnest(range(1, length(seq) - 12)) AS i FROM ref)").replace("_K", _PACK.format("substr(seq, i, 14)")))
+def kmers_by_sql(s, d):
+    """The table function called from SQL."""
+    T.register(s)
+    name = f"contigs_{uuid.uuid4().hex}"
+    reference(s, d).select(F.col("contig").alias("read_id"), "seq").createOrReplaceTempView(name)
+    return s.sql(f"SELECT * FROM read_kmers(TABLE({name}), 14)")
+
+
 @query()
 def digest_xxh3(s, d):
     return R.block_digest(reads_se(s, d), "seq", "xxhash", "file_idx", "block_idx")

@@ -314,3 +314,48 @@ def test_layout_in_few_rounds(spark, monkeypatch, shape):
         back = G.rebuild(G.parent_differences(tree, seqs))
         assert {tuple(r) for r in back.collect()} == {tuple(r) for r in seqs.collect()}
         assert len(cuts) <= 6
+
+
+def test_tree_digest(spark):
+    """Chunks cut anywhere, values longer than many chunks, empty values and groups, bytes beyond ASCII; the chunk of a changed byte is named."""
+    import hashlib
+
+    from readlake.operators import digest as D
+
+    rng = random.Random(5)
+    rows = [(f, b, 10 * b + i, "".join(rng.choice("ACGT\u00e9") for _ in range(rng.choice([0, 1, 5, 40, 700])))) for f in range(3) for b in range(3) for i in range(6)] + [(7, 0, 0, ""), (7, 0, 1, None), (8, 0, 0, "AC")]
+    df = spark.createDataFrame(rows, "file_idx int, block_idx int, ordinal long, seq string")
+    chunks = D.chunk_digests(df, "seq", "file_idx", size=16)
+    got = {(r["file_idx"], r["chunk"]): (r["bytes"], r["digest"]) for r in chunks.collect()}
+    want, roots = {}, {}
+    for f in {r[0] for r in rows}:
+        data = b"".join((v or "").encode() for x, _, _, v in sorted(rows, key=lambda r: r[:3]) if x == f)
+        level = [hashlib.md5(data[i : i + 16]).hexdigest() for i in range(0, len(data), 16)]
+        want |= {(f, i): (len(data[16 * i : 16 * i + 16]), h) for i, h in enumerate(level)}
+        n = len(level)
+        while len(level) > 1:
+            level = [hashlib.md5("".join(level[i : i + 4]).encode()).hexdigest() for i in range(0, len(level), 4)]
+        if level:
+            roots[f] = (level[0], n, len(data))
+    assert got == want
+    assert {r["file_idx"]: (r["digest"], r["chunks"], r["bytes"]) for r in D.tree_digest(chunks, "file_idx", fan=4).collect()} == roots
+    spoiled = df.withColumn("seq", F.when((F.col("file_idx") == 1) & (F.col("ordinal") == 11), F.concat(F.lit("N"), F.expr("substr(seq, 2)"))).otherwise(F.col("seq")))
+    bad = D.differing_chunks(chunks, D.chunk_digests(spoiled, "seq", "file_idx", size=16), "file_idx", size=16).collect()
+    before = sum(len((v or "").encode()) for f, _, o, v in rows if f == 1 and o < 11)
+    assert {r["file_idx"] for r in bad} <= {1} and (not bad or min(r["first_byte"] for r in bad) == before // 16 * 16)
+
+
+def test_table_functions_in_sql(spark):
+    """K-mers and minimizers from SQL, partitioned and not, as the DataFrame forms give them."""
+    from readlake.functions import tables
+    from readlake.functions.packed import packed_kmers
+
+    tables.register(spark)
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice("ACGTN" if i % 5 == 0 else "ACGT") for _ in range(rng.choice([0, 5, 30, 200])))) for i in range(40)] + [(50, None)]
+    reads = spark.createDataFrame(rows, "read_id long, seq string").repartition(3)
+    reads.createOrReplaceTempView("some_reads")
+    same = lambda a, b: a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty() and not b.isEmpty()
+    assert same(spark.sql("SELECT * FROM read_kmers(TABLE(some_reads), 12)"), packed_kmers(reads, 12))
+    for part in ("", " PARTITION BY (read_id)"):
+        assert same(spark.sql(f"SELECT * FROM read_minimizers(TABLE(some_reads){part}, 11)"), O.minimizers(reads, 11))

@@ -11,7 +11,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from readlake.plans import catalogue  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"split_align", "msf_edges", "bfs_layout", "forest_roundtrip", "isolated_reads", "components", "reference_fetch", "mismatch_hist"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
 
 
@@ -25,7 +24,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_query(spark, duck, name):
     df = catalogue.QUERIES[name](spark, DATA)
     cols = sorted(df.columns)
