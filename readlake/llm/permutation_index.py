@@ -24,8 +24,10 @@ from pyspark.sql.window import Window
 
 from .common import written
 
-#: Pivots of a length (the bounded sample: the vectors of smallest hash), and places of a list.
-PIVOTS, LISTED = 256, 64
+#: Pivots of a length, places of a list, and the bounded sample that pivots are chosen from (the vectors of smallest hash): rows and bytes at most.
+PIVOTS, LISTED, SAMPLE, SAMPLE_BYTES = 256, 64, 4096, 16 << 20
+#: Cosine that two pivots stay below at first, so that a crowd of like vectors does not fill them.
+APART = 0.5
 #: Share of a segment that is reranked, and how many at least.
 SHARE, LEAST = 0.2, 256
 #: Bytes and rows of a segment, distinct queries of a block, different lengths of vectors that one index takes.
@@ -76,14 +78,29 @@ def _entries(rows: DataFrame, k: int) -> DataFrame:
     return written(grouped.select("v", "ids", F.size("v").alias("dim"), norm.alias("norm")), "permutation-entries")
 
 
+def spread(x: np.ndarray, n: int, apart: float = APART) -> np.ndarray:
+    """``n`` of the unit vectors, in their order, no two with a cosine of ``apart`` or more; where these are too few, the bound is raised by a tenth, and so on."""
+    chosen, rest = np.empty((0, x.shape[1])), np.arange(len(x))
+    while len(chosen) < n and len(rest):
+        left = []
+        for i in rest.tolist():
+            if len(chosen) < n and (apart >= 1 or not len(chosen) or (chosen @ x[i]).max() < apart):
+                chosen = np.concatenate([chosen, x[i : i + 1]])
+            else:
+                left.append(i)
+        rest, apart = np.array(left, np.int64), apart + 0.1
+    return chosen
+
+
 def _pivots(entries: DataFrame, n_pivots: int) -> dict[int, np.ndarray]:
     """Unit pivots of each length."""
     first = Window.partitionBy("dim").orderBy(F.xxhash64("v"), "v")
-    some = entries.select("dim", "v").withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= n_pivots)
+    bound = F.greatest(F.lit(n_pivots), F.least(F.lit(SAMPLE), F.floor(F.lit(SAMPLE_BYTES) / (F.col("dim") * 8))))
+    some = entries.select("dim", "v").withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= SAMPLE).filter(F.col("_rank") <= bound)
     found: dict[int, list] = {}
-    for r in some.orderBy("dim", "_rank").select("dim", "v").limit(n_pivots * LENGTHS).collect():
+    for r in some.orderBy("dim", "_rank").select("dim", "v").collect():
         found.setdefault(r["dim"], []).append(r["v"])
-    return {dim: _unit(np.array(v, np.float64)) for dim, v in found.items()}
+    return {dim: spread(_unit(np.array(v, np.float64)), n_pivots) for dim, v in found.items()}
 
 
 def _segments(entries: DataFrame, listed: int) -> DataFrame:

@@ -70,6 +70,15 @@ def test_neighbours_recall_norms_and_hot_vector(spark):
     assert hits >= 0.9 * 20 * len(got)
 
 
+def test_pivots_are_spread():
+    rng = np.random.default_rng(8)
+    x = permutation_index._unit(np.concatenate([np.ones(24) + 0.1 * rng.standard_normal((300, 24)), rng.standard_normal((100, 24))]))
+    got = permutation_index.spread(x, 40)
+    crowd = (got @ permutation_index._unit(np.ones((1, 24))).T > 0.9).sum()
+    assert len(got) == 40 and crowd == 1
+    assert len(permutation_index.spread(x, 500)) == 400 and len(permutation_index.spread(x[:0], 5)) == 0
+
+
 def test_footrule_of_postings():
     rng = np.random.default_rng(5)
     pivots = permutation_index._unit(rng.standard_normal((30, 6)))
@@ -83,10 +92,13 @@ def test_footrule_of_postings():
             assert footrule == 2 * sum(range(1, 13)) - 2 * int(score[r])
 
 
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no driver tables")
-def test_recall_of_the_query(spark):
-    got = by_query(op11_permutation_index(spark, "/root/testdata/sf0.1"))
-    e = {r["vec_id"]: r["embedding"] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()}
+@pytest.mark.parametrize("where", ["sf0.1", "check_h"])
+def test_recall_of_the_query(spark, where):
+    """On even vectors, and where a third of all crowd around one."""
+    if not os.path.isdir(f"/root/testdata/{where}"):
+        pytest.skip("no driver tables")
+    got = by_query(op11_permutation_index(spark, f"/root/testdata/{where}"))
+    e = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"/root/testdata/{where}/embeddings.parquet").collect()}
     ids, x = np.array(list(e)), np.array(list(e.values()), float)
     hits = 0
     for q, found in got.items():
