@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -148,17 +149,25 @@ def profile(spark: SparkSession, archive: str) -> DataFrame:
 
 
 def compressed_bytes(spark: SparkSession, archive: str) -> DataFrame:
-    """stream, bytes: column chunks by the footers of a local archive; no row where footers cannot be read."""
-    import pyarrow.parquet as pq
-
-    rows: dict[str, int] = {}
-    root = f"{archive}/reads"
-    for folder, _, names in os.walk(root) if os.path.isdir(root) else ():
-        for n in names:
-            if n.endswith(".parquet"):
-                meta = pq.read_metadata(os.path.join(folder, n))
-                for g in range(meta.num_row_groups):
-                    for c in range(meta.num_columns):
-                        col = meta.row_group(g).column(c)
-                        rows[col.path_in_schema] = rows.get(col.path_in_schema, 0) + col.total_compressed_size
-    return spark.createDataFrame([(k, v) for k, v in rows.items() if k in ("name", "seq", "qual")], "stream string, bytes long")
+    """stream, bytes: column chunks by the footers of the archive's files, which tasks read, wherever they lie."""
+    files = spark.read.parquet(f"{archive}/reads").inputFiles()
+    schema = "stream string, bytes long"
+    if not files:
+        return spark.createDataFrame([], schema)
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            names, sizes = [], []
+            for path in batch.column(0).to_pylist():
+                store, name = Q.located(path)
+                with store.open_input_file(name) as f:
+                    meta = pq.read_metadata(f)
+                columns = [meta.row_group(g).column(c) for g in range(meta.num_row_groups) for c in range(meta.num_columns)]
+                names += [c.path_in_schema for c in columns]
+                sizes += [c.total_compressed_size for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["stream", "bytes"])
+
+    listed = spark.createDataFrame([(f,) for f in files], "path string").repartition(min(len(files), 1000))
+    return listed.mapInArrow(footers, schema).filter("stream in ('name', 'seq', 'qual')").groupBy("stream").agg(F.sum("bytes").alias("bytes"))
