@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..checkpoints import cut
 from ..functions.packed import mismatch_count
 from ..functions.sequence import degenerate_letters, mismatches, reverse_complement
-from .index import CHUNK, K, query_seeds, rarest_seeds, seed_counts, seeds
+from .index import CHUNK, K, query_seeds, seed_counts, seeds
 
 #: Caps of the seed search (fixed values): occurrences of a seed, of a seed of a short part, candidates a read.
 SEED_CAP, PART_CAP, CANDIDATES = 100_000, 620, 3000
@@ -41,29 +41,49 @@ def _on_chunks(places: DataFrame, ref: DataFrame, size: int = CHUNK) -> DataFram
     return met.withColumn("window", F.expr(f"substr(piece, cast(greatest(0, pos - chunk * {size}L) as int) + 1, len - at)")).drop("piece")
 
 
-def _part(read_len: Column, off: Column) -> Column:
-    parts = F.when(read_len < 45, 2).when(read_len <= 75, 3).otherwise(4)
-    return F.least(F.floor(off * parts / read_len), parts - 1).cast("int")
+def _parts(read_len: Column) -> Column:
+    return F.when(read_len < 45, 2).when(read_len <= 75, 3).otherwise(4)
+
+
+def _slots(k: int) -> Column:
+    """(stage, slot, rank) of a seed of columns rev, len, off, phase and n: in each slot of a stage the least rank is looked up, ties to the earliest."""
+    n, off, parts = F.col("len"), F.col("off"), _parts(F.col("len"))
+    div = lambda a, b: F.floor(a / b)
+    slot = lambda stage, at, rank: F.struct(stage.cast("int").alias("stage"), at.cast("int").alias("slot"), rank.cast("long").alias("rank"))
+    part = F.least(div(off * parts, n), parts - 1)
+    # the sweep: seeds that lie across the end of a part, of either parity the first that is rare enough
+    begun = F.least(div(off * parts + parts - 1, n), parts - 1)
+    low = F.greatest(F.lit(0), div(n, parts) - k) + div(begun * n, parts)
+    high = F.least(n - k, div((begun + 1) * n, parts) - 8)
+    few = F.col("n") < PART_CAP
+    every = F.array(
+        slot(F.col("rev") * 2 + F.col("phase"), F.col("phase"), F.col("n")),
+        F.when(few, slot(F.col("rev") * 2 + 4, part, F.col("n"))),
+        F.when(few & off.between(low, high), slot(F.col("rev") * 2 + 5, begun * 2 + (off - low) % 2, F.lit(0))),
+    )
+    return F.filter(every, lambda x: x.isNotNull())
 
 
 def candidates(reads: DataFrame, ref: DataFrame, k: int = K, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """read_id, stage, rev, contig, pos (0-based): where the rarest seeds put each read.
 
     Stages, first to win: 0, 1 seeds at even, odd offsets; 2, 3 the same of the reverse complement;
-    4, 5 the rarest seed of each part of the read, forward and reverse. Reads with more degenerate
-    bases than their limit have none. ``index``: seeds and counts of the reference, if there are stored ones.
+    4 the rarest seed of each part of the read, 5 the sweep: the first seeds that are rare enough across
+    the parts' ends; 6, 7 the same of the reverse complement. Reads with more degenerate bases than their
+    limit have none. ``index``: seeds and counts of the reference, if there are stored ones.
     """
     n = F.length("seq")
     fit = reads.filter(F.length(degenerate_letters(F.col("seq"))) <= F.floor(n * LIMIT_PERCENT / 100))
-    both = fit.select("read_id", F.lit(0).alias("rev"), "seq").unionByName(fit.select("read_id", F.lit(1).alias("rev"), reverse_complement(F.col("seq")).alias("seq")))
-    both = both.withColumn("len", F.length("seq"))
+    turned = F.array(F.struct(F.lit(0).alias("rev"), F.col("seq")), F.struct(F.lit(1).alias("rev"), reverse_complement(F.col("seq")).alias("seq")))
+    both = fit.select("read_id", F.inline(turned))
     seeds_, counts = index or (seeds(ref, k), None)
     counts = seed_counts(seeds_) if counts is None else counts
-    keyed = both.select(F.struct("read_id", "rev", "len").alias("read_id"), "seq")
+    keyed = both.select(F.struct("read_id", "rev", F.length("seq").alias("len")).alias("read_id"), "seq")
     queries = query_seeds(keyed, k).select("read_id.read_id", "read_id.rev", "read_id.len", "off", "phase", "kmer")
-    whole = rarest_seeds(queries, counts, SEED_CAP, "read_id", "rev", "phase").withColumn("stage", F.col("rev") * 2 + F.col("phase"))
-    parts = rarest_seeds(queries.withColumn("part", _part(F.col("len"), F.col("off"))), counts, PART_CAP, "read_id", "rev", "part").withColumn("stage", F.col("rev") + 4)
-    chosen = whole.select("read_id", "rev", "len", "stage", "off", "kmer").unionByName(parts.select("read_id", "rev", "len", "stage", "off", "kmer"))
+    met = queries.join(counts.filter(F.col("n") < SEED_CAP), "kmer").select("read_id", "rev", "len", "off", "kmer", F.inline(_slots(k)))
+    # one aggregation for all stages, map-side first: no window over a read's seeds
+    chosen = met.groupBy("read_id", "rev", "len", "stage", "slot").agg(F.min(F.struct("rank", "off", "kmer")).alias("b"))
+    chosen = chosen.select("read_id", "rev", "len", "stage", F.col("b.off").alias("off"), F.col("b.kmer").alias("kmer"))
     placed = chosen.join(seeds_, "kmer").withColumn("pos", F.col("pos") - F.col("off")).filter("pos >= 0").join(lengths(ref), "contig").filter("pos + len <= ref_len")
     return placed.select("read_id", "stage", "rev", "len", "contig", "pos").distinct()
 

@@ -100,6 +100,64 @@ def test_alignment(spark):
     assert (parts[0]["contig"], parts[0]["pos"], parts[100]["contig"], parts[100]["pos"]) == ("a", 1000, "b", 200)
 
 
+def brute_align(reads, ref, k=14):
+    """read_id -> (stage, mis, contig, pos, rev) by the rules of the stages, seed by seed."""
+    places = {}
+    for c, s in ref:
+        for i in range(0, len(s) - k + 1, 2):
+            places.setdefault(s[i : i + k], []).append((c, i))
+    text, out = dict(ref), {}
+    for r, seq in reads:
+        found = []
+        for rev, s in enumerate((seq, seq[::-1].translate(str.maketrans("ACGT", "TGCA")))):
+            n = len(s)
+            count = lambda o: len(places.get(s[o : o + k], ()))  # noqa: B023, E731
+            parts = 2 if n < 45 else 3 if n <= 75 else 4
+            offs = [o for o in range(n - k + 1) if count(o)]
+            rarest = lambda some: min(((count(o), o) for o in some), default=(0, None))[1]  # noqa: B023, E731
+            looked = [(2 * rev + p, rarest([o for o in offs if o % 2 == p])) for p in (0, 1)]
+            few = [o for o in offs if count(o) < 620]
+            looked += [(4 + 2 * rev, rarest([o for o in few if min(o * parts // n, parts - 1) == i])) for i in range(parts)]
+            for i, p in itertools.product(range(parts), (0, 1)):
+                begin, end = max(0, n // parts - k) + i * n // parts + p, min(n - k, (i + 1) * n // parts - 8)
+                looked.append((5 + 2 * rev, next((o for o in range(begin, end + 1, 2) if o in few), None)))
+            for stage, o in looked:
+                for c, at in places.get(s[o : o + k], ()) if o is not None else ():
+                    if 0 <= at - o <= len(text[c]) - n:
+                        found.append((stage, sum(a != b for a, b in zip(s, text[c][at - o :])), c, at - o, rev))
+        out[r] = min((f for f in found if f[1] <= len(seq) * 8 // 100), default=None)
+    return out
+
+
+def test_stages_of_alignment_and_the_sweep(spark):
+    """Repeats and misleading rare seeds: every stage against the rules seed by seed; some reads are found by the sweep alone."""
+    rng = random.Random(44)
+    letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    rc = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    reads, lures = [], []
+    home = letters(12_000)
+    for i in range(150):
+        n = rng.choice([40, 60, 75, 76, 100, 120, 151])
+        at = rng.randrange(len(home) - n)
+        read = list(home[at : at + n])
+        parts = 2 if n < 45 else 3 if n <= 75 else 4
+        # mismatches in the middle of parts leave seeds across their ends alone
+        for j in rng.sample(range(parts), min(parts, n * 8 // 100)):
+            x = (2 * j + 1) * n // (2 * parts)
+            read[x] = {"A": "C", "C": "G", "G": "T", "T": "A"}[read[x]]
+        read = "".join(read)
+        # each spoilt seed exists elsewhere, once, and so is the rarest of its part; true ones are made common
+        lures += [letters(1 + rng.randrange(2)) + read[o : o + 14] for o in range(n - 13) if read[o : o + 14] != home[at + o : at + o + 14]]
+        reads.append((i, rc(read) if i % 3 == 0 else read))
+    reads += [(900, letters(80)), (901, "ACGT" * 20), (902, "A" * 14)]
+    ref = [("home", home), ("lures", "".join(lures)), ("again", "".join(letters(1) + home[o : o + 14] for o in range(0, len(home) - 14, 5)))]
+    want = brute_align(reads, ref)
+    got = align(spark.createDataFrame(reads, "read_id long, seq string"), spark.createDataFrame(ref, "contig string, seq string")).collect()
+    assert {r["read_id"]: (r["mis"], r["contig"], r["pos"], r["rev"]) if r["contig"] else None for r in got} == {r: w and w[1:] for r, w in want.items()}
+    stages = [w[0] for w in want.values() if w]
+    assert 5 in stages and 7 in stages, sorted(set(stages))
+
+
 def test_forest_is_the_least_one(spark):
     rng = random.Random(5)
     edges = [(a, b, rng.randint(-9, 9), rng.randint(0, 3), 0, rng.randint(0, 1)) for a, b in itertools.combinations(range(24), 2) if rng.random() < 0.12 and (a < 14) == (b < 14)]
