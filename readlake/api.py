@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,20 +35,49 @@ def load_reads(spark: SparkSession, paths: str | list[str], *, layout: str = "SE
     return Q.read_fastq(spark, files[0] if len(files) == 1 else files, range_bytes=block_bytes)
 
 
-def build_ref_index(spark: SparkSession, fasta: str, out: str, *, k: int = K, mode: str = "error") -> None:
-    """Seeds, counts and sequences of a reference as tables. An index that is there already is used again if its digest fits."""
+#: Seeds of one bucket of a stored index.
+SEEDS_PER_BUCKET = 4_000_000
+
+
+def build_ref_index(spark: SparkSession, fasta: str, out: str, *, k: int = K, mode: str = "error", seeds_per_bucket: int = SEEDS_PER_BUCKET) -> None:
+    """Seeds, counts and sequences of a reference as tables, the first two bucketed and sorted by k-mer. An index that is there already is used again if its digest fits."""
     ref = Q.read_fasta_chunks(spark, fasta)
-    digest = ref.agg(F.sum(F.xxhash64("contig", "chunk", "piece").cast("decimal(38,0)")).cast("string")).first()[0] or ""
+    seen = ref.agg(F.sum(F.xxhash64("contig", "chunk", "piece").cast("decimal(38,0)")).cast("string").alias("digest"), F.sum(F.length("piece").cast("long")).alias("bases")).first()
+    digest, buckets = seen["digest"] or "", max(1, min(MAX_BUCKETS, -(-(seen["bases"] or 0) // (2 * seeds_per_bucket))))
     try:
-        if spark.read.parquet(f"{out}/meta").first()["digest"] == f"{k}:{digest}":
+        if spark.read.parquet(f"{out}/meta").first()["digest"] == f"{k}:{digest}:{buckets}":
             return
     except Exception:  # noqa: BLE001 no index yet
         pass
     ref.write.mode(mode).parquet(f"{out}/ref")
-    found = seeds(spark.read.parquet(f"{out}/ref"), k)
-    found.repartitionByRange("kmer").sortWithinPartitions("kmer", "contig", "pos").write.mode(mode).parquet(f"{out}/seeds")
-    csr(seed_counts(spark.read.parquet(f"{out}/seeds")), k).write.mode(mode).parquet(f"{out}/counts")
-    spark.createDataFrame([(f"{k}:{digest}",)], "digest string").coalesce(1).write.mode(mode).parquet(f"{out}/meta")
+    _write_bucketed(seeds(spark.read.parquet(f"{out}/ref"), k), f"{out}/seeds", buckets, ["kmer", "contig", "pos"], mode)
+    _write_bucketed(csr(seed_counts(spark.read.parquet(f"{out}/seeds")), k), f"{out}/counts", buckets, ["kmer"], mode)
+    spark.createDataFrame([(f"{k}:{digest}:{buckets}",)], "digest string").coalesce(1).write.mode(mode).parquet(f"{out}/meta")
+
+
+#: What Spark allows by default (spark.sql.sources.bucketing.maxBuckets).
+MAX_BUCKETS = 100_000
+
+
+def _write_bucketed(rows: DataFrame, path: str, buckets: int, order: list[str], mode: str) -> None:
+    """``rows`` in ``buckets`` files by the hash of k-mers. The table's name serves this write alone: what is bucketed is said again where it is read."""
+    name = f"readlake_{uuid.uuid4().hex}"
+    laid = rows.repartition(buckets, "kmer")
+    try:
+        laid.write.bucketBy(buckets, "kmer").sortBy(*order).option("path", path).mode(mode).saveAsTable(name)
+    finally:
+        rows.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")  # files at a path of one's own stay
+
+
+def _bucketed(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """A table of _write_bucketed() as one whose joins by k-mer need no exchange, in any session: no catalogue has to know it."""
+    columns = ", ".join(f"`{c}` {kind}" for c, kind in spark.read.parquet(path).dtypes)
+    where = path.replace("'", "\\'")
+    # one name for each folder and layout: loading again finds the same table
+    name = "readlake_" + hashlib.md5(f"{path}:{buckets}:{columns}".encode()).hexdigest()
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (kmer) INTO {buckets} BUCKETS LOCATION '{where}'")
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
 
 
 @dataclass(frozen=True)
@@ -60,9 +91,9 @@ class RefIndex:
 
 
 def load_ref_index(spark: SparkSession, path: str) -> RefIndex:
-    """What build_ref_index() has written."""
-    k = int(spark.read.parquet(f"{path}/meta").first()["digest"].partition(":")[0])
-    return RefIndex(k, *(spark.read.parquet(f"{path}/{t}") for t in ("ref", "seeds", "counts")))
+    """What build_ref_index() has written. Seeds and counts come bucketed by k-mer, so looking reads up shuffles reads only."""
+    k, _, buckets = spark.read.parquet(f"{path}/meta").first()["digest"].split(":")
+    return RefIndex(int(k), spark.read.parquet(f"{path}/ref"), *(_bucketed(spark, f"{path}/{t}", int(buckets)) for t in ("seeds", "counts")))
 
 
 def read_key(reads: DataFrame) -> Column:

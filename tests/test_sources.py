@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import gzip
 import random
+import re
 
 import numpy as np
 import pytest
@@ -180,6 +181,48 @@ def test_align_and_reorder_several_files_and_mates(spark, tmp_path):
     assert [r["mate"] for r in laid] == [1, 2] * 4 and all(laid[i]["pair_id"] == laid[i + 1]["pair_id"] for i in range(0, 8, 2))
 
 
+def test_lookups_in_a_stored_index_shuffle_reads_only(spark, tmp_path):
+    """Seeds and counts in buckets by k-mer: no exchange over them, also in a session that did not write them; results of the index built on the spot."""
+    from readlake.operators.align import align, candidates
+
+    rng = random.Random(23)
+    contigs = [(c, "".join(rng.choice("ACGT") for _ in range(5000))) for c in "abc"]
+    (tmp_path / "r.fa").write_text("".join(f">{c}\n{s}\n" for c, s in contigs))
+    path = str(tmp_path / "it's an index")
+    api.build_ref_index(spark, str(tmp_path / "r.fa"), path, seeds_per_bucket=1000)
+    files = sorted((p.name, p.stat().st_mtime_ns) for p in tmp_path.rglob("*.parquet"))
+    assert len([p for p in (tmp_path / "it's an index/seeds").glob("*.parquet")]) == 8
+    api.build_ref_index(spark, str(tmp_path / "r.fa"), path, seeds_per_bucket=1000)  # is there already
+    assert files == sorted((p.name, p.stat().st_mtime_ns) for p in tmp_path.rglob("*.parquet"))
+    reads = [(i, s[at : at + 90]) for i, (_, s) in enumerate(contigs * 10) for at in [rng.randrange(4900)]] + [(99, "ACGT" * 20)]
+    fresh = spark.newSession()
+    other = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "4", "spark.sql.adaptive.enabled": "false"}
+    for key, value in other.items():
+        fresh.conf.set(key, value)
+    index = api.load_ref_index(fresh, path)
+    df = fresh.createDataFrame(reads, "read_id long, seq string")
+    found = candidates(df, index.ref, index.k, (index.seeds, index.counts.select("kmer", "n")))
+    plan = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    scans = [i for i, x in enumerate(plan) if "FileScan" in x and "kmer" in x]
+    assert len(scans) == 2
+    depth_of = lambda x: len(re.match("[ :+-]*", x)[0])
+    for i in scans:  # up from the scan to its join there are filters, sorts and projections
+        depth, way = depth_of(plan[i]), []
+        for x in reversed(plan[:i]):
+            if depth_of(x) < depth:
+                way.append(x)
+                depth = depth_of(x)
+                if "Join" in x:
+                    break
+        assert "SortMergeJoin" in way[-1] and not any("Exchange" in x for x in way), way
+    got = align(df, index.ref, index.k, index=(index.seeds, index.counts.select("kmer", "n"))).collect()
+    assert {r["read_id"]: r for r in got} == {r["read_id"]: r for r in align(df, fresh.createDataFrame(contigs, "contig string, seq string")).collect()}
+    assert sum(r["mis"] == 0 for r in got) == 30
+    (tmp_path / "r.fa").write_text(f">d\n{contigs[1][1][:100]}\n")
+    api.build_ref_index(spark, str(tmp_path / "r.fa"), path, mode="overwrite")  # another reference, one bucket
+    assert api.load_ref_index(fresh, path).seeds.count() == 44
+
+
 def test_stream_of_gzip_files(spark, tmp_path):
     rows, text = fastq(25)
     (tmp_path / "in").mkdir()
