@@ -17,6 +17,7 @@ from .operators.graph import layout, spanning_forest
 from .operators.index import K, csr, seed_counts, seeds
 from .operators.overlap import overlap_top2
 from .operators.profile import ratios, streams
+from .operators.sketches import summary
 from .sources import archive as A
 from .sources import fastq as Q
 
@@ -179,6 +180,11 @@ def profile(spark: SparkSession, archive: str) -> DataFrame:
     return ratios(streams(reads), compressed_bytes(spark, archive))
 
 
+def about(spark: SparkSession, archive: str, *, by_file: bool = True, shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """Reads, distinct sequences and quantiles of lengths and mean qualities, by file or of all, from the sketches of the archive's blocks: approximate, whatever its size without a read."""
+    return summary(A.sketch_table(spark, archive), *(["file_idx"] if by_file else []), shares=shares)
+
+
 def compressed_bytes(spark: SparkSession, archive: str) -> DataFrame:
     """stream, bytes: column chunks by the footers of the archive's files, which tasks read, wherever they lie."""
     files = spark.read.parquet(f"{archive}/reads").inputFiles()

@@ -5,13 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import sequence as S
 from ..functions import tables as T
-from ..functions.packed import packed_kmers
+from ..functions.packed import packed_kmers, quality_stats
 from ..operators import digest as D
 from ..operators import encode as E
 from ..operators import extract as X
@@ -19,6 +19,7 @@ from ..operators import index as I
 from ..operators import pairs as P
 from ..operators import profile as R
 from ..operators import quality as Q
+from ..operators import sketches as K
 from .views import READS_PE_SQL, READS_SQL, REF_SQL, reads_pe, reads_se, reference, reference_reads, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -468,6 +469,25 @@ def distinct_profile(s, d):
     return R.distinct_profile(reads_se(s, d)).drop("about_seq")
 
 
+@query(_with(READS_SQL, "SELECT file_idx, count(*) AS reads, count(DISTINCT seq) AS distinct_seq, true AS distinct_near, true AS lengths_near, true AS quals_near FROM reads GROUP BY file_idx"))
+def sketch_bounds(s, d):
+    """Sketches of blocks, merged by file, held against all reads: whether distinct sequences lie within 5 %, and ranks of the quartiles within 2 %."""
+    r = reads_se(s, d).withColumn("len", F.length("seq")).withColumn("mean", quality_stats(F.col("qual"))["total"] / F.nullif(F.length("qual"), F.lit(0)))
+    met = r.join(K.summary(K.block_sketches(r, "file_idx", "block_idx"), "file_idx").withColumnRenamed("reads", "all_reads"), "file_idx")
+
+    def near(x: str, found: str) -> Column:
+        n = F.count(x)
+        rank = lambda i, strict: F.sum((F.col(x) < F.col(found)[i] if strict else F.col(x) <= F.col(found)[i]).cast("int"))
+        each = [(rank(i, True) <= n * (q + 0.02)) & (rank(i, False) >= n * (q - 0.02)) for i, q in enumerate((0.25, 0.5, 0.75))]
+        return F.coalesce(each[0] & each[1] & each[2], n == 0)
+
+    got = met.groupBy("file_idx", "all_reads", "about_distinct").agg(
+        F.countDistinct("seq").alias("distinct_seq"), near("len", "length_quantiles").alias("lengths_near"), near("mean", "quality_quantiles").alias("quals_near"),
+    )
+    off = F.abs(F.col("about_distinct") - F.col("distinct_seq"))
+    return got.select("file_idx", F.col("all_reads").alias("reads"), "distinct_seq", (off <= F.greatest(F.lit(1), F.col("distinct_seq") * 0.05)).alias("distinct_near"), "lengths_near", "quals_near")
+
+
 @query(_with(READS_SQL + ", " + _STREAMS, "SELECT file_idx, stream, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS reads FROM s GROUP BY CUBE (file_idx, stream)"))
 def stream_cube(s, d):
     return R.stream_cube(reads_se(s, d))

@@ -7,10 +7,14 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.packed import quality_stats
 from ..operators.profile import block_digest, streams
+from ..operators.sketches import sketch_columns
 from ..schema import LONG_READ
 
-MAGIC, VERSION = "readlake-archive", (1, 0, 0)
+MAGIC, VERSION = "readlake-archive", (1, 1, 0)
+#: Sketches in the table of blocks.
+SKETCHES = ("distinct_seq", "lengths", "mean_quals")
 
 
 class ArchiveError(ValueError):
@@ -26,8 +30,9 @@ def write_archive(reads: DataFrame, path: str, *, files: list[str] | None = None
     laid.write.partitionBy("file_idx").option("compression", compression).mode(mode).parquet(f"{path}/reads")
     stored = spark.read.schema(reads.schema).parquet(f"{path}/reads")
     comment = F.length(F.coalesce("comment", F.lit(""))) == 0 if "comment" in reads.columns else F.lit(True)
-    blocks = stored.groupBy("file_idx", "block_idx").agg(
+    blocks = stored.withColumn("_q", quality_stats(F.col("qual"))).groupBy("file_idx", "block_idx").agg(
         F.count(F.lit(1)).alias("read_count"), F.sum(F.length("seq").cast("long")).alias("bases"), F.bool_and(comment).alias("onech"), F.bool_or(F.length("seq") > LONG_READ).alias("longseq"),
+        *sketch_columns(F.col("_q")),
     )
     blocks.write.mode(mode).parquet(f"{path}/blocks")
     if check != "none":
@@ -64,7 +69,16 @@ def read_archive(spark: SparkSession, path: str, *, files: list[int] | None = No
 def block_table(spark: SparkSession, path: str) -> DataFrame:
     """Counts of blocks without reading a read."""
     read_meta(spark, path)
-    return spark.read.parquet(f"{path}/blocks")
+    return spark.read.parquet(f"{path}/blocks").drop(*SKETCHES)
+
+
+def sketch_table(spark: SparkSession, path: str) -> DataFrame:
+    """file_idx, block_idx, reads and the sketches of each block, for operators.sketches; no read is read."""
+    read_meta(spark, path)
+    blocks = spark.read.parquet(f"{path}/blocks")
+    if not set(SKETCHES) <= set(blocks.columns):
+        raise ArchiveError(f"{path} was written without sketches")
+    return blocks.select("file_idx", "block_idx", F.col("read_count").alias("reads"), *SKETCHES)
 
 
 def file_table(spark: SparkSession, path: str) -> DataFrame:

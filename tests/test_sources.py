@@ -108,6 +108,45 @@ def test_stream(spark, tmp_path):
     assert [r["delta"] for r in spark.table("deltas").orderBy("ordinal").collect()] == [0] + [1] * 24
 
 
+def test_sketches_of_an_archive(spark, tmp_path):
+    """Distinct sequences and quantiles by file and of all, within their bounds, from an archive whose reads are gone; empty and null values."""
+    import shutil
+
+    from readlake.operators import sketches as K
+
+    rng = random.Random(12)
+    rows = []
+    for f, n in ((0, 9000), (1, 1500), (2, 1)):
+        pool = ["".join(rng.choice("ACGT") for _ in range(rng.randint(0, 90))) for _ in range(max(1, n // 2))]
+        for i in range(n):
+            seq = rng.choice(pool)
+            rows.append((f, i // 700, i, f"r{i}", seq, "".join(chr(33 + min(40, int(rng.expovariate(0.1)))) for _ in seq)))
+    reads = spark.createDataFrame(rows, "file_idx int, block_idx int, ordinal long, name string, seq string, qual string").repartition(5)
+    arc = str(tmp_path / "arc")
+    A.write_archive(reads, arc, check="none")
+    assert A.block_table(spark, arc).columns == ["file_idx", "block_idx", "read_count", "bases", "onech", "longseq"]
+    shutil.rmtree(f"{arc}/reads")
+    shares = (0.0, 0.1, 0.5, 0.9, 1.0)
+    by_file = {r["file_idx"]: r for r in api.about(spark, arc, shares=shares).collect()}
+    for f, r in [*by_file.items(), (None, api.about(spark, arc, by_file=False, shares=shares).first())]:
+        own = [x for x in rows if f is None or x[0] == f]
+        distinct = len({x[4] for x in own})
+        assert r["reads"] == len(own) and abs(r["about_distinct"] - distinct) <= max(0.05 * distinct, 0)
+        means = [sum(map(ord, x[5])) / len(x[5]) for x in own if x[5]]
+        for values, found in (([len(x[4]) for x in own], r["length_quantiles"]), (means, r["quality_quantiles"])):
+            for q, v in zip(shares, found, strict=True):
+                if values:
+                    assert sum(x < v for x in values) <= (q + 0.02) * len(values) and sum(x <= v for x in values) >= (q - 0.02) * len(values)
+                else:
+                    assert v is None
+    odd = spark.createDataFrame([(0, None, None), (0, "", ""), (0, "", "")], "b int, seq string, qual string")
+    assert K.summary(K.block_sketches(odd, "b"), "b", shares=(0.5,)).first() == (0, 3, 1, [0], [None])
+    assert K.summary(K.block_sketches(odd.limit(0), "b"), "b").isEmpty()
+    spark.createDataFrame([(0, 0, 1)], "file_idx int, block_idx int, read_count long").write.mode("overwrite").parquet(f"{arc}/blocks")
+    with pytest.raises(A.ArchiveError, match="without sketches"):
+        api.about(spark, arc)
+
+
 def test_codec(spark):
     rng = random.Random(2)
     for order in (0, 1, 2):
