@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from readlake import api, codec, entropy
 from readlake.sources import archive as A
 from readlake.sources import fastq as Q
-from readlake.streaming.pipes import name_deltas, pipe_out, stream_fastq
+from readlake.streaming.pipes import STATE_STORE, name_columns, name_deltas, name_states, pipe_out, stream_fastq
 
 
 def fastq(n=50, seed=1, sign="@"):
@@ -147,6 +147,33 @@ def test_sketches_of_an_archive(spark, tmp_path):
         api.about(spark, arc)
 
 
+def test_name_state_over_batches_and_restarts(spark, tmp_path):
+    """Formats that alternate, appear late and come back after a restart; numbers of any size, padded ones, names without a token: as the windows over all reads give them."""
+    rng = random.Random(19)
+    make = lambda f, i: rng.choice([f"SRR{f}.{i} length=90", f"SRR{f}.{i * 3} length=9{i % 7}", f"x:{i % 5}:0{i % 10}/1", "", "word", f"{10**20 + i}", f"M{i}:a{i % 3}"])
+    texts = ["".join(f"@{make(f, i)}\nACGT\n+\nIIII\n" for i in range(80)) for f in range(3)]
+    (tmp_path / "in").mkdir()
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    seen = []
+    try:
+        for share in (0.3, 0.7, 1):
+            for i, text in enumerate(texts):
+                (tmp_path / f"in/{i}.fq").write_text(text[: int(len(text) * share)] if share < 1 else text)
+            stream = name_states(stream_fastq(spark, str(tmp_path / "in"), bytes_per_batch=700, range_bytes=300))
+            q = stream.writeStream.foreachBatch(lambda df, n: seen.append((n, df.collect()))).option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").start()
+            q.processAllAvailable()
+            q.stop()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    order = lambda rows: sorted(rows, key=lambda r: (r["file_idx"], r["ordinal"]))
+    batch = Q.read_fastq(spark, str(tmp_path / "in"))
+    want = order(name_columns(batch).collect())
+    got = order(r for _, b in seen for r in b)
+    assert len(seen) > 4 and len(want) == 240 and [tuple(r) for r in got] == [tuple(r) for r in want]
+    assert [tuple(r) for r in order(name_states(batch).collect())] == [tuple(r) for r in want]
+
+
 def test_codec(spark):
     rng = random.Random(2)
     for order in (0, 1, 2):
