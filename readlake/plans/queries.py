@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import shared_dir
 from ..functions import names as N
 from ..functions import sequence as S
 from ..functions import tables as T
@@ -20,7 +21,8 @@ from ..operators import pairs as P
 from ..operators import profile as R
 from ..operators import quality as Q
 from ..operators import sketches as K
-from .views import READS_PE_SQL, READS_SQL, REF_SQL, reads_pe, reads_se, reference, reference_reads, table
+from ..streaming import pipes as W
+from .views import READS_PE_SQL, READS_SQL, REF_SQL, reads_of, reads_pe, reads_se, reference, reference_reads, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -355,6 +357,31 @@ def name_leader(s, d):
     return r.select("ordinal", F.array_join(N.same_as_leader(F.col("parts"), w).cast("array<string>"), ",").alias("same"))
 
 
+_FMT = "array_to_string([CASE WHEN regexp_matches(t, '^[^A-Za-z0-9]') THEN t WHEN regexp_matches(t, '^0[0-9]+$') THEN 'P' || length(t) WHEN regexp_matches(t, '^[0-9]+$') THEN 'D' WHEN regexp_matches(t, '^[A-Za-z]+$') THEN 'L' ELSE 'M' END FOR t IN parts], '|')"
+
+
+@query(_with(READS_SQL, f""", f AS (SELECT file_idx, ordinal, {_TOK.format('name')} AS parts, CAST(regexp_extract(name, '[0-9]+') AS BIGINT) AS value FROM (SELECT * REPLACE (CASE WHEN ordinal % 7 < 3 THEN name ELSE replace(name, ' length=', '/') END AS name) FROM reads)),
+g AS (SELECT *, {_FMT} AS format FROM f),
+h AS (SELECT *, lag(format) OVER (PARTITION BY file_idx ORDER BY ordinal) AS b, first_value(parts) OVER (PARTITION BY file_idx, format ORDER BY ordinal) AS lead, lag(value) OVER (PARTITION BY file_idx, format ORDER BY ordinal) AS p FROM g)
+SELECT file_idx, ordinal, format, CAST(sum(CASE WHEN b = format THEN 0 ELSE 1 END) OVER (PARTITION BY file_idx ORDER BY ordinal) - 1 AS BIGINT) AS format_run,
+  array_to_string([CASE WHEN parts[i] = lead[i] THEN 1 ELSE 0 END FOR i IN range(1, len(parts) + 1)], ',') AS same, value, value - coalesce(p, 0) AS delta FROM h"""))
+def name_states(s, d):
+    """The table as a stream that ends when all of it is taken, into a folder of its own; the state store is that of the stream alone."""
+    path, out = f"{d}/documents.parquet", f"{shared_dir(s)}/name-states-{uuid.uuid4().hex}"
+    docs = s.readStream.schema(s.read.parquet(path).schema).parquet(f"{d}/documents.parque[t]")  # a pattern: the table may be one file or a folder
+    r = reads_of(docs).withColumn("name", F.when(F.col("ordinal") % 7 < 3, F.col("name")).otherwise(F.regexp_replace("name", " length=", "/")))
+    got = W.name_states(r).withColumn("same", F.array_join(F.col("same").cast("array<string>"), ","))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(key)
+    s.conf.set(key, W.STATE_STORE)
+    try:
+        stream = got.writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).outputMode("append").start(f"{out}/rows", "parquet")
+        stream.awaitTermination()
+    finally:
+        s.conf.set(key, before)
+    return s.read.schema(got.schema).parquet(f"{out}/rows")
+
+
 # --- qualities ---------------------------------------------------------------------------------
 _QSUM = "list_sum([ascii(c) FOR c IN regexp_extract_all(qual, '.')])"
 

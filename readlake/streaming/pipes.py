@@ -99,10 +99,10 @@ class _NameState(StatefulProcessor):
 
 
 def name_states(reads: DataFrame) -> DataFrame:
-    """name_columns() of a stream, or of a batch as one: what must be known of the reads before is kept as state by file.
+    """name_columns() of a stream: what must be known of the reads before is kept as state by file.
 
     Batches come in the order of a file's records, as stream_fastq() gives them; one batch of a file is sorted by
-    one task, so ``bytes_per_batch`` bounds it. A stream needs STATE_STORE as the session's state store.
+    one task, so ``bytes_per_batch`` bounds it. STATE_STORE has to be the session's state store.
     """
     out = "file_idx int, ordinal long, format string, format_run long, same array<int>, value long, delta long"
     return _name_parts(reads).groupBy("file_idx").transformWithStateInPandas(_NameState(), out, outputMode="Append", timeMode="None")

@@ -171,7 +171,6 @@ def test_name_state_over_batches_and_restarts(spark, tmp_path):
     want = order(name_columns(batch).collect())
     got = order(r for _, b in seen for r in b)
     assert len(seen) > 4 and len(want) == 240 and [tuple(r) for r in got] == [tuple(r) for r in want]
-    assert [tuple(r) for r in order(name_states(batch).collect())] == [tuple(r) for r in want]
 
 
 def test_codec(spark):
