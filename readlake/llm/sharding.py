@@ -1,9 +1,9 @@
 """Sharding by sampled splitters, DataFrame operations only.
 
-Records are ordered by ``(xxhash64(text), doc_id)``: copies of one text are neighbours, and a text
-that a third of all rows repeat is still divisible. Size-weighted samples of that composite key give
-quantile boundaries; records fall into ranges, ranges that turn out overfull are subdivided by a
-second, denser sample of their own. Each range is ordered by one task; running sizes then give the
+Records are ordered by ``(xxhash64(text), doc_id, row)``: copies of one text are neighbours, and a text
+that a third of all rows repeat is still divisible, with one id or none in all of them too. Size-weighted samples of that composite key give
+quantile boundaries; records fall into ranges, ranges that turn out overfull are subdivided by
+denser samples of their own. Each range is ordered by one task; running sizes then give the
 exact record at every shard boundary. What the driver sees is bounded: samples (SAMPLES_PER_RANGE a
 range), one total per range, and one record per shard boundary.
 """
@@ -19,34 +19,54 @@ from .common import id_text, integral, written
 
 #: Bounds of what is sent to the driver.
 MAX_RANGES, SAMPLES_PER_RANGE = 4096, 16
-#: A range is overfull beyond this multiple of its fair share.
-OVERFULL = 2.0
+#: A range is overfull beyond this multiple of its fair share; how often overfull ones are subdivided.
+OVERFULL, ROUNDS = 2.0, 3
 #: A group of equal texts up to this share of a shard stays together at a boundary.
 WHOLE_GROUP = 0.01
 
 
-def _position(splitters: list[tuple[int, int]]) -> Column:
+def _position(splitters: list[tuple[int, int, int]]) -> Column:
     """How many of the sorted splitters are at or below the record: two levels of comparisons."""
     if not splitters:
         return F.lit(0)
-    lit = lambda s: F.struct(F.lit(s[0]).cast("long").alias("h"), F.lit(s[1]).cast("long").alias("o"))
+    lit = lambda s: F.struct(*(F.lit(x).cast("long").alias(c) for x, c in zip(s, ("h", "o", "row"), strict=True)))
     step = max(1, math.isqrt(len(splitters)))
-    heads, own = splitters[::step], F.struct(F.col("h"), F.col("o"))
+    heads, own = splitters[::step], F.struct(F.col("h"), F.col("o"), F.col("row"))
     head = F.size(F.filter(F.array(*map(lit, heads)), lambda s: s <= own))
     blocks = F.array(*[F.array(*map(lit, splitters[i : i + step])) for i in range(0, len(splitters), step)])
     inside = F.size(F.filter(F.element_at(blocks, F.greatest(head, F.lit(1))), lambda s: s <= own))
     return F.when(head == 0, F.lit(0)).otherwise((head - 1) * step + inside)
 
 
-def _quantiles(rows: DataFrame, total: int, ranges: int, seed: int) -> list[tuple[int, int]]:
-    """Boundaries for ``ranges`` ranges of equal size, from a sample in which a record's chance grows with its size."""
+def _quantiles(rows: DataFrame, total: int, ranges: int, seed: int) -> list[tuple[int, int, int]]:
+    """Boundaries for ``ranges`` ranges of equal weight, from a sample in which a record's chance grows with its weight."""
     want = ranges * SAMPLES_PER_RANGE
-    draw = F.pmod(F.xxhash64("h", "o", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    sample = rows.filter(draw < F.col("size") * (want / max(1, total))).select("h", "o").distinct().collect()
-    keys = sorted((r["h"], r["o"]) for r in sample)
+    draw = F.pmod(F.xxhash64("h", "o", "row", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+    sample = rows.filter(draw < F.col("w") * (want / max(1, total))).select("h", "o", "row").collect()
+    keys = sorted((r["h"], r["o"], r["row"]) for r in sample)
     return sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if len(keys) > ranges else keys
 
 
+def splitters_of(weighed: DataFrame, total: int, ranges: int) -> tuple[list[tuple[int, int, int]], dict[int, tuple[int, int]]]:
+    """Sorted splitters of records (h, o, row, w) and (records, weight) of each range that has any; ranges that are overfull are subdivided, at most ROUNDS times.
+
+    Rows that agree in text and id differ in ``row``, so only a range of one record stays overfull for good.
+    """
+    splitters: list[tuple[int, int, int]] = []
+    inside, part, wanted = weighed, total, ranges
+    for seed in range(ROUNDS + 1):
+        splitters = sorted({*splitters, *_quantiles(inside, part, wanted, seed)})
+        filled = weighed.groupBy(_position(splitters).alias("range")).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")).collect()
+        sums = {r["range"]: (r["n"], r["w"]) for r in filled}
+        over = [i for i, (n, w) in sums.items() if n > 1 and w > OVERFULL * total / ranges]
+        if not over:
+            break
+        inside = weighed.filter(_position(splitters).isin(over))
+        part = sum(sums[i][1] for i in over)
+        wanted = min(MAX_RANGES, 2 * math.ceil(part * ranges / total))
+    return splitters, sums
+
+
 def sharded(docs: DataFrame, shards: int = 16, *, law: str = "bytes", id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 50_000) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard (null: neither law keeps shards when one is added).
 
@@ -56,7 +76,8 @@ def sharded(docs: DataFrame, shards: int = 16, *, law: str = "bytes", id_col: st
     key order from 0 without gaps.
 
     Defined cases: null text has size 1 and the checksum of the empty text; rows with a null doc_id
-    come first among equal texts; repeated rows are separate records; an empty table gives an empty
+    come first among equal texts; repeated rows are separate records, in some
+    fixed order, and may be divided like others; an empty table gives an empty
     result; fewer records than shards leave shards empty; other columns are ignored.
     """
     if law not in ("bytes", "rows"):
@@ -72,18 +93,11 @@ def sharded(docs: DataFrame, shards: int = 16, *, law: str = "bytes", id_col: st
     )
     rows = written(rows, "shard-records")
     weight = F.col("size") if law == "bytes" else F.lit(1).cast("long")
-    got = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w")).first()
-    n, total = got["n"], got["w"] or 0
     weighed = rows.withColumn("w", weight)
-    ranges = min(MAX_RANGES, max(64, n // rows_per_range))
-    splitters = _quantiles(weighed.withColumn("size", F.col("w")), total, ranges, 1)
-    filled = weighed.groupBy(_position(splitters).alias("range")).agg(F.sum("w").alias("w")).collect()
-    over = {r["range"]: r["w"] for r in filled if r["w"] > OVERFULL * total / ranges}
-    if over:
-        inside = weighed.withColumn("size", F.col("w")).filter(_position(splitters).isin(list(over)))
-        splitters = sorted({*splitters, *_quantiles(inside, sum(over.values()), min(MAX_RANGES, 2 * math.ceil(sum(over.values()) * ranges / total)), 2)})
+    got = weighed.agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")).first()
+    n, total = got["n"], got["w"] or 0
+    splitters, sums = splitters_of(weighed, total, min(MAX_RANGES, max(64, n // rows_per_range)))
     placed = weighed.withColumn("range", _position(splitters))
-    sums = {r["range"]: (r["n"], r["w"]) for r in placed.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")).collect()}
     before, n_run, w_run = [], 0, 0
     for i in range(len(splitters) + 1):
         before.append((n_run, w_run))
@@ -91,7 +105,7 @@ def sharded(docs: DataFrame, shards: int = 16, *, law: str = "bytes", id_col: st
     offsets = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(before)], "range int, n0 long, w0 long")
     order = Window.partitionBy("range").orderBy("h", "o", "row")
     ranked = placed.withColumn("i", F.row_number().over(order).cast("long") - 1).withColumn("wr", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("w"))
-    # at most MAX_RANGES * 3 + 1 rows
+    # at most MAX_RANGES * (ROUNDS + 1) + 1 rows
     ranked = ranked.join(F.broadcast(offsets), "range").withColumn("i", F.col("i") + F.col("n0")).withColumn("at", F.col("wr") + F.col("w0"))
     ranked = written(ranked.select("doc_id", "size", "text_crc32", "h", "i", "at"), "shard-ranked")
     # the shard of a record by the place of its first unit

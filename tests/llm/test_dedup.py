@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from readlake.llm import embedding_dedup, near_dedup, simhash, substring_dedup
 from readlake.llm.components import block_cells, components
 from readlake.llm.exact_dedup import drop_exact_copies, exact_dedup
-from readlake.llm.sharding import sharded
+from readlake.llm.sharding import OVERFULL, sharded, splitters_of
 
 #: Columns that clash with names used inside.
 EXTRA = "doc_id long, text string, n long, key string, kept string, part string, node string, bucket string"
@@ -364,3 +364,18 @@ def _lines(text):
     for line in text.split("\n"):
         yield at, line
         at += len(line) + 1
+
+
+def test_sharding_divides_rows_alike_in_text_and_id(spark):
+    """A third of all rows without an id and with one text: no range holds them all, no shard either."""
+    same = spark.range(50_000).selectExpr("cast(null as bigint) as doc_id", "'one text' as text")
+    df = same.unionByName(spark.range(100_000).selectExpr("id as doc_id", "concat('text ', id) as text")).repartition(6)
+    weighed = df.selectExpr("xxhash64(text) as h", "coalesce(doc_id, -1) as o", "monotonically_increasing_id() as row", "cast(length(text) + 1 as bigint) as w").cache()
+    total = weighed.agg({"w": "sum"}).first()[0]
+    splitters, sums = splitters_of(weighed, total, 64)
+    assert sum(n for n, _ in sums.values()) == 150_000 and sum(w for _, w in sums.values()) == total
+    assert max(w for _, w in sums.values()) <= OVERFULL * total / 64 and splitters == sorted(set(splitters))
+    got = sharded(df, 16).groupBy("shard").agg({"size": "sum", "slot": "max", "doc_id": "count", "*": "count"}).collect()
+    sizes = [r["sum(size)"] for r in got]
+    assert len(got) == 16 and max(sizes) - min(sizes) < 0.05 * sum(sizes) / 16 and all(r["max(slot)"] == r["count(1)"] - 1 for r in got)
+    assert sum(r["count(1)"] for r in got) == 150_000 and sum(r["count(doc_id)"] for r in got) == 100_000
