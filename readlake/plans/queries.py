@@ -24,6 +24,8 @@ from ..operators import sketches as K
 from ..streaming import pipes as W
 from .views import READS_PE_SQL, READS_SQL, REF_SQL, reads_of, reads_pe, reads_se, reference, reference_reads, table
 
+#: Parts in which a file's reads are joined with what is known of the file.
+SALTS = 64
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -500,7 +502,10 @@ def distinct_profile(s, d):
 def sketch_bounds(s, d):
     """Sketches of blocks, merged by file, held against all reads: whether distinct sequences lie within 5 %, and ranks of the quartiles within 2 %."""
     r = reads_se(s, d).withColumn("len", F.length("seq")).withColumn("mean", quality_stats(F.col("qual"))["total"] / F.nullif(F.length("qual"), F.lit(0)))
-    met = r.join(K.summary(K.block_sketches(r, "file_idx", "block_idx"), "file_idx").withColumnRenamed("reads", "all_reads"), "file_idx")
+    found = K.summary(K.block_sketches(r, "file_idx", "block_idx"), "file_idx").withColumnRenamed("reads", "all_reads")
+    # a file may hold most reads: it is met in SALTS parts
+    found = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = r.withColumn("part", F.pmod(F.xxhash64("ordinal"), F.lit(SALTS)).cast("int")).join(found, ["file_idx", "part"])
 
     def near(x: str, found: str) -> Column:
         n = F.count(x)
