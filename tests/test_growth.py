@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+
+from readlake.operators import overlap as O
 from readlake.plans import catalogue
 
 
@@ -17,3 +20,32 @@ def test_counts_of_seeds_have_no_cap(spark, tmp_path):
     d = tables(spark, tmp_path, [(0, "a" * (2 * many + 12)), (1, "c" * 16)], [(0, "a" * 14)])
     assert [tuple(r) for r in catalogue.QUERIES["seed_index_csr"](spark, d).select("kmer", "n", "start").sort("start").collect()] == [("A" * 14, many, 0), ("C" * 14, 2, many)]
     assert [tuple(r) for r in catalogue.QUERIES["rarest_seed"](spark, d).collect()] == [(0, 0, 0, "A" * 14, many)]
+
+
+def test_common_keys_meet_in_few_copies(spark):
+    # one key for all reads, of which none are alike: rows dealt to cells grew with n * n / 1000, and each pair was a call
+    rng = np.random.default_rng(3)
+    half = lambda: "".join(rng.choice(list("CGT"), 60))
+    reads = spark.createDataFrame([(i, half() + "A" * 13 + half()) for i in range(3000)], "read_id long, seq string").cache()
+    assert O._met(reads, 13, O.KEY_BLOCK).count() <= 3000 * O.PER_READ
+    assert O.near_pairs(reads).isEmpty()
+
+
+def test_words_count_what_bases_do(spark):
+    # overlaps that end within a word, on it, and beyond all words on either side
+    rng = np.random.default_rng(4)
+    base = "".join(rng.choice(list("ACGT"), 9000))
+    rows = []
+    for i, (a, b) in enumerate([(0, 9000), (10, 9000), (0, 5000), (3000, 9000), (0, 700), (64, 704), (1, 129), (0, 64)] * 2):
+        text = np.array(list(base[a:b]))
+        at = rng.choice(len(text), len(text) * (i % 5) // 50, replace=False)
+        text[at] = "A"
+        rows.append((i, "".join(text)))
+    seqs = dict(rows)
+    got = O.compared(spark.createDataFrame(rows, "read_id long, seq string"), percent=12).collect()
+    turned = lambda x, s: x.translate(str.maketrans("ACGT", "TGCA"))[::-1] if s else x
+    assert len(got) > 20
+    for r in got:
+        x, y = turned(seqs[r["src"]], r["s_strand"]), turned(seqs[r["dst"]], r["e_strand"])
+        i, j, n = max(r["off"], 0), max(-r["off"], 0), r["span"]
+        assert n == min(len(x) - i, len(y) - j) and r["mis"] == sum(a != b for a, b in zip(x[i : i + n], y[j : j + n], strict=True)) <= n * 12 // 100
