@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
+from readlake.functions import packed
+from readlake.functions import sequence as S
+from readlake.functions import tables as table_functions
+from readlake.operators import graph as G
 from readlake.operators import overlap as O
 from readlake.plans import catalogue
 
@@ -49,3 +58,44 @@ def test_words_count_what_bases_do(spark):
         x, y = turned(seqs[r["src"]], r["s_strand"]), turned(seqs[r["dst"]], r["e_strand"])
         i, j, n = max(r["off"], 0), max(-r["off"], 0), r["span"]
         assert n == min(len(x) - i, len(y) - j) and r["mis"] == sum(a != b for a, b in zip(x[i : i + n], y[j : j + n], strict=True)) <= n * 12 // 100
+
+
+def test_rest_and_small_trees_equal_the_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(a, b, rng.randint(-9, 9), rng.randint(0, 4), rng.randint(0, 1), rng.randint(0, 1)) for a, b in {tuple(sorted(rng.sample(range(60), 2))) for _ in range(80)}]
+    edges = spark.createDataFrame(rows, "src long, dst long, off int, mis int, s_strand int, e_strand int").cache()
+    cuts, real = [], G._cut
+    monkeypatch.setattr(G, "_cut", lambda df: cuts.append(1) or real(df))
+
+    def all_of() -> list:
+        forest, comp = G.spanning_forest(edges)
+        return [sorted(map(tuple, df.collect()), key=repr) for df in (forest, comp, G.layout(forest, comp).select("node", "component", "parent", "depth", "strand", "off", "as_is"))]
+
+    got = all_of()
+    # rounds were gone through for a handful of edges too
+    assert len(cuts) <= 6
+    monkeypatch.setattr(G, "FEW", 0)
+    assert all_of() == got
+
+
+def test_contexts_and_kmers_come_in_pieces(spark, monkeypatch):
+    texts = ["", None, "A", "ACGTN" * 9, "".join(random.Random(6).choice("ACGTN") for _ in range(200))]
+    reads = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "read_id long, seq string")
+    want = Counter(x[max(0, i - 10) : i] for x in texts if x for i in range(len(x)))
+    monkeypatch.setattr(packed, "PIECE", 16)
+    assert {r["context"]: r["n"] for r in packed.context_counts(reads).collect()} == want
+    monkeypatch.setattr(table_functions, "PIECE", 16)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["read_id", "seq"])
+    pieces = list(table_functions.ReadKmers.func().eval(batch, pa.array([14]))) if hasattr(table_functions.ReadKmers, "func") else []
+    assert all(p.num_rows <= 32 for p in pieces)
+    got = [(r["read_id"], r["pos"], r["kmer"]) for p in pieces for r in p.to_pylist()]
+    codes = {c: n for n, c in enumerate("ACGT")}
+    value = lambda x: sum(codes[c] << 2 * n for n, c in enumerate(reversed(x)))
+    assert got == [(i, p, value(x[p : p + 14])) for i, x in enumerate(texts) if x for p in range(len(x) - 13) if "N" not in x[p : p + 14]]
+
+
+def test_gaps_are_found_out_in_arrow(spark):
+    rows = [("ACNGTN", "IIBIBA"), ("ACGT", "IIII"), ("", ""), ("NNA", "BAA"), (None, "I")]
+    got = spark.createDataFrame(rows, "s string, q string").select(S.degenerate_gaps(F.col("s"), F.col("q")).alias("g"), S.degenerate_max_quality(F.col("s"), F.col("q")).alias("m"))
+    assert [tuple(r) for r in got.collect()] == [([0, 1, 0], 66), (None, None), (None, None), ([0, 0, 1], 66), (None, None)]
+    assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString()
