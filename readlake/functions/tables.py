@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .packed import codes_of, window_codes
+from .packed import PIECE, codes_of, window_codes
 
 
 def _k(k: pa.Array, default: int) -> int:
@@ -32,13 +32,28 @@ class ReadKmers:
     """read_id, pos, kmer (packed) at every place of each read; those with letters other than ACGT are left out, as are null sequences."""
 
     def eval(self, batch: pa.RecordBatch, k: pa.Array) -> Iterator[pa.Table]:
-        size, found = _k(k, 14), []
-        for seq in batch.column("seq").to_pylist():
-            kmers = window_codes(codes_of(seq or ""), size)
-            at = np.flatnonzero(kmers >= 0)
-            found.append((at, kmers[at]))
-        if found:
-            yield _rows(batch, found, ["pos", "kmer"], [pa.int32(), pa.int64()])
+        size, ids = _k(k, 14), batch.column("read_id").cast(pa.int64())
+        rows, places, found, held = [], [], [], 0
+
+        def flushed() -> pa.Table:
+            index, at, kmers = (np.concatenate(c) for c in (rows, places, found))
+            return pa.table([ids.take(pa.array(index)), pa.array(at.astype(np.int32)), pa.array(kmers)], ["read_id", "pos", "kmer"])
+
+        for row, seq in enumerate(batch.column("seq")):
+            codes = codes_of(seq.as_py() or "")
+            for start in range(0, max(0, len(codes) - size + 1), PIECE):
+                kmers = window_codes(codes[start : start + PIECE + size - 1], size)
+                at = np.flatnonzero(kmers >= 0)
+                rows.append(np.full(len(at), row))
+                places.append(at + start)
+                found.append(kmers[at])
+                held += len(at)
+                # reads have many times their bytes in k-mers, so a batch is handed on in pieces
+                if held >= PIECE:
+                    yield flushed()
+                    rows, places, found, held = [], [], [], 0
+        if held:
+            yield flushed()
 
 
 @F.arrow_udtf(returnType="read_id bigint, key bigint, pos int, strand int")
