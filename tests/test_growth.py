@@ -86,7 +86,7 @@ def test_contexts_and_kmers_come_in_pieces(spark, monkeypatch):
     assert {r["context"]: r["n"] for r in packed.context_counts(reads).collect()} == want
     monkeypatch.setattr(table_functions, "PIECE", 16)
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["read_id", "seq"])
-    pieces = list(table_functions.ReadKmers.func().eval(batch, pa.array([14]))) if hasattr(table_functions.ReadKmers, "func") else []
+    pieces = list(table_functions.ReadKmers.func().eval(batch, pa.array([14])))
     assert all(p.num_rows <= 32 for p in pieces)
     got = [(r["read_id"], r["pos"], r["kmer"]) for p in pieces for r in p.to_pylist()]
     codes = {c: n for n, c in enumerate("ACGT")}
