@@ -15,7 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from readlake.functions.packed import packed_kmers
+from readlake.checkpoints import cut
+from readlake.functions.packed import distinct_kmers, packed_kmers
 from readlake.functions.sequence import reverse_complement
 from readlake.plans.views import bases, reads_of
 
@@ -23,6 +24,9 @@ from .common import command_line
 
 log = logging.getLogger("screen_reads")
 
+#: K-mers of a panel up to which it is sent to all tasks.
+FEW_SEEDS = 1 << 20
+
 COLUMNS = "file_idx int, ordinal long, name string, seq string, qual string, kmers long, contig long, hits long, share double, verdict string"
 
 
@@ -53,17 +57,25 @@ def screened(reads: DataFrame, panel: DataFrame, settings: Settings) -> DataFram
     """``reads`` (file_idx, ordinal, name, seq, qual) with kmers, contig, hits, share and verdict ("clean" or "screened").
 
     contig is the sequence of the panel with the most shared k-mers, then the smallest; null where there
-    is none. Only k-mers that the panel has leave the tasks that read them: Spark broadcasts the panel where
-    it is small, and filters at run time before it shuffles where not. An empty sequence is clean.
+    is none. Only k-mers that the panel has leave the tasks that read them where it has at most FEW_SEEDS;
+    a larger one is joined as Spark sees fit. An empty sequence is clean.
     """
     key = ["file_idx", "ordinal"]
-    own = _seeds(reads, settings.k, *key)
-    size = own.groupBy(*key).agg(F.count(F.lit(1)).alias("kmers"))
-    shared = own.join(panel_seeds(panel, settings), "kmer").groupBy(*key, "contig", "of").agg(F.count(F.lit(1)).alias("hits"))
+    plain = F.translate("seq", "N", "A").alias("seq")
+    known_seeds = cut(panel_seeds(panel, settings))
+    if known_seeds.limit(FEW_SEEDS + 1).count() <= FEW_SEEDS:
+        known_seeds = F.broadcast(known_seeds)
+    # a read's k-mers stay in its task but for those that the panel has
+    own = packed_kmers(reads.select(*key, plain), settings.k).select(*key, "kmer")
+    shared = own.join(known_seeds, "kmer").groupBy(*key, "contig", "of").agg(F.countDistinct("kmer").alias("hits"))
+    # reads that share a name are counted together, others each by itself
+    twice = reads.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*key)
+    together = _seeds(reads.join(twice, key, "left_semi"), settings.k, *key).groupBy(*key).agg(F.count(F.lit(1)).alias("together"))
     best = shared.groupBy(*key).agg(F.min(F.struct((-F.col("hits")).alias("less"), "contig", "of")).alias("b"))
     hits = -F.col("b.less")
     best = best.select(*key, F.col("b.contig").alias("contig"), hits.alias("hits"), (hits / F.col("b.of")).alias("share"))
-    known = reads.select(*key, "name", "seq", "qual").join(size, key, "left").join(best, key, "left")
+    alone = F.when(F.col("file_idx").isNotNull() & F.col("ordinal").isNotNull(), distinct_kmers(F.translate("seq", "N", "A"), settings.k))
+    known = reads.select(*key, "name", "seq", "qual", alone.alias("alone")).join(together, key, "left").join(best, key, "left").withColumn("kmers", F.coalesce("together", "alone"))
     return known.select(
         *key, "name", "seq", "qual", F.coalesce("kmers", F.lit(0)).cast("long").alias("kmers"), F.col("contig").cast("long").alias("contig"), F.coalesce("hits", F.lit(0)).cast("long").alias("hits"),
         F.coalesce("share", F.lit(0.0)).alias("share"), F.when(F.coalesce("hits", F.lit(0)) >= settings.min_hits, "screened").otherwise("clean").alias("verdict"),
