@@ -99,3 +99,12 @@ def test_gaps_are_found_out_in_arrow(spark):
     got = spark.createDataFrame(rows, "s string, q string").select(S.degenerate_gaps(F.col("s"), F.col("q")).alias("g"), S.degenerate_max_quality(F.col("s"), F.col("q")).alias("m"))
     assert [tuple(r) for r in got.collect()] == [([0, 1, 0], 66), (None, None), (None, None), ([0, 0, 1], 66), (None, None)]
     assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reads_lie_packed_and_once_in_cells(spark):
+    """A key of 12,000 reads is met in one cell, at two bits a base."""
+    bases = "".join(random.Random(2).choices("ACGT", k=200))
+    r = spark.range(12_000).select(F.col("id").alias("read_id"), F.lit(bases).alias("seq"))
+    met = O._met(r, 13, O.KEY_BLOCK).agg(F.count(F.lit(1)), F.sum(F.length("seq"))).first()
+    spots = O.minimizers(r.limit(1)).count()
+    assert tuple(met) == (12_000 * spots, 12_000 * spots * 50)
