@@ -14,6 +14,7 @@ from readlake.functions import sequence as S
 from readlake.functions import tables as table_functions
 from readlake.operators import graph as G
 from readlake.operators import overlap as O
+from readlake.operators.align import align
 from readlake.plans import catalogue
 
 
@@ -108,3 +109,14 @@ def test_reads_lie_packed_and_once_in_cells(spark):
     met = O._met(r, 13, O.KEY_BLOCK).agg(F.count(F.lit(1)), F.sum(F.length("seq"))).first()
     spots = O.minimizers(r.limit(1)).count()
     assert tuple(met) == (12_000 * spots, 12_000 * spots * 50)
+
+
+def test_places_of_a_seed_have_no_cap(spark):
+    """The only place that fits is the last of 3101 that share the read's only seed."""
+    rng = random.Random(7)
+    seed, rest = "".join(rng.choices("ACGT", k=14)), "".join(rng.choices("ACGT", k=16))
+    other = {"A": "C", "C": "G", "G": "T", "T": "A"}
+    spoilt = "".join(other[c] if i in (0, 14) else c for i, c in enumerate(rest))
+    ref = [(i, seed + other[rest[0]] + "".join(rng.choices("ACGT", k=15))) for i in range(3100)] + [(9999, seed + spoilt)]
+    got = align(spark.createDataFrame([(1, seed + rest)], "read_id long, seq string"), spark.createDataFrame(ref, "contig long, seq string"), found=False)
+    assert [tuple(r) for r in got.collect()] == [(1, 0, 9999, 0, 2)]
