@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from readlake.functions import packed
 from readlake.functions import sequence as S
 from readlake.functions import tables as table_functions
+from readlake.operators import align as A
 from readlake.operators import graph as G
 from readlake.operators import overlap as O
 from readlake.operators.align import align
+from readlake.operators.index import seed_counts, seeds
 from readlake.plans import catalogue
 
 
@@ -120,3 +122,48 @@ def test_places_of_a_seed_have_no_cap(spark):
     ref = [(i, seed + other[rest[0]] + "".join(rng.choices("ACGT", k=15))) for i in range(3100)] + [(9999, seed + spoilt)]
     got = align(spark.createDataFrame([(1, seed + rest)], "read_id long, seq string"), spark.createDataFrame(ref, "contig long, seq string"), found=False)
     assert [tuple(r) for r in got.collect()] == [(1, 0, 9999, 0, 2)]
+
+
+def test_places_of_many_reads_are_compared_together(monkeypatch):
+    """Reads of a cell share few calls, whatever their number; each was several before."""
+    rng = random.Random(8)
+    text = "".join(rng.choices("ACGT", k=40_000))
+    texts = [text[i * 13 : i * 13 + 60 + i % 40] for i in range(3000)]
+    reads = pa.table({"slice": pa.array([0] * len(texts), pa.int32()), "read_id": list(range(len(texts))), "seq": texts})
+    kmers = A._kmers_of(14, None)(reads).column("kmer")
+    chosen = A._chosen(14)(reads, pa.table({"kmer": kmers, "n": pa.array([1] * len(kmers))}))
+    seq, n, plain = zip(*(A._squeezed(text[i : i + 4096].encode()) for i in range(0, len(text), 4096)), strict=True)
+    pieces = pa.table({"contig": [7] * len(seq), "chunk": list(range(len(seq))), "seq": seq, "n": pa.array(n, pa.int32()), "plain": plain, "stretch": [0] * len(seq)})
+    calls, real = [], A._Words.differ
+    monkeypatch.setattr(A._Words, "differ", lambda *x: calls.append(1) or real(*x))
+    got = A._met_in_cell(14, ["read_id", "stage", "mis", "contig", "pos", "rev", "len"])(chosen, pieces)
+    assert sorted((r["read_id"], r["contig"], r["pos"], r["mis"], r["rev"]) for r in got.to_pylist()) == [(i, 7, i * 13, 0, 0) for i in range(len(texts))]
+    assert len(calls) < 30
+
+
+def test_words_place_reads_as_stored_seeds_do(spark, monkeypatch):
+    """Other letters, either strand, long contigs, ends of contigs: the same as by stored seeds, in cells of any number."""
+    rng = random.Random(9)
+    ref = [(i, "".join(rng.choices("ACGT", k=n))) for i, n in enumerate((9000, 700, 64, 5000, A.STRETCH + 6000))]
+    ref[1] = (1, ref[1][1][:300] + "N" * 5 + ref[1][1][305:])
+    ref.append((9, ref[0][1][100:400]))
+    reads = []
+    for i in range(300):
+        text = ref[i % 6][1]
+        n = min(len(text), rng.choice((14, 30, 64, 65, 200, 2500)))
+        at = A.STRETCH - rng.randrange(n) if len(text) > A.STRETCH else rng.randrange(len(text) - n + 1)
+        signs = list(text[at : at + n])
+        for j in rng.sample(range(n), n * (i % 6) // 60):
+            signs[j] = rng.choice("ACGTN")
+        read = "".join(signs)
+        reads.append((i, read[::-1].translate(str.maketrans("ACGT", "TGCA")) if i % 2 else read))
+    r, c = spark.createDataFrame(reads, "read_id long, seq string"), spark.createDataFrame(ref, "contig long, seq string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    seeds_ = seeds(c)
+    want = rows(A.align(r, c, found=False, index=(seeds_, seed_counts(seeds_))))
+    assert sum(x[4] is not None for x in want) > 200
+    assert rows(A.align(r, c, found=False)) == want
+    # in more cells, and with the whole reference's k-mers counted
+    for name, value in (("LEAST", 5000), ("LOOKED", 0)):
+        monkeypatch.setattr(A, name, value)
+    assert rows(A.align(r, c, found=False)) == want
