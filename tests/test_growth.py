@@ -167,3 +167,34 @@ def test_words_place_reads_as_stored_seeds_do(spark, monkeypatch):
     for name, value in (("LEAST", 5000), ("LOOKED", 0)):
         monkeypatch.setattr(A, name, value)
     assert rows(A.align(r, c, found=False)) == want
+
+
+def test_long_overlaps_are_looked_up(monkeypatch):
+    """Long sequences of a key that agree in little else are not compared with each other; those that do are found, as by comparing all."""
+    rng = np.random.default_rng(10)
+    base = [rng.integers(0, 4, 3000, np.uint8) for _ in range(40)]
+    rows = []
+    for rank in range(1500):
+        size, pos = int(rng.integers(300, 2500)), int(rng.integers(0, 280))
+        codes = rng.integers(0, 4, size, np.uint8)
+        if rank % 3 == 0:
+            # cut from the same text around the key, with up to 14 % of other bases
+            codes = base[rank // 6 % 20][300 - pos : 300 - pos + size].copy()
+            at = rng.random(len(codes)) < rng.random() * 0.14
+            codes[at] = rng.integers(0, 4, int(at.sum()), np.uint8)
+        rows.append((O.packed_bases(codes), len(codes), pos, 0, rank // 3 % 2, rank))
+    rows += [(*rows[i][:5], 2000 + i) for i in range(0, 90, 3)]
+    monkeypatch.setattr(O, "WORTH", 100)
+    compared, real = [], O._Key._exact
+    monkeypatch.setattr(O._Key, "_exact", lambda key, x, *more: compared.append(len(x)) or real(key, x, *more))
+
+    def found(cross: bool) -> list:
+        key = O._Key((*r[:4], r[4] if cross else 0, r[5]) for r in rows)
+        return [sorted(tuple(map(int, r)) for f in pick(key, cross, 8, looser, 0.5) for r in zip(*f, strict=True)) for pick, looser in ((O._all_near, 0), (O._two_nearest, 4))]
+
+    got = [found(cross) for cross in (False, True)]
+    assert all(len(x) > 100 for both in got for x in both)
+    # four runs of 1500 sequences
+    assert sum(compared) < 4 * 1500**2 / 2 / 8
+    monkeypatch.setattr(O, "BUNDLES", ())
+    assert [found(cross) for cross in (False, True)] == got
